@@ -17,7 +17,7 @@ U64 = np.uint64
 BASE = U64(0x9E3779B97F4A7C15)
 UNBASE = U64(pow(int(BASE), -1, 1 << 64))
 #: Bytes that are worked on at a time, unless one text is longer.
-SLICE = 4 << 20
+SLICE = 2 << 20
 
 #: A-Z as a-z, all else as it is.
 LOWER = np.arange(256, dtype=np.uint8)
@@ -73,13 +73,13 @@ _powers = {}
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i for i below n at least; the longest asked for is kept, up to 64 MB."""
+    """BASE**i and BASE**-i for i below n at least; what is kept takes 64 MB at most."""
     if len(_powers.get("up", ())) < n:
         size = max(n, SLICE + 1)
         up, down = np.full(size, BASE), np.full(size, UNBASE)
         up[0] = down[0] = 1
         up, down = np.cumprod(up, dtype=U64), np.cumprod(down, dtype=U64)
-        if size > 8 << 20:
+        if size > 4 << 20:
             return up[:n], down[:n]
         _powers.update(up=up, down=down)
     return _powers["up"][:n], _powers["down"][:n]
@@ -105,7 +105,7 @@ class Words:
     def __init__(self, data: np.ndarray, offsets: np.ndarray, apart: np.ndarray, fold: bool = True):
         self.n_docs, self.offsets = len(offsets) - 1, offsets
         self.data = LOWER[data] if fold else data
-        inside = ~apart[data]
+        inside = ~apart[self.data]
         first, last = inside.copy(), inside.copy()
         if len(data):
             first[1:] &= ~inside[:-1]

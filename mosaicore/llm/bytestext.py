@@ -123,28 +123,33 @@ class Words:
         return np.repeat(np.arange(self.n_docs), self.count)
 
 
-def shingle_hashes(words: Words, n: int) -> list[np.ndarray]:
-    """Each text's set of n-word shingles as sorted distinct hashes.
+def shingle_runs(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of all n-word shingles, repeated ones too; bounds of each text's).
 
     A text of fewer words has its whole sequence as the one shingle; one without words has none.
     """
-    h = words.hash
+    h, lo, hi = words.hash, words.bounds[:-1], words.bounds[1:]
     rolled = h.copy()
     for k in range(1, n):
         rolled = mix(rolled[: max(0, len(h) - k)] + U64(0x632BE59BD9B4E019)) + h[k:]
     rolled = mix(rolled)
-    out = []
-    for a, b in zip(words.bounds[:-1].tolist(), words.bounds[1:].tolist(), strict=True):
-        if b - a >= n:
-            out.append(np.unique(rolled[a : b - n + 1]))
-        elif b > a:
-            x = h[a : a + 1]
-            for k in range(a + 1, b):
-                x = mix(x + U64(0x632BE59BD9B4E019)) + h[k : k + 1]
-            out.append(mix(x + U64(b - a)))
-        else:
-            out.append(h[:0])
-    return out
+    counts = np.where(hi > lo, np.maximum(hi - lo - n + 1, 1), 0)
+    bounds = np.concatenate([[0], np.cumsum(counts)])
+    flat = np.empty(bounds[-1], U64)
+    whole = hi - lo >= n
+    flat[ragged(bounds[:-1][whole], counts[whole])] = rolled[ragged(lo[whole], counts[whole])]
+    for i in np.flatnonzero((hi > lo) & ~whole).tolist():
+        x = h[lo[i] : lo[i] + 1]
+        for k in range(int(lo[i]) + 1, int(hi[i])):
+            x = mix(x + U64(0x632BE59BD9B4E019)) + h[k : k + 1]
+        flat[bounds[i]] = mix(x + U64(hi[i] - lo[i]))[0]
+    return flat, bounds
+
+
+def shingle_hashes(words: Words, n: int) -> list[np.ndarray]:
+    """Each text's set of n-word shingles as sorted distinct hashes."""
+    flat, bounds = shingle_runs(words, n)
+    return [np.unique(flat[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
 
 
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:

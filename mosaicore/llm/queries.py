@@ -35,6 +35,12 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), n=2)
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mosaicore.llm.minhash import with_edits
+
+    return with_edits(table(spark, sf_dir, "documents"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from mosaicore.llm.decontaminate import contamination
 
@@ -67,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_html_text": op2_html_text,
     "op3_near_duplicates": op3_near_duplicates,
+    "op5_fingerprints": op5_fingerprints,
     "op6_decontamination": op6_decontamination,
     "op7_chat_format": op7_chat_format,
     "op8_token_files": op8_token_files,

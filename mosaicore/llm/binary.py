@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mosaicore.llm.common import pick, scratch, written
-from mosaicore.llm.tokens import Encoder
+from mosaicore.llm.tokens import encoder
 
 SEQUENCE, BATCH = 2048, 128
 
@@ -119,11 +119,11 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, folder: str, leng
     """Writes the files; the manifest: file, first_doc, n_docs, n_ids and base, the ids before the file."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, writer, first = Encoder(tokenizer), None, None
-        top = max(end_id, encoder.tokenizer.get_vocab_size() - 1)
+        encode, writer, first = encoder(tokenizer), None, None
+        top = max(end_id, encode.tokenizer.get_vocab_size() - 1)
         for part in batches:
             doc_ids = part.column(0)
-            for row, ids, counts in encoder.texts(part.column(1)):
+            for row, ids, counts in encode.texts(part.column(1)):
                 if writer is None:
                     first = doc_ids[row].as_py()
                     writer = SequenceWriter(folder, np.dtype(np.uint16 if top < 1 << 16 else np.uint32), length, batch)

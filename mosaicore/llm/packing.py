@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mosaicore.llm.common import pick, written
-from mosaicore.llm.tokens import Encoder
+from mosaicore.llm.tokens import encoder
 
 #: Tokens and pieces that a group holds on average.
 GROUP_TOKENS, GROUP_PIECES = 1 << 22, 1 << 17
@@ -35,9 +35,9 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) ->
     """One row per piece: doc_id, piece, start, length and the checksum of its ids."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
+        encode = encoder(tokenizer)
         for batch in batches:
-            for row, ids, counts in encoder.texts(batch.column(1)):
+            for row, ids, counts in encode.texts(batch.column(1)):
                 at = 0
                 rows: list[list[int]] = [[], [], [], [], []]
                 for doc, n in zip(batch.column(0)[row : row + len(counts)].to_pylist(), counts.tolist(), strict=True):

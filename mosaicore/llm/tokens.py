@@ -10,6 +10,7 @@ other.  A worker remembers the pieces it has seen, up to a bound.
 from __future__ import annotations
 
 import os
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -46,6 +47,12 @@ def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.flatnonzero(at[:-1])
 
 
+@lru_cache(2)
+def encoder(path: str) -> Encoder:
+    """A worker's encoder of a file: what it remembers serves all tasks that the worker runs."""
+    return Encoder(path)
+
+
 class Encoder:
     """Encodes slices of texts; keeps distinct pieces by hash, with their ids in one flat array."""
 

@@ -35,6 +35,12 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), n=2)
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mosaicore.llm.pii import counts
+
+    return counts(table(spark, sf_dir, "documents"))
+
+
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from mosaicore.llm.minhash import with_edits
 
@@ -79,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_html_text": op2_html_text,
     "op3_near_duplicates": op3_near_duplicates,
+    "op4_pii": op4_pii,
     "op5_fingerprints": op5_fingerprints,
     "op6_decontamination": op6_decontamination,
     "op7_chat_format": op7_chat_format,

@@ -1,0 +1 @@
+"""Self-similarity (fractal) image coding and analytics on Spark DataFrames."""

@@ -74,7 +74,7 @@ _powers = {}
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE**i and BASE**-i for i below n at least; what is kept takes 64 MB at most."""
-    if len(_powers.get("up", ())) < n:
+    if "up" not in _powers or len(_powers["up"]) < n:
         size = max(n, SLICE + 1)
         up, down = np.full(size, BASE), np.full(size, UNBASE)
         up[0] = down[0] = 1

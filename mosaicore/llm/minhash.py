@@ -91,6 +91,8 @@ def ordered(docs: DataFrame) -> DataFrame:
     docs = pick(docs, doc_id="doc_id", text="text").withColumn("doc_id", F.col("doc_id").cast("long"))
     ids = docs.select(F.col("doc_id").cast("double").alias("x"))
     cuts = sorted(set(ids.where("x is not null").approxQuantile("x", [k / parts for k in range(1, parts)], 0.1 / parts)))
+    if not cuts:  # at most one id apart from nulls: one range
+        cuts = [0.0]
     inner = Bucketizer(splits=[-float("inf"), *cuts, float("inf")], inputCol="x", outputCol="b", handleInvalid="keep")
     with_x = docs.withColumn("x", F.coalesce(F.col("doc_id").cast("double"), F.lit(0.0)))
     dealt = inner.transform(with_x).select(F.when(F.col("doc_id").isNull(), 0).otherwise(F.col("b") + 1).cast("int").alias("bucket"), "doc_id", "text")

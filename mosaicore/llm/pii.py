@@ -3,7 +3,8 @@
 Every text is read whole by the rules (`base_spans`).  The tagger then reads windows of 64
 characters that overlap by half, wherever a digit, an at sign or a bracketed "at" or "dot"
 stands within reach: each of the four kinds needs one of them.  Each window is decoded by
-Viterbi's algorithm over learnt transitions; its spans carry the mean margin of their tags.
+Viterbi's algorithm over learnt transitions; its spans carry the mean posterior probability of
+their tags.
 Windows are reconciled globally, for a text as a whole: spans that run into the inner edge of a
 window are left to the window that holds them whole, and of the rest the set without overlaps
 that has the largest total score is taken.  Rules' spans always stay; the tagger's are
@@ -186,9 +187,9 @@ def logsumexp(x: np.ndarray, axis: int) -> np.ndarray:
     return (top + np.log(np.exp(x - top).sum(axis=axis, keepdims=True))).squeeze(axis)
 
 
-def crf_gradient(e: np.ndarray, trans: np.ndarray, gold: np.ndarray, mask: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-    """(loss, gradient of emissions, of transitions) of the mean negative log-likelihood; mask marks real places."""
-    t, n, k = e.shape
+def both_ways(e: np.ndarray, trans: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Forward and backward scores, and the total, of emissions (time x batch x tags); mask marks real places."""
+    t = len(e)
     a, b = np.empty_like(e), np.zeros_like(e)
     a[0] = e[0]
     for s in range(1, t):
@@ -197,7 +198,19 @@ def crf_gradient(e: np.ndarray, trans: np.ndarray, gold: np.ndarray, mask: np.nd
     for s in range(t - 2, -1, -1):
         new = logsumexp(trans[None] + (e[s + 1] + b[s + 1])[:, None, :], 2)
         b[s] = np.where(mask[s + 1][:, None], new, b[s + 1])
-    z = logsumexp(a[-1], 1)
+    return a, b, logsumexp(a[-1], 1)
+
+
+def posteriors(e: np.ndarray, trans: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    """The probability of each tag at each real place."""
+    a, b, z = both_ways(e, trans, mask)
+    return np.exp(a + b - z[None, :, None]) * mask[:, :, None]
+
+
+def crf_gradient(e: np.ndarray, trans: np.ndarray, gold: np.ndarray, mask: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """(loss, gradient of emissions, of transitions) of the mean negative log-likelihood."""
+    t, n, k = e.shape
+    a, b, z = both_ways(e, trans, mask)
     de = np.exp(a + b - z[None, :, None]) * mask[:, :, None]
     rows = np.arange(n)
     dt = np.zeros_like(trans)
@@ -245,8 +258,8 @@ def train(samples: list[tuple[np.ndarray, np.ndarray]], size: int = 16, steps: i
 
 
 def decode(model: Tagger, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(best tags, margin of each over the next best tag there) of windows (windows x WIDTH)."""
-    tags, margins = np.zeros(windows.shape, np.int8), np.zeros(windows.shape, np.float32)
+    """(best tags by Viterbi, posterior probability of each) of windows (windows x WIDTH)."""
+    tags, sure = np.zeros(windows.shape, np.int8), np.zeros(windows.shape, np.float32)
     for at in range(0, len(windows), BATCH):
         x = windows[at : at + BATCH].T
         e, _ = emissions(model, x)
@@ -262,12 +275,12 @@ def decode(model: Tagger, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         rows = np.arange(n)
         for s in range(t - 1, -1, -1):
             tags[at : at + n, s] = best
-            own = e[s, rows, best]
-            rest = e[s].copy()
-            rest[rows, best] = -np.inf
-            margins[at : at + n, s] = own - rest.max(axis=1)
             best = back[s, rows, best]
-    return tags, margins
+        some = np.flatnonzero((tags[at : at + n] > 0).any(axis=1))
+        if len(some):
+            p = posteriors(e[:, some], model.trans, real[:, some])
+            sure[at + some] = np.take_along_axis(p, tags[at + some].T[:, :, None].astype(np.int64), axis=2)[:, :, 0].T
+    return tags, sure
 
 
 # ---------------------------------------------------------------- labelled spans
@@ -361,8 +374,8 @@ def fit(docs: DataFrame, max_texts: int = 200) -> Tagger:
 
 # ---------------------------------------------------------------- tagging of texts
 
-#: Least mean margin of an added span.
-LEAST_MARGIN = 3.0
+#: Least posterior probability of the tags of an added span, on average.
+LEAST_SURE = 0.9
 
 
 def plausible(kind: str, text: str) -> bool:
@@ -426,7 +439,7 @@ def tag(texts: list[str], model: Tagger) -> list[tuple[list[Span], list[Span]]]:
                 where.append((i, at, at == a, at + WIDTH >= b))
     found: list[list[tuple[float, int, int, int]]] = [[] for _ in texts]
     if windows:
-        tags, margins = decode(model, np.stack(windows))
+        tags, sure = decode(model, np.stack(windows))
         for w in np.flatnonzero((tags > 0).any(axis=1)).tolist():
             i, at, first, last = where[w]
             row = tags[w]
@@ -436,8 +449,8 @@ def tag(texts: list[str], model: Tagger) -> list[tuple[list[Span], list[Span]]]:
                     end = k + 1
                     while end < WIDTH and row[end] == row[k] + 1:
                         end += 1
-                    score = float(margins[w, k:end].mean())
-                    if (k or first) and (end < WIDTH or last) and score >= LEAST_MARGIN:
+                    score = float(sure[w, k:end].mean())
+                    if (k or first) and (end < WIDTH or last) and score >= LEAST_SURE:
                         found[i].append((score * (end - k), int(row[k]) // 2, at + k, at + end))
                     k = end
                 else:

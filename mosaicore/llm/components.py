@@ -1,8 +1,9 @@
-"""Connected components of a graph of links, by alternating large and small stars.
+"""Connected components of graphs of links, by alternating large and small stars.
 
 Each round sends links towards smaller ids, so that a component ends as a star round its
 smallest id after a number of rounds that grows with the logarithm of its size.  Rounds are
-DataFrame operations; each one's links are written to the shared folder.
+DataFrame operations; each one's links are written to the shared folder.  Several graphs, told apart
+by a number, share the rounds.
 """
 
 from __future__ import annotations
@@ -12,21 +13,36 @@ from pyspark.sql import functions as F
 
 from mosaicore.llm.common import written
 
+#: Links that a task works on; tables of few links are not spread over all partitions.
+LINKS = 100_000
 
-def components(links: DataFrame) -> DataFrame:
-    """links (a long, b long) to (node, component): the smallest id reachable, for every linked node."""
-    edges = written(links.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
+
+def components_of(links: DataFrame) -> DataFrame:
+    """links (g int, a long, b long) to (g, node, component): the smallest id reachable in graph g, for every linked node."""
+
+    def seen(table: DataFrame) -> tuple:
+        return tuple(table.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("g", "u", "v"))).first())
+
+    edges = written(links.where("a != b").select("g", F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
+    state = seen(edges)
+    if not state[0]:
+        return edges.select("g", F.col("u").alias("node"), F.col("v").alias("component"))
     while True:
-        # large star: every larger neighbour of u links to u's smallest one
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        # small star: u's smaller neighbours and u link to the smallest of them
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.withColumnRenamed("m", "v")).distinct()
-        new = written(small, "links")
-        more = new.exceptAll(edges).limit(1).count() + edges.exceptAll(new).limit(1).count()
-        edges = new
-        if not more:
+        tasks = max(1, -(-2 * state[0] // LINKS))
+        # large star: every larger neighbour of u links to the smallest of u and its neighbours
+        both = edges.unionByName(edges.select("g", F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("g", "u").agg(F.min("v").alias("m")).select("g", "u", F.least("u", "m").alias("m"))
+        large = both.join(least, ["g", "u"]).where("v > u").select("g", F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct().coalesce(tasks)
+        # small star: u and its smaller neighbours link to the smallest of them
+        low = large.groupBy("g", "u").agg(F.min("v").alias("m"))
+        small = large.join(low, ["g", "u"]).where("v != m").select("g", F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.withColumnRenamed("m", "v")).distinct().coalesce(tasks)
+        edges, before = written(small, "links"), state
+        state = seen(edges)
+        if state == before:
             break
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    return edges.select("g", F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select("g", F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def components(links: DataFrame) -> DataFrame:
+    """links (a, b) to (node, component)."""
+    return components_of(links.select(F.lit(0).alias("g"), "a", "b")).drop("g")

@@ -11,9 +11,9 @@ to (optimal densification).  Bands of the signature are the buckets' keys.
    a bucket of m classes gives m - 1 pairs, not m squared.
 3. A pair is confirmed by the Jaccard similarity of the full sets, after a test of their sizes.
 4. Components of confirmed links are found by alternating stars.
-5. A hub need not be like two members that are like each other.  So buckets whose members are
-   not yet all in one component are searched again with further hubs, twice as many each time,
-   until every member was one.  Pairs within a component are no longer looked at.
+5. A hub need not be like two members that are like each other.  So candidates are clustered,
+   too, and in a cluster of several components every pair from different ones is tested, block
+   against block, inside tasks that give out links only.
 
 Hot buckets are joined by sort-merge joins that Spark can split.  Texts to be compared meet under
 (hub, salt), so that a hub of any number of links is spread over tasks, and stream through with
@@ -21,8 +21,8 @@ one hub's set in memory.
 
 Edge cases: null and empty texts have no set and are linked with nothing; a text of fewer words
 than a shingle has its whole sequence as one; rows without doc_id are left out of `classes`;
-rows that repeat a doc_id are one class if their sets are equal, and linked under that id
-otherwise; an empty table gives an empty result; other columns are ignored.
+rows that repeat a doc_id are documents of their own, but share that id's links where it stands for
+a class; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,9 +36,11 @@ from pyspark.sql import functions as F
 
 from mosaicore.llm.bytestext import WHITE, Words, mix, shingle_hashes, text_arrays
 from mosaicore.llm.common import pick, written
-from mosaicore.llm.components import components
+from mosaicore.llm.components import components, components_of
 
 BANDS, ROWS, SALTS = 32, 5, 64
+#: Texts of a block of a cluster, and columns of an incidence matrix.
+BLOCK, COLUMNS = 1000, 8192
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 PRIME = 2_147_483_647
 
@@ -137,6 +139,63 @@ def confirmed(pairs: DataFrame, texts: DataFrame, n: int, share: int) -> DataFra
     return rows.select("a", "b", "text").mapInArrow(each, "a long, b long").distinct()
 
 
+def block_links(ids: np.ndarray, labels: np.ndarray, sides: np.ndarray, sets: list[np.ndarray], share: int) -> list[tuple[int, int]]:
+    """One confirmed link for each pair of components that a link joins.
+
+    Pairs are those between the two sides, or all if there is one side. Intersections are counted by
+    products of incidence matrices over the shingles that occur more than once, some columns at a time.
+    """
+    words, counts = np.unique(np.concatenate(sets), return_counts=True)
+    words = words[counts > 1]
+    sizes = np.array([len(s) for s in sets])
+    row, column = [], []
+    for i, own in enumerate(sets):
+        at = np.searchsorted(words, own)
+        at = at[(at < len(words)) & (words[np.minimum(at, len(words) - 1)] == own)] if len(words) else at[:0]
+        row.append(np.full(len(at), i))
+        column.append(at)
+    row, column = np.concatenate(row), np.concatenate(column)
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    left = np.flatnonzero(sides == sides.min())
+    right = np.flatnonzero(sides == sides.max())
+    both = np.zeros((len(left), len(right)), np.float32)
+    for at in range(0, len(words), COLUMNS):
+        a, b = np.searchsorted(column, [at, at + COLUMNS])
+        part = np.zeros((len(sets), min(COLUMNS, len(words) - at)), np.float32)
+        part[row[a:b], column[a:b] - at] = 1
+        both += part[left] @ part[right].T
+    both = both.astype(np.int64)
+    link = (100 * both >= share * (sizes[left][:, None] + sizes[right][None, :] - both)) & (labels[left][:, None] != labels[right][None, :])
+    x, y = np.nonzero(link)
+    out: dict[tuple[int, int], tuple[int, int]] = {}
+    for i, j in zip(left[x].tolist(), right[y].tolist(), strict=True):
+        out.setdefault((min(labels[i], labels[j]), max(labels[i], labels[j])), (int(ids[i]), int(ids[j])))
+    return list(out.values())
+
+
+def cluster_links(rest: DataFrame, texts: DataFrame, n: int, share: int) -> DataFrame:
+    """Links (a, b) between components within each cluster (rest: rep, component, cluster, parts), every pair looked at.
+
+    A cluster is dealt to `parts` blocks of about BLOCK texts; a task has two of them (or one with itself) and
+    gives links alone, so pairs are never rows.
+    """
+
+    def each(part: pa.Table) -> pa.Table:
+        found: list[tuple[int, int]] = []
+        ids, labels, sides = (part.column(c).to_numpy() for c in ("rep", "component", "side"))
+        if len(ids) > 1:
+            sets = [s for _, own in texts_sets(part.column("text"), n) for s in own]
+            found = block_links(ids, labels, sides, sets, share)
+        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+
+    own = rest.withColumn("side", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    own = own.join(texts.withColumnRenamed("doc_id", "rep"), "rep")
+    own = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    own = own.select("cluster", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "rep", "component", "side", "text")
+    return own.groupBy("cluster", "i", "j").applyInArrow(each, "a long, b long")
+
+
 def classes(signatures: DataFrame, docs: DataFrame, n: int, share: int = 80) -> DataFrame:
     """doc_id, n_shingles and component_id of every document with a doc_id.
 
@@ -146,40 +205,30 @@ def classes(signatures: DataFrame, docs: DataFrame, n: int, share: int = 80) ->
     sets = signatures.where("n_shingles > 0").groupBy("set_a", "set_b").agg(F.min(F.struct("doc_id", "n_shingles", "keys")).alias("rep"))
     sets = written(sets.select("set_a", "set_b", F.col("rep.doc_id").alias("rep"), F.col("rep.n_shingles").alias("n"), F.col("rep.keys").alias("keys")), "sets")
     member = sets.select("rep", "n", F.explode("keys").alias("key"))
-    hub = member.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("hub"), F.count(F.lit(1)).alias("m")).where("m > 1")
-    stars = written(member.join(hub, "key").select("key", "rep", "n", F.col("hub.rep").alias("hub"), F.col("hub.n").alias("hub_n"), "m"), "stars")
+    hub = member.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("hub"), F.count(F.lit(1)).alias("m")).where("m > 1").select("key", "hub")
+    stars = written(member.join(hub, "key").select("key", "rep", "n", F.col("hub.rep").alias("hub"), F.col("hub.n").alias("hub_n")), "stars")
     alike = lambda x, y: 100 * F.least(x, y) >= share * F.greatest(x, y)  # noqa: E731  else the sets' sizes rule the pair out
-    pairs = stars.where((F.col("rep") != F.col("hub")) & alike(F.col("n"), F.col("hub_n"))).select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
-    pairs = written(pairs, "pairs")
+    candidates = stars.where("rep != hub").select(F.col("hub").alias("a"), F.col("rep").alias("b"), alike(F.col("n"), F.col("hub_n")).alias("alike")).distinct()
+    candidates = written(candidates, "candidates")
+    pairs = candidates.where("alike").select("a", "b")
     texts = pick(docs, doc_id="doc_id", text="text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    wanted = stars.select(F.col("rep").alias("doc_id")).distinct()
     near = written(texts.join(wanted, "doc_id", "left_semi"), "near-texts")
     links = written(confirmed(pairs, near, n, share), "confirmed")
-    found = written(components(links), "components")
-    step = 1
-    while True:
-        here = stars.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        mixed = here.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("key")
-        here = written(here.join(mixed, "key", "left_semi").select("key", "rep", "n", "m", "component"), "mixed")
-        most = here.agg(F.max("m")).first()[0]
-        if most is None:
-            break
-        # each member is a hub in the step that a hash of member and bucket gives it
-        u = F.pmod(F.xxhash64("rep", "key"), F.lit(1 << 30)) * F.col("m") / F.lit(1 << 30)
-        hubs = here.where((u < step) & ((u >= step / 2) if step > 1 else F.lit(True))).select("key", F.col("rep").alias("a"), F.col("n").alias("a_n"), F.col("component").alias("a_c"))
-        more = here.join(hubs, "key").where((F.col("component") != F.col("a_c")) & alike(F.col("n"), F.col("a_n")))
-        more = more.select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")).distinct()
-        more = written(more.join(pairs, ["a", "b"], "left_anti"), "pairs")
-        if more.limit(1).count():
-            pairs = pairs.unionByName(more)
-            wanted = more.select(F.col("a").alias("doc_id")).unionByName(more.select(F.col("b").alias("doc_id"))).distinct()
-            links = links.unionByName(written(confirmed(more, written(texts.join(wanted, "doc_id", "left_semi"), "near-texts"), n, share), "confirmed"))
-            found = written(components(links), "components")
-        if step >= most:
-            break
-        step *= 2
+    # links make components, candidates make clusters; both graphs share their rounds
+    graphs = links.select(F.lit(0).alias("g"), "a", "b").unionByName(candidates.select(F.lit(1).alias("g"), "a", "b"))
+    both = written(components_of(graphs), "components")
+    found, clusters = both.where("g = 0").drop("g"), both.where("g = 1").select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
+    # a hub need not be like two members that are like each other: clusters of several components are searched whole
+    rest = clusters.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    several = rest.groupBy("cluster").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts")).where("lo != hi")
+    more = written(cluster_links(rest.join(several.select("cluster", "parts"), "cluster"), near, n, share), "cluster-links")
+    # what these links join are components: a graph of its own, with few nodes
+    label = rest.select("rep", "component")
+    ends = more.join(label.select(F.col("rep").alias("a"), F.col("component").alias("x")), "a").join(label.select(F.col("rep").alias("b"), F.col("component").alias("y")), "b")
+    wider = components(ends.select(F.col("x").alias("a"), F.col("y").alias("b"))).select(F.col("node").alias("component"), F.col("component").alias("wider"))
+    found = rest.join(wider, "component", "left").select(F.col("rep").alias("node"), F.coalesce("wider", "component").alias("component"))
     of_rep = sets.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("set_a", "set_b", F.coalesce("component", "rep").alias("c"))
-    # rows that repeat a doc_id with another text share its component
     out = signatures.select("doc_id", "n_shingles", "set_a", "set_b").join(of_rep, ["set_a", "set_b"], "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("c", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
@@ -191,6 +240,9 @@ def near_duplicates(docs: DataFrame, n: int = 5, share: int = 80) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, n: int = 5, share: int = 80) -> DataFrame:
-    """The documents without those that a smaller doc_id stands for, with all their columns; rows without doc_id stay."""
-    gone = near_duplicates(docs, n, share).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
+    """The documents without those that a smaller doc_id stands for, with all their columns.
+
+    Rows without doc_id stay; a doc_id that occurs more than once goes only if none of its rows is kept.
+    """
+    gone = near_duplicates(docs, n, share).groupBy(F.col("doc_id").alias("_gone")).agg(F.max("kept").alias("kept")).where("not kept").select("_gone")
     return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")

@@ -276,6 +276,7 @@ def decode(model: Tagger, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         for s in range(t - 1, -1, -1):
             tags[at : at + n, s] = best
             best = back[s, rows, best]
+        tags[at : at + n][~real.T] = 0
         some = np.flatnonzero((tags[at : at + n] > 0).any(axis=1))
         if len(some):
             p = posteriors(e[:, some], model.trans, real[:, some])

@@ -475,6 +475,13 @@ def test_gradients_of_the_tagger():
         assert abs((up - down) / 2e-2 - grad[at]) < 2e-3
 
 
+def test_spans_end_with_the_text(tagger):
+    rng = random.Random(3)
+    texts = [prose(rng, rng.randrange(0, 12)) + " " + pii.fill(t, rng_np, WORDS) for rng_np in [np.random.default_rng(1)] for own in pii.TEMPLATES.values() for t in own for _ in range(20)]
+    for text, (base, every) in zip(texts, pii.tag(texts, tagger)):
+        assert set(base) <= set(every) and all(0 <= a < b <= len(text) for _, a, b in every)
+
+
 def test_reconcile():
     assert pii.reconcile([(5.0, 0, 0, 10), (4.0, 1, 8, 12), (4.0, 1, 12, 20), (6.0, 2, 9, 14)]) == [(0, 0, 10), (1, 12, 20)]
     assert pii.reconcile([]) == []

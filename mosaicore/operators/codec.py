@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from mosaicore.functions.pixels import clip, normalised, s_sets, unit
-from mosaicore.operators.blocks import dims, domains, downsample, luma, pad_to_multiple, ranges
+from mosaicore.operators.blocks import dims, domain_planes, downsample, pad_to_multiple, range_planes
 from mosaicore.operators.features import described, kept_domains
 from mosaicore.operators.regress import coded, solved, sse, sums_of
 from mosaicore.operators.search import RANGE, planes, signature, topk_dot, topk_lsh
@@ -21,28 +21,18 @@ from mosaicore.params import EncodeParams
 LEAF = "image_id, y, x, block, dom, tf, codes, mse"
 
 
-def by_channel(blocks: DataFrame, keys: list[str]) -> DataFrame:
-    """Blocks of every channel (a) to chans: an array of them in channel order."""
-    return blocks.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("ch", "a"))).alias("c")).select(*keys, F.col("c.a").alias("chans"))
-
-
-def build_pool(pixels: DataFrame, p: EncodeParams, block: int) -> DataFrame:
+def build_pool(pixels: DataFrame, p: EncodeParams, block: int, size: DataFrame | None = None) -> DataFrame:
     """image_id, entry, dom, tf, bucket, y, x, proxy and chans (transformed) of a block size."""
-    plane = domains(luma(pixels), block, p.stride).drop("ch")
-    plane = kept_domains(described(plane, p.bucket_count).withColumn("at", F.col("dom")), p.entropy_thresh, p.max_domains, p.seed + block)
-    chans = by_channel(domains(pixels, block, p.stride), ["image_id", "dom"]).withColumnRenamed("dom", "at")
-    rows = plane.join(chans, ["image_id", "at"])
-    tfs = p.transforms
-    rows = expanded(rows.select("*", F.posexplode("chans").alias("ch", "chan")).drop("chans"), block, tfs, "a", "chan")
-    rows = rows.groupBy("image_id", "dom", "tf", "tf_pos", "bucket", "y", "x").agg(F.first("a").alias("a"), F.sort_array(F.collect_list(F.struct("ch", "chan"))).alias("c"))
-    entry = (F.col("dom") * len(tfs) + F.col("tf_pos")).cast("long")
-    return rows.select("image_id", entry.alias("entry"), "dom", "tf", "bucket", "y", "x", normalised(F.col("a")).alias("proxy"), F.col("c.chan").alias("chans"))
+    rows = described(domain_planes(pixels, block, p.stride, size), p.bucket_count)
+    rows = kept_domains(rows, p.entropy_thresh, p.max_domains, p.seed + block)
+    rows = expanded(rows, block, p.transforms, "a", nested=("chans",))
+    entry = (F.col("dom") * len(p.transforms) + F.col("tf_pos")).cast("long")
+    return rows.select("image_id", entry.alias("entry"), "dom", "tf", "bucket", "y", "x", normalised(F.col("a")).alias("proxy"), "chans")
 
 
 def range_queries(pixels: DataFrame, p: EncodeParams, block: int) -> DataFrame:
     """image_id, y, x, bucket, q and chans of every range block."""
-    plane = described(ranges(luma(pixels), block).drop("ch"), p.bucket_count)
-    return plane.join(by_channel(ranges(pixels, block), RANGE), RANGE).select(*RANGE, "bucket", unit(F.col("a")).alias("q"), "chans")
+    return described(range_planes(pixels, block), p.bucket_count).select(*RANGE, "bucket", unit(F.col("a")).alias("q"), "chans")
 
 
 def candidates(queries: DataFrame, pool: DataFrame, p: EncodeParams, block: int) -> DataFrame:
@@ -83,13 +73,14 @@ def best_match(queries: DataFrame, pool: DataFrame, found: DataFrame, p: EncodeP
 def encode(pixels: DataFrame, p: EncodeParams) -> DataFrame:
     """The leaves of all images: LEAF. A quadtree goes level by level, all images together."""
     p = p.checked()
-    padded = pad_to_multiple(pixels, p.max_block)
+    size = image_table(pixels, p.max_block)
+    padded = pad_to_multiple(pixels, p.max_block, size.select("image_id", F.col("orig_height").alias("height"), F.col("orig_width").alias("width")))
     out, open_ = None, None
     for block in p.levels:
         queries = range_queries(padded, p, block)
         if open_ is not None:
             queries = queries.join(open_, RANGE, "left_semi")
-        pool = build_pool(padded, p, block)
+        pool = build_pool(padded, p, block, size)
         leaves = best_match(queries, pool, candidates(queries, pool, p, block), p, block)
         if block == p.levels[-1]:
             done = leaves

@@ -11,7 +11,7 @@ from mosaicore.functions.pixels import bucket_id, dot, entropy, total, variance
 
 def described(blocks: DataFrame, buckets: int = 1) -> DataFrame:
     """Blocks (a) with ent, var and bucket (0 where there is one bucket)."""
-    rows = blocks.withColumns({"ent": entropy(F.col("a")), "var": variance(F.col("a"))})
+    rows = blocks.withColumns({"ent": entropy(F.col("a")), "var": variance(F.col("a"))})  # left out of the plan where nothing uses them
     return rows.withColumn("bucket", bucket_id(F.col("ent"), F.col("var"), buckets) if buckets > 1 else F.lit(0))
 
 

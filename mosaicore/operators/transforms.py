@@ -41,16 +41,18 @@ def apply(block: np.ndarray, tf: int) -> np.ndarray:
     return np.where(source >= 0, flat[..., source], 0).astype(block.dtype).reshape(block.shape)
 
 
-def expanded(blocks: DataFrame, block: int, tfs: list[int], *arrays: str) -> DataFrame:
+def expanded(blocks: DataFrame, block: int, tfs: list[int], *arrays: str, nested: tuple[str, ...] = ()) -> DataFrame:
     """Each row once per transform (tf, and tf_pos, its place in the list), with the arrays transformed.
 
-    The gather table is part of the plan, so nothing is joined or shuffled.
+    nested: columns that are arrays of such arrays. The gather table is part of the plan, so
+    nothing is joined or shuffled.
     """
     nulls = lambda s: F.lit(-1 if s is None else s)
     table = F.array(*(F.struct(F.lit(t).alias("tf"), F.lit(k).alias("tf_pos"), F.array(*map(nulls, gather(block, t))).alias("source")) for k, t in enumerate(tfs)))
     rows = blocks.withColumn("_t", F.explode(table))
 
-    def moved(a: str) -> Column:
-        return F.transform(F.col("_t.source"), lambda i: F.when(i >= 0, F.col(a)[i]).otherwise(F.lit(0.0)))
+    def moved(a: Column) -> Column:
+        return F.transform(F.col("_t.source"), lambda i: F.when(i >= 0, a[i]).otherwise(F.lit(0.0)))
 
-    return rows.withColumns({**{a: moved(a) for a in arrays}, "tf": F.col("_t.tf"), "tf_pos": F.col("_t.tf_pos")}).drop("_t")
+    columns = {a: moved(F.col(a)) for a in arrays} | {a: F.transform(F.col(a), moved) for a in nested}
+    return rows.withColumns({**columns, "tf": F.col("_t.tf"), "tf_pos": F.col("_t.tf_pos")}).drop("_t")

@@ -1,4 +1,4 @@
-"""python -m mosaicore encode|decode|overlay IN OUT: folders of images to code files and back."""
+"""python -m mosaicore encode|decode|overlay|process IN OUT: folders of images to code files and back, or converted and resized."""
 
 from __future__ import annotations
 
@@ -8,25 +8,28 @@ from dataclasses import fields
 from pyspark.sql import functions as F
 
 from mosaicore.operators import batch
-from mosaicore.operators.codec import image_table  # noqa: F401
 from mosaicore.operators.overlay import outlined
 from mosaicore.params import PRESETS, EncodeParams, encode_params, get_section, load_yaml, pick_int
-from mosaicore.session import session
+from mosaicore.session import session, ship
 from mosaicore.sources.codefile import read_codes, register
-from mosaicore.sources.imagefile import read_images, to_png
+from mosaicore.sources.imagefile import read_images, resized, to_png
 
 
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="mosaicore", description=__doc__)
     commands = top.add_subparsers(dest="command", required=True)
-    for name in ("encode", "decode", "overlay"):
+    for name in ("encode", "decode", "overlay", "process"):
         own = commands.add_parser(name)
         own.add_argument("input")
         own.add_argument("output")
         own.add_argument("--config")
-        if name == "encode":
-            own.add_argument("--preset", choices=sorted(PRESETS))
+        if name in ("encode", "process"):
             own.add_argument("--mode", choices=["L", "RGB"])
+        if name == "process":
+            own.add_argument("--width", type=int)
+            own.add_argument("--height", type=int)
+        elif name == "encode":
+            own.add_argument("--preset", choices=sorted(PRESETS))
             own.add_argument("--max-side", type=int, default=2048)
             for f in fields(EncodeParams):
                 kind = {"bool": lambda s: s.lower() in ("1", "true", "yes"), "int": int, "float": float, "str": str}.get(str(f.type).split(" ")[0], None)
@@ -43,6 +46,14 @@ def main(argv: list[str] | None = None) -> int:
     config = load_yaml(args.config) if args.config else {}
     spark = session("mosaicore")
     register(spark)
+    ship(spark)
+    stem = F.regexp_replace(F.regexp_extract("name", "([^/]*)$", 1), r"\.[^.]*$", "")
+    if args.command == "process":
+        planes = read_images(spark, args.input, args.mode, None)
+        if args.width and args.height:  # both are needed
+            planes = resized(planes, args.height, args.width)
+        to_png(planes.withColumn("name", stem)).write.format("ffc2").option("suffix", ".png").mode("append").save(args.output)
+        return 0
     if args.command == "encode":
         flags = {f.name: getattr(args, f.name, None) for f in fields(EncodeParams)}
         section = get_section(config, "encode")
@@ -50,7 +61,6 @@ def main(argv: list[str] | None = None) -> int:
             p = PRESETS[args.preset]
             flags = {f.name: getattr(p, f.name) for f in fields(EncodeParams)} | {k: v for k, v in flags.items() if v is not None}
         codes = batch.encode(read_images(spark, args.input, args.mode, args.max_side), encode_params(section, **flags))
-        stem = F.regexp_replace(F.regexp_extract("name", "([^/]*)$", 1), r"\.[^.]*$", "")
         codes.select(stem.alias("name"), "code").write.format("ffc2").mode("append").save(args.output)
         return 0
     iterations = args.iters or pick_int(get_section(config, "decode"), "iterations", 8, "iters")

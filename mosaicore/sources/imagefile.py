@@ -61,6 +61,19 @@ def read_images(spark: SparkSession, path: str, mode: str | None = None, max_sid
     return planes.select(F.xxhash64("name").alias("image_id"), *planes.columns)
 
 
+def resized(planes: DataFrame, height: int, width: int) -> DataFrame:
+    """PLANES with every image brought to the given sides."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1).to_pylist()[0]
+                image = resize(np.array(row["data"]).reshape(row["channels"], row["height"], row["width"]), height, width)
+                yield pa.RecordBatch.from_pydict({"image_id": [row["image_id"]], "name": [row["name"]], "channels": pa.array([row["channels"]], pa.int32()), "height": pa.array([height], pa.int32()), "width": pa.array([width], pa.int32()), "data": [image.ravel()]})
+
+    return planes.select("image_id", "name", "channels", "height", "width", "data").mapInArrow(each, PLANES)
+
+
 def png(image: np.ndarray) -> bytes:
     """A PNG file of bytes (channels x height x width, one channel or three)."""
     if image.ndim != 3 or len(image) not in (1, 3):

@@ -337,6 +337,8 @@ def test_command_line(spark, tmp_path):
     assert main(["overlay", str(tmp_path / "codes"), str(tmp_path / "out"), "--upscale", "2"]) == 0
     shapes = {r.name[-12:]: (r.channels, r.height, r.width) for r in imagefile.read_images(spark, str(tmp_path / "out")).collect()}
     assert sorted(shapes.values()) == [(1, 64, 96), (3, 32, 48)]
+    assert main(["process", str(source), str(tmp_path / "small"), "--mode", "L", "--width", "8", "--height", "6"]) == 0
+    assert [(r.channels, r.height, r.width) for r in imagefile.read_images(spark, str(tmp_path / "small")).collect()] == [(1, 6, 8)]
 
 
 def test_streaming(spark, tmp_path):

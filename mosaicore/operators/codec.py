@@ -17,6 +17,7 @@ from mosaicore.operators.regress import coded, solved, sse, sums_of
 from mosaicore.operators.search import RANGE, planes, signature, topk_dot, topk_lsh
 from mosaicore.operators.transforms import expanded
 from mosaicore.params import EncodeParams
+from mosaicore.plans.scratch import cut
 
 LEAF = "image_id, y, x, block, dom, tf, codes, mse"
 
@@ -46,10 +47,8 @@ def candidates(queries: DataFrame, pool: DataFrame, p: EncodeParams, block: int)
     raise ValueError("the sql engine has the backends dot and lsh")
 
 
-def best_match(queries: DataFrame, pool: DataFrame, found: DataFrame, p: EncodeParams, block: int) -> DataFrame:
+def best_match(queries: DataFrame, found: DataFrame, p: EncodeParams, block: int) -> DataFrame:
     """The candidate of least error of every range, the first of equals; a range without any has zero codes and an infinite error."""
-    pairs = found.select(*RANGE, "entry", "rank").join(pool.select("image_id", "entry", "dom", "tf", F.col("chans").alias("d")), ["image_id", "entry"])
-    pairs = pairs.join(queries.select(*RANGE, "bucket", F.col("chans").alias("r")), RANGE)
     choices = F.array(*(F.array(*map(F.lit, values)) for values in s_sets(p.bucket_count, p.s_clip)))[F.col("bucket")] if p.use_s_sets else None
 
     def channel(d, r):
@@ -57,7 +56,7 @@ def best_match(queries: DataFrame, pool: DataFrame, found: DataFrame, p: EncodeP
         code = coded(*solved(x), p.s_clip, p.o_min, p.o_max, p.quantized, choices)
         return F.transform(F.array(code), lambda c: F.struct(c.alias("code"), (sse(x, c["s"], c["o"]) / x.n).alias("mse")))[0]
 
-    tried = pairs.withColumn("c", F.zip_with("d", "r", channel))
+    tried = found.withColumn("c", F.zip_with("d", "r", channel))
     mse = F.aggregate("c", F.lit(0.0), lambda s, c: s + c["mse"]) / F.size("c")
     best = tried.select(*RANGE, F.struct(mse.alias("mse"), "rank", "dom", "tf", F.col("c.code").alias("codes")).alias("b")).groupBy(*RANGE).agg(F.min("b").alias("b"))
     none = F.transform(F.col("chans"), lambda _: F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("o"), F.lit(0).alias("qs"), F.lit(0).alias("qo")))
@@ -75,16 +74,19 @@ def encode(pixels: DataFrame, p: EncodeParams) -> DataFrame:
     p = p.checked()
     size = image_table(pixels, p.max_block)
     padded = pad_to_multiple(pixels, p.max_block, size.select("image_id", F.col("orig_height").alias("height"), F.col("orig_width").alias("width")))
+    if len(p.levels) > 1:  # every level reads the pixels again, and the leaves of the one before
+        padded, size = cut(padded), cut(size)
     out, open_ = None, None
     for block in p.levels:
         queries = range_queries(padded, p, block)
         if open_ is not None:
             queries = queries.join(open_, RANGE, "left_semi")
         pool = build_pool(padded, p, block, size)
-        leaves = best_match(queries, pool, candidates(queries, pool, p, block), p, block)
+        leaves = best_match(queries, candidates(queries, pool, p, block), p, block)
         if block == p.levels[-1]:
             done = leaves
         else:
+            leaves = cut(leaves)
             done = leaves.where(F.col("mse") <= p.max_mse)
             half = block // 2
             split = leaves.where(F.col("mse") > p.max_mse).select("image_id", F.explode(F.array(*(F.struct((F.col("y") + dy).alias("y"), (F.col("x") + dx).alias("x")) for dy in (0, half) for dx in (0, half)))).alias("k"))
@@ -144,8 +146,6 @@ def decode(leaves: DataFrame, images: DataFrame, stride: int, iterations: int =
     for k in range(iterations):
         state = decode_step(state, sources)
         if iterations > 2 and k < iterations - 1:
-            from mosaicore.plans.scratch import cut
-
             state = cut(state)
     crop = images.select("image_id", "orig_height", "orig_width")
     return state.join(crop, "image_id").where("y < orig_height AND x < orig_width").select("image_id", "ch", "y", "x", "v")

@@ -1,7 +1,8 @@
 """Similarity search of range blocks among pool entries.
 
-A pool entry has image_id, entry, dom, tf, bucket and proxy (a normalised block); a query has
-image_id, y, x, bucket and q (a block of unit length). Ties are ordered by entry.
+A pool entry has image_id, entry, dom, tf, bucket, proxy (a normalised block) and chans; a query
+has image_id, y, x, bucket, q (a block of unit length) and chans. Ties are ordered by entry. Results
+carry what the solver needs (dom, tf, bucket, d and r: the blocks of both), so it joins nothing again.
 """
 
 from __future__ import annotations
@@ -22,12 +23,15 @@ def ranked(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def _scored(pairs: DataFrame) -> DataFrame:
+    return pairs.select(*RANGE, "entry", "dom", "tf", "bucket", "d", F.col("chans").alias("r"), dot(F.col("q"), F.col("proxy")).alias("score"))
+
+
 def topk_dot(queries: DataFrame, pool: DataFrame, k: int, by_bucket: bool = False) -> DataFrame:
-    """image_id, y, x, entry, score, rank: exact search within an image, or within an image's bucket."""
+    """image_id, y, x, entry, score, rank and more: exact search within an image, or within an image's bucket."""
     keys = ["image_id", "bucket"] if by_bucket else ["image_id"]
-    own = pool.select(*keys, "entry", "proxy")
-    scored = queries.join(own, keys).select(*RANGE, "entry", dot(F.col("q"), F.col("proxy")).alias("score"))
-    return ranked(scored, k)
+    own = pool.select(*keys, "entry", "dom", "tf", "proxy", F.col("chans").alias("d"))
+    return ranked(_scored(queries.join(own, keys)), k)
 
 
 def planes(count: int, size: int, seed: int) -> np.ndarray:
@@ -59,15 +63,15 @@ def topk_lsh(queries: DataFrame, pool: DataFrame, k: int, n_planes: int, budget:
     Of these, the ones of the query's bucket if there are any, else all; a query without
     candidates is searched in its bucket.
     """
-    entry = pool.select("image_id", "entry", "proxy", F.col("bucket").alias("own"))
-    found = lsh_candidates(queries, pool, n_planes, budget).join(entry, ["image_id", "entry"]).join(queries.select(*RANGE, "q", "bucket"), RANGE)
+    entry = pool.select("image_id", "entry", "dom", "tf", "proxy", F.col("chans").alias("d"), F.col("bucket").alias("own"))
+    found = lsh_candidates(queries, pool, n_planes, budget).join(entry, ["image_id", "entry"]).join(queries.select(*RANGE, "q", "bucket", "chans"), RANGE)
     if by_bucket:
         same = F.max(F.col("own") == F.col("bucket")).over(W.partitionBy(*RANGE))
         found = found.withColumn("same", same).where((F.col("own") == F.col("bucket")) | ~F.col("same"))
-    scored = found.select(*RANGE, "entry", dot(F.col("q"), F.col("proxy")).alias("score"))
+    scored = _scored(found)
     rest = queries.join(scored.select(*RANGE).distinct(), RANGE, "left_anti")
     keys = ["image_id", "bucket"] if by_bucket else ["image_id"]
-    fallback = rest.join(pool.select(*keys, "entry", "proxy"), keys).select(*RANGE, "entry", dot(F.col("q"), F.col("proxy")).alias("score"))
+    fallback = _scored(rest.join(pool.select(*keys, "entry", "dom", "tf", "proxy", F.col("chans").alias("d")), keys))
     return ranked(scored.unionByName(fallback), k)
 
 

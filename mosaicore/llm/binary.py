@@ -26,7 +26,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mosaicore.llm.common import pick, scratch, written
+from mosaicore.llm.common import pick, scratch, tidied, written
 from mosaicore.llm.tokens import encoder
 
 SEQUENCE, BATCH = 2048, 128
@@ -135,7 +135,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, folder: str, leng
 
     rows = pick(docs, doc_id="doc_id", text="text").withColumn("doc_id", F.col("doc_id").cast("long"))
     ordered = rows.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    files = written(ordered.mapInArrow(write, "file string, first_doc long, n_docs long, n_ids long"), "token-files").collect()  # a row per file
+    files = written(ordered.mapInArrow(tidied(write), "file string, first_doc long, n_docs long, n_ids long"), "token-files").collect()  # a row per file
     base, rows = 0, []
     for f in sorted(files, key=lambda f: (f.first_doc is not None, f.first_doc or 0)):
         rows.append((f.file, f.first_doc, f.n_docs, f.n_ids, base))
@@ -157,7 +157,7 @@ def read_documents(manifest: DataFrame, folder: str) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([index.column(0), pa.array(np.array(starts, np.int64) + base), index.column(2), pa.array(sums, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     files = max(1, manifest.count())
-    return manifest.select("file", "base").repartition(files).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return manifest.select("file", "base").repartition(files).mapInArrow(tidied(read), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_files(docs: DataFrame, tokenizer: str, end_id: int = 0) -> DataFrame:

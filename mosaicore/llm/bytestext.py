@@ -17,7 +17,7 @@ U64 = np.uint64
 BASE = U64(0x9E3779B97F4A7C15)
 UNBASE = U64(pow(int(BASE), -1, 1 << 64))
 #: Bytes that are worked on at a time, unless one text is longer.
-SLICE = 2 << 20
+SLICE = 1 << 20
 
 #: A-Z as a-z, all else as it is.
 LOWER = np.arange(256, dtype=np.uint8)

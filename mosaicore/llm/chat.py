@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mosaicore.llm.common import as_strings, pick
+from mosaicore.llm.common import as_strings, pick, tidied
 from mosaicore.llm.tokens import load
 
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
@@ -94,7 +94,7 @@ def assemble(rows: DataFrame, tokenizer: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(4)), pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary()), pa.array([m.astype(np.uint8).tobytes() for m in masks], pa.binary())], names=["conv_id", "turn", "role", "text", "ids", "mask"])
 
     rows = pick(rows, conv_id="conv_id", turn="turn", role="role", text="text").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
-    return rows.mapInArrow(each, "conv_id long, turn long, role string, text string, ids binary, mask binary")
+    return rows.mapInArrow(tidied(each), "conv_id long, turn long, role string, text string, ids binary, mask binary")
 
 
 def read_back(turns: DataFrame, tokenizer: str) -> DataFrame:
@@ -138,4 +138,4 @@ def read_back(turns: DataFrame, tokenizer: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True), kinds, strict=True)], names=names)
 
     ordered = turns.repartition("conv_id").sortWithinPartitions(F.col("conv_id").asc_nulls_first(), F.col("turn").asc_nulls_first(), F.coalesce("role", F.lit("")), F.coalesce("text", F.lit("")))
-    return ordered.select("conv_id", "ids", "mask").mapInArrow(each, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return ordered.select("conv_id", "ids", "mask").mapInArrow(tidied(each), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

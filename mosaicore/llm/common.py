@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -38,12 +41,40 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of an Arrow batch between Spark and its Python workers; texts may be long.
+BATCH_ROWS = 2000
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """df; batches of the session become smaller where they are larger than BATCH_ROWS, which bounds memory on both sides."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    rows = int(df.sparkSession.conf.get(key, "10000"))
+    if rows <= 0 or rows > BATCH_ROWS:
+        df.sparkSession.conf.set(key, str(BATCH_ROWS))
+    return df
+
+
+def tidied(each: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """each, after which the worker gives memory that it no longer uses back to the machine."""
+
+    @wraps(each)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from each(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
+
+    return run
+
+
 def pick(df: DataFrame, **columns: str) -> DataFrame:
     """doc_id="doc_id", text="text" and the like: only these columns, under these names.
 
     Names are matched exactly; other columns, also ones whose names the operators use, are left out.
     """
-    return df.select(*(F.col(f"`{source}`").alias(name) for name, source in columns.items()))
+    return bounded(df).select(*(F.col(f"`{source}`").alias(name) for name, source in columns.items()))
 
 
 def code_points(text: Column) -> Column:

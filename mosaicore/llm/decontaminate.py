@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mosaicore.llm.bytestext import NOT_ALNUM, Words, mix, ragged, text_arrays
-from mosaicore.llm.common import pick
+from mosaicore.llm.common import bounded, pick, tidied
 
 WINDOW, BLOCK, RUN = 13, 3, 256
 #: Windows that are sent to the executors at a time.
@@ -169,7 +169,7 @@ def search(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataF
                         items.append(sorted({*own, *found[k]}))
                     yield pa.RecordBatch.from_arrays([batch.column(0)[row : row + n], batch.column(1)[row : row + n], pa.array(words.count, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.int64()))], names=["doc_id", "text", "n_words", "hit", "items"])
 
-        out = out.mapInArrow(each, "doc_id long, text string, n_words long, hit array<long>, items array<long>")
+        out = out.mapInArrow(tidied(each), "doc_id long, text string, n_words long, hit array<long>, items array<long>")
     return out.drop("text")
 
 
@@ -203,7 +203,7 @@ def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WIN
                 bad[row : row + words.n_docs] = (n_hit > 0) & (20 * n_hit >= words.count)
             yield batch.filter(pc.invert(pa.array(bad)))
 
-    return docs.mapInArrow(each, docs.schema)
+    return bounded(docs).mapInArrow(tidied(each), docs.schema)
 
 
 def items_digest(items: set[int]) -> str:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mosaicore.llm.bytestext import WHITE, Words, shingle_runs, text_arrays
-from mosaicore.llm.common import pick, written
+from mosaicore.llm.common import pick, tidied, written
 from mosaicore.llm.neardup import band_keys, classes, signature_table
 
 PERMUTATIONS, SHINGLE = 128, 5
@@ -142,4 +142,4 @@ def with_edits(docs: DataFrame) -> DataFrame:
             yield digest(ids, texts, pairs)
 
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return ordered(docs).mapInArrow(each, schema)
+    return ordered(docs).mapInArrow(tidied(each), schema)

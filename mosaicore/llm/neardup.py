@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mosaicore.llm.bytestext import WHITE, Words, mix, shingle_hashes, text_arrays
-from mosaicore.llm.common import pick, written
+from mosaicore.llm.common import pick, tidied, written
 from mosaicore.llm.components import components, components_of
 
 BANDS, ROWS, SALTS = 32, 5, 64
@@ -106,7 +106,7 @@ def signature_table(docs: DataFrame, n: int, keys_of: Callable[[list[np.ndarray]
                 )
 
     rows = pick(docs, doc_id="doc_id", text="text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    return rows.mapInArrow(each, "doc_id long, n_shingles long, set_a long, set_b long, keys array<long>")
+    return rows.mapInArrow(tidied(each), "doc_id long, n_shingles long, set_a long, set_b long, keys array<long>")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, n: int, share: int) -> DataFrame:
@@ -136,7 +136,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, n: int, share: int) -> DataFra
     hubs = pairs.select("a", "salt").distinct().join(texts.withColumnRenamed("doc_id", "a"), "a").select("a", "salt", F.lit(None).cast("long").alias("b"), "text")
     rows = hubs.unionByName(pairs.join(texts.withColumnRenamed("doc_id", "b"), "b").select("a", "salt", "b", "text"))
     rows = rows.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
-    return rows.select("a", "b", "text").mapInArrow(each, "a long, b long").distinct()
+    return rows.select("a", "b", "text").mapInArrow(tidied(each), "a long, b long").distinct()
 
 
 def block_links(ids: np.ndarray, labels: np.ndarray, sides: np.ndarray, sets: list[np.ndarray], share: int) -> list[tuple[int, int]]:

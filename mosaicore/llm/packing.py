@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mosaicore.llm.common import pick, written
+from mosaicore.llm.common import pick, tidied, written
 from mosaicore.llm.tokens import encoder
 
 #: Tokens and pieces that a group holds on average.
@@ -49,7 +49,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) ->
                             column.append(value)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return pick(docs, doc_id="doc_id", text="text").withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(cut, PIECES)
+    return pick(docs, doc_id="doc_id", text="text").withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(tidied(cut), PIECES)
 
 
 def best_fit(lengths: np.ndarray, capacity: int) -> np.ndarray:

@@ -18,7 +18,9 @@ import numpy as np
 from mosaicore.llm.bytestext import WHITE, byte_class, prefix_hash, ragged, slice_hash, text_arrays
 
 #: Pieces and ids that a worker remembers before it starts afresh.
-MEMO_PIECES, MEMO_IDS = 2_500_000, 12_000_000
+MEMO_PIECES, MEMO_IDS = 1_000_000, 5_000_000
+#: Pieces that the tokenizer is given at a time.
+AT_ONCE = 1 << 13
 #: ASCII letters, and ASCII that is neither letter, digit, white space nor apostrophe.
 LETTER = byte_class((65, 90), (97, 122))
 MARK = byte_class((0x21, 0x26), (0x28, 0x2F), (0x3A, 0x40), (0x5B, 0x60), (0x7B, 0x7E))
@@ -68,13 +70,16 @@ class Encoder:
 
     def _learn(self, hashes: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
         raw = data.tobytes()
-        pieces = [raw[a:b].decode("utf-8", "surrogatepass") for a, b in zip(start.tolist(), end.tolist(), strict=True)]
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum()))
+        parts, lengths = [self.flat], np.zeros(len(start), np.int64)
+        for k in range(0, len(start), AT_ONCE):
+            pieces = [raw[a:b].decode("utf-8", "surrogatepass") for a, b in zip(start[k : k + AT_ONCE].tolist(), end[k : k + AT_ONCE].tolist(), strict=True)]
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+            own = np.fromiter(map(len, ids), np.int64, len(ids))
+            lengths[k : k + AT_ONCE] = own
+            parts.append(np.fromiter(chain.from_iterable(ids), np.uint32, int(own.sum())))
         first = self.n_ids + np.cumsum(lengths) - lengths
-        self.flat = np.concatenate([self.flat, flat])
-        self.n_ids += len(flat)
+        self.flat = np.concatenate(parts)
+        self.n_ids += int(lengths.sum())
         hashes = np.concatenate([self.seen, hashes])
         order = np.argsort(hashes, kind="stable")
         self.seen = hashes[order]

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mosaicore.llm.bytestext import Words, byte_class, text_arrays
-from mosaicore.llm.common import pick
+from mosaicore.llm.common import bounded, pick, tidied
 
 NOT_LETTER = byte_class((0x00, 0x40), (0x5B, 0x60), (0x7B, 0x7F))
 
@@ -90,7 +90,7 @@ def nn_pu(p: np.ndarray, u: np.ndarray, prior: float, steps: int = 400, rate: fl
 
 
 def select_features(p: list[np.ndarray], u: list[np.ndarray], most: int, least_z: float) -> np.ndarray:
-    """Features in more of P's texts than of U's, by z-score, the strongest `most` of them."""
+    """Features in more of P's texts than of U's, by z-score, the strongest `most` of them; the first 16 may fall short a little."""
     ids, counts = np.unique(np.concatenate(p), return_counts=True)
     other, other_counts = np.unique(np.concatenate(u), return_counts=True)
     in_u = np.zeros(len(ids))
@@ -100,7 +100,9 @@ def select_features(p: list[np.ndarray], u: list[np.ndarray], most: int, least_z
     pooled = np.clip((counts + in_u + 1) / (len(p) + len(u) + 2), 1e-9, 1 - 1e-9)
     z = (counts / len(p) - in_u / len(u)) / np.sqrt(pooled * (1 - pooled) * (1 / len(p) + 1 / len(u)))
     best = np.lexsort((ids, -z))[:most]
-    return np.sort(ids[best[(z[best] >= least_z) | (np.arange(len(best)) < 16)]])
+    good = (z[best] >= least_z) | (np.arange(len(best)) < 16) & (z[best] >= least_z - 0.5)
+    good[:1] = True
+    return np.sort(ids[best[good]])
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, max_positive: int = 4000, max_unlabelled: int = 8000, prior: float | None = None, most_features: int = 512, least_z: float = 4.5) -> Model:
@@ -132,7 +134,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_positive: int = 4000, max_unl
                 yield pa.RecordBatch.from_arrays([batch.column(0)[row : row + len(found)], batch.column(2)[row : row + len(found)], pa.array(found, pa.binary())], names=["doc_id", "part", "found"])
 
     sample = docs.sparkSession.createDataFrame(list(wanted.items()), "doc_id long, part int")
-    rows = docs.withColumn("doc_id", F.col("doc_id").cast("long")).join(F.broadcast(sample), "doc_id").select("doc_id", "text", "part").mapInArrow(featurise, "doc_id long, part int, found binary").collect()
+    rows = docs.withColumn("doc_id", F.col("doc_id").cast("long")).join(F.broadcast(sample), "doc_id").select("doc_id", "text", "part").mapInArrow(tidied(featurise), "doc_id long, part int, found binary").collect()
     rows.sort(key=lambda r: (r.doc_id, r.found))
     found = {bit: [np.frombuffer(r.found, "<u4") for r in rows if r.part & bit] for bit in (1, 2)}
     if not found[1] or not found[2] or not sum(map(len, found[1])) or not sum(map(len, found[2])):
@@ -157,7 +159,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score_arrays(batch.column(1), model))], names=["doc_id", "score"])
 
     rows = pick(docs, doc_id="doc_id", text="text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    return rows.mapInArrow(each, "doc_id long, score double")
+    return rows.mapInArrow(tidied(each), "doc_id long, score double")
 
 
 def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
@@ -168,7 +170,7 @@ def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFra
         for batch in batches:
             yield batch.filter(pc.less(pa.array(score_arrays(batch.column(text_at), model)), threshold))
 
-    return docs.mapInArrow(each, docs.schema)
+    return bounded(docs).mapInArrow(tidied(each), docs.schema)
 
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mosaicore.llm.common import as_strings, pick
+from mosaicore.llm.common import as_strings, pick, tidied
 
 MARKUP = re.compile(r"""<(?:!--.*?(?:--!?>|\Z)|(?P<close>/?)(?P<name>[A-Za-z][^\s/>]*)(?P<rest>(?:[^>"']|"[^"]*"|'[^']*')*+>|[^>]*(?:>|\Z))|[!?/][^>]*(?:>|\Z))""", re.S)
 NAMED = re.compile(r"""\b(class|id|role|aria-label|hidden|style)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
@@ -68,7 +68,7 @@ def is_noise(tag: str, rest: str, within: bool) -> bool:
         name, value = name.lower(), value.strip("\"'").lower()
         if name == "hidden" or name == "style" and re.search(r"display\s*:\s*none", value):
             return True
-        if name != "style" and not NOISE.isdisjoint(WORD.findall(value)):
+        if name != "style" and not NOISE.isdisjoint(set(WORD.findall(value)) - ({"header"} if within else set())):
             return True
     return False
 
@@ -237,4 +237,4 @@ def extract(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
     rows = pick(pages, page_id="page_id", url="url", html="html")
-    return rows.mapInArrow(each, rows.select("page_id", "url", F.col("html").alias("text")).schema)
+    return rows.mapInArrow(tidied(each), rows.select("page_id", "url", F.col("html").alias("text")).schema)

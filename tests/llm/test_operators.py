@@ -518,6 +518,11 @@ def test_main_text():
     assert html_text.main_text(PAGE).split("\n\n") == ["The Title", "Bold start of text <here> and more of it", "Second été part, which links somewhere.", "one", "two"]
 
 
+def test_headers_of_articles_stay():
+    page = "<body><div class='page-header'>site</div><article><div class='article-header'><h1>Title</h1></div><p>Some text of the article.</p><div class='comment-list'><p>Nice!</p></div></article></body>"
+    assert html_text.main_text(page) == "Title\n\nSome text of the article."
+
+
 def test_main_text_without_article():
     body = "".join(f"<p>{prose(random.Random(k), 30)}</p>" for k in range(4))
     page = f"<body><div class=menu><a href=1>a</a></div><div><a href=1>x y z</a> <a href=2>w</a></div><div><h2>Head line</h2>{body}</div></body>"

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mosaicore.llm.bytestext import mix, prefix_hash, slice_hash, text_arrays
-from mosaicore.llm.common import pick, written
+from mosaicore.llm.common import pick, tidied, written
 from mosaicore.llm.runindex import RunIndex
 
 LEAST, GRAM = 200, 40
@@ -99,7 +99,7 @@ def segment_table(docs: DataFrame, least: int) -> DataFrame:
                 text, anchor, whole, lo, hi = segments(data, offsets, prefix, least)
                 yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(whole), pa.array(keys[text]), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))], names=["anchor", "segment", "key", "lo", "hi"])
 
-    return docs.mapInArrow(each, "anchor long, segment long, key long, lo int, hi int")
+    return docs.mapInArrow(tidied(each), "anchor long, segment long, key long, lo int, hi int")
 
 
 def packed_texts(docs: DataFrame) -> DataFrame:
@@ -114,7 +114,7 @@ def packed_texts(docs: DataFrame) -> DataFrame:
                 packed = [codec.compress(raw[a:b], asbytes=True) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(keys), batch.column(0)[row : row + len(keys)], pa.array(np.diff(offsets)), pa.array(packed, pa.binary())], names=["key", "doc_id", "n_bytes", "packed"])
 
-    return docs.mapInArrow(each, "key long, doc_id long, n_bytes long, packed binary")
+    return docs.mapInArrow(tidied(each), "key long, doc_id long, n_bytes long, packed binary")
 
 
 def unpack(packed: bytes, n: int) -> bytes:
@@ -147,7 +147,7 @@ def marked(distinct: DataFrame, least: int) -> DataFrame:
             yield block(held)
 
     rows = distinct.repartition("anchor").sortWithinPartitions("anchor", "segment")
-    return rows.select("anchor", "segment", "count", "bytes").mapInArrow(each, "anchor long, segment long, marks array<int>")
+    return rows.select("anchor", "segment", "count", "bytes").mapInArrow(tidied(each), "anchor long, segment long, marks array<int>")
 
 
 def segment_bytes(places: DataFrame, texts: DataFrame) -> DataFrame:
@@ -165,12 +165,12 @@ def segment_bytes(places: DataFrame, texts: DataFrame) -> DataFrame:
 
     by_text = places.groupBy("key").agg(F.collect_list(F.struct("anchor", "segment", "count", "lo", "hi")).alias("wanted"))
     # rows that repeat a key have one text: any of them serves
-    return texts.join(by_text, "key").select("packed", "n_bytes", "wanted").mapInArrow(each, "anchor long, segment long, count long, bytes binary")
+    return texts.join(by_text, "key").select("packed", "n_bytes", "wanted").mapInArrow(tidied(each), "anchor long, segment long, count long, bytes binary")
 
 
 def repeated_spans(docs: DataFrame, least: int, texts: DataFrame) -> DataFrame:
     """key and spans (start * 2**32 + end, unordered, they may overlap) of each text that repeats something."""
-    found = segment_table(docs, least)
+    found = written(segment_table(docs, least), "segments")
     per_anchor = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("segment").alias("x"), F.max("segment").alias("y")).where("n > 1")
     again = written(found.join(per_anchor.select("anchor", (F.col("x") != F.col("y")).alias("mixed")), "anchor").select("anchor", "segment", "key", "lo", "hi", "mixed"), "repeated")
     mixed = again.where("mixed")
@@ -218,7 +218,7 @@ def remove_repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(gone, kind), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "spans", "kept"])
 
     rows = texts.join(spans, "key", "left").select("doc_id", "n_bytes", "packed", "spans")
-    return rows.mapInArrow(each, "doc_id long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary")
+    return rows.mapInArrow(tidied(each), "doc_id long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary")
 
 
 def digests(docs: DataFrame, least: int = LEAST) -> DataFrame:

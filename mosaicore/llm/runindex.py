@@ -37,7 +37,10 @@ def suffix_array(words: np.ndarray, alive: np.ndarray) -> np.ndarray:
     Prefix doubling from 8 letters on; places whose rank is settled take no further part.
     """
     n = len(words)
-    order = np.argsort(words, kind="stable")
+    order = np.argsort(words)
+    ends = np.flatnonzero(~alive[order])  # suffixes that end within 8 letters share no word with others
+    own = np.sort(order[ends])
+    order[ends] = own[np.argsort(words[own], kind="stable")]
     head = np.ones(n, bool)  # starts of groups of equal suffixes so far
     if n > 1:
         w = words[order]
@@ -56,7 +59,7 @@ def suffix_array(words: np.ndarray, alive: np.ndarray) -> np.ndarray:
         own = order[where]
         first = start[where]
         second = rank[np.minimum(own + step, n)]
-        by = np.lexsort((second, first)) if n >= 1 << 31 else np.argsort(first << 32 | second + 1, kind="stable")
+        by = np.lexsort((second, first)) if n >= 1 << 31 else np.argsort(first << 32 | second + 1)
         own, first, second = own[by], first[by], second[by]
         order[where] = own
         head[where[1:]] = (first[1:] != first[:-1]) | (second[1:] != second[:-1])

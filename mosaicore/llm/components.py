@@ -32,6 +32,7 @@ def components_of(links: DataFrame) -> DataFrame:
         # large star: every larger neighbour of u links to the smallest of u and its neighbours
         both = edges.unionByName(edges.select("g", F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("g", "u").agg(F.min("v").alias("m")).select("g", "u", F.least("u", "m").alias("m"))
+        least = written(least.coalesce(tasks), "least")  # so that the join can be split where a node has very many links
         large = both.join(least, ["g", "u"]).where("v > u").select("g", F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct().coalesce(tasks)
         # small star: u and its smaller neighbours link to the smallest of them
         low = large.groupBy("g", "u").agg(F.min("v").alias("m"))

@@ -206,6 +206,7 @@ def classes(signatures: DataFrame, docs: DataFrame, n: int, share: int = 80) ->
     sets = written(sets.select("set_a", "set_b", F.col("rep.doc_id").alias("rep"), F.col("rep.n_shingles").alias("n"), F.col("rep.keys").alias("keys")), "sets")
     member = sets.select("rep", "n", F.explode("keys").alias("key"))
     hub = member.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("hub"), F.count(F.lit(1)).alias("m")).where("m > 1").select("key", "hub")
+    hub = written(hub, "hubs")  # so that the join is of two shuffles that Spark can split where a bucket is hot
     stars = written(member.join(hub, "key").select("key", "rep", "n", F.col("hub.rep").alias("hub"), F.col("hub.n").alias("hub_n")), "stars")
     alike = lambda x, y: 100 * F.least(x, y) >= share * F.greatest(x, y)  # noqa: E731  else the sets' sizes rule the pair out
     candidates = stars.where("rep != hub").select(F.col("hub").alias("a"), F.col("rep").alias("b"), alike(F.col("n"), F.col("hub_n")).alias("alike")).distinct()

@@ -172,7 +172,9 @@ def repeated_spans(docs: DataFrame, least: int, texts: DataFrame) -> DataFrame:
     """key and spans (start * 2**32 + end, unordered, they may overlap) of each text that repeats something."""
     found = written(segment_table(docs, least), "segments")
     per_anchor = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("segment").alias("x"), F.max("segment").alias("y")).where("n > 1")
-    again = written(found.join(per_anchor.select("anchor", (F.col("x") != F.col("y")).alias("mixed")), "anchor").select("anchor", "segment", "key", "lo", "hi", "mixed"), "repeated")
+    # written, so that the join below is of two shuffles that Spark can split where an anchor is very frequent
+    per_anchor = written(per_anchor.select("anchor", (F.col("x") != F.col("y")).alias("mixed")), "anchors")
+    again = written(found.join(per_anchor, "anchor").select("anchor", "segment", "key", "lo", "hi", "mixed"), "repeated")
     mixed = again.where("mixed")
     distinct = mixed.groupBy("anchor", "segment").agg(F.count(F.lit(1)).alias("count"), F.min(F.struct("key", "lo", "hi")).alias("at")).select("anchor", "segment", "count", "at.*")
     marks = written(marked(segment_bytes(distinct, texts).dropDuplicates(["anchor", "segment"]), least).where("size(marks) > 0"), "marks")

@@ -18,7 +18,7 @@ import numpy as np
 from mosaicore.llm.bytestext import WHITE, byte_class, prefix_hash, ragged, slice_hash, text_arrays
 
 #: Pieces and ids that a worker remembers before it starts afresh.
-MEMO_PIECES, MEMO_IDS = 1_000_000, 5_000_000
+MEMO_PIECES, MEMO_IDS = 2_000_000, 10_000_000
 #: Pieces that the tokenizer is given at a time.
 AT_ONCE = 1 << 13
 #: ASCII letters, and ASCII that is neither letter, digit, white space nor apostrophe.

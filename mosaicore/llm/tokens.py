@@ -80,10 +80,9 @@ class Encoder:
         first = self.n_ids + np.cumsum(lengths) - lengths
         self.flat = np.concatenate(parts)
         self.n_ids += int(lengths.sum())
-        hashes = np.concatenate([self.seen, hashes])
-        order = np.argsort(hashes, kind="stable")
-        self.seen = hashes[order]
-        self.at = np.concatenate([self.at, [first, lengths]], axis=1)[:, order]
+        where = np.searchsorted(self.seen, hashes)  # both are sorted: no need to sort them again
+        self.seen = np.insert(self.seen, where, hashes)
+        self.at = np.insert(self.at, where, [first, lengths], axis=1)
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, one after the other; number of ids of each text)."""

@@ -1,13 +1,14 @@
 """Personal data: rules for plain forms, and a character-level bidirectional LSTM with a CRF for others.
 
-Every text is read whole by the rules (`base_spans`).  The tagger then reads windows of 64
+Every text is read whole by the rules (`base_spans`).  The tagger then reads windows of 128
 characters that overlap by half, wherever a digit, an at sign or a bracketed "at" or "dot"
-stands within reach: each of the four kinds needs one of them.  Each window is decoded by
+stands within reach.  Each window is decoded by
 Viterbi's algorithm over learnt transitions; its spans carry the mean posterior probability of
 their tags.
 Windows are reconciled globally, for a text as a whole: spans that run into the inner edge of a
-window are left to the window that holds them whole, and of the rest the set without overlaps
-that has the largest total score is taken.  Rules' spans always stay; the tagger's are
+window are joined to what the next window has of them, whatever their length, or left to the
+window that holds them whole, and of all whole spans the set without overlaps that has the
+largest total score is taken.  Rules' spans always stay; the tagger's are
 added where they overlap none and hold what their kind needs (digits, parts, an at sign).
 
 The tagger is trained in numpy (stochastic gradients with Adam) on labelled spans: personal data
@@ -85,13 +86,16 @@ def base_spans(text: str) -> list[Span]:
 
 # ---------------------------------------------------------------- the tagger
 
-WIDTH, STRIDE = 64, 32
+WIDTH, STRIDE = 128, 64
+#: Places on either side of a trigger that are read, and those that a word at their edge may add.
+REACH, WORD_REACH = 80, 256
 #: O, then begin and inside of each kind.
 TAGS = 1 + 2 * len(KINDS)
 #: Printable ASCII each by itself; white space, controls, letters, digits and others beyond ASCII by class; the pad.
 SYMBOLS = 96 + 5
 PAD = SYMBOLS - 1
 BATCH = 512
+WORD_END = re.compile(r"\s")
 TRIGGER = re.compile(r"[0-9@]|[\[({<]\s*(?:at|dot)\b", re.I)
 
 
@@ -227,7 +231,7 @@ def crf_gradient(e: np.ndarray, trans: np.ndarray, gold: np.ndarray, mask: np.nd
     return float((z - score).mean()), de / n, dt / n
 
 
-def train(samples: list[tuple[np.ndarray, np.ndarray]], size: int = 16, steps: int = 450, batch: int = 48, rate: float = 0.02, seed: int = 5) -> Tagger:
+def train(samples: list[tuple[np.ndarray, np.ndarray]], size: int = 16, steps: int = 600, batch: int = 48, rate: float = 0.02, seed: int = 5) -> Tagger:
     """A tagger learnt from windows (symbols, tags) of WIDTH places; PAD marks places beyond the text."""
     rng = np.random.default_rng(seed)
     scale = lambda *shape: (rng.standard_normal(shape) * 0.2).astype(np.float32)
@@ -287,7 +291,8 @@ def decode(model: Tagger, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 # ---------------------------------------------------------------- labelled spans
 
 TEMPLATES: dict[str, tuple[str, ...]] = {
-    "email": ("{w}@{w}.{t}", "{w}.{w}@{w}.{t}", "{w}{d}@{w}.{w}.{t}", "{w} @ {w}.{t}", "{w}[at]{w}.{t}", "{w} (at) {w}.{t}", "{w} [at] {w} [dot] {t}", "{w}.{D}@{w}{d}.{w}.{t}"),
+    "email": ("{w}@{w}.{t}", "{w}.{w}@{w}.{t}", "{w}{d}@{w}.{w}.{t}", "{w} @ {w}.{t}", "{w}[at]{w}.{t}", "{w} (at) {w}.{t}", "{w} [at] {w} [dot] {t}", "{w}.{D}@{w}{d}.{w}.{t}", "{w} (at) {w} (dot) {t}",
+              "{w} [at] {w} [dot] {w} [dot] {t}", "{w}.{w} (at) {w} (dot) {w} (dot) {t}", "{w}.{w}{w} [at] {w}{w}.{w}.{t}", "{w}.{w}{w} (at) {w}{w}{w}.{t}", "{w}.{w}.{w} [at] {w}{w} [dot] {w} [dot] {w} [dot] {t}"),
     "ip": ("{p}.{p}.{p}.{p}", "{p} . {p} . {p} . {p}", "{p}[.]{p}[.]{p}[.]{p}"),
     "card": ("{c4} {c4} {c4} {c4}", "{c4}-{c4}-{c4}-{c4}", "{c16}", "{c4}.{c4}.{c4}.{c4}", "{c4} {c6} {c5}"),
     "phone": ("+{d} ({D}) {D}-{Q}", "+{d}{D} {D} {Q}", "({D}) {D}-{Q}", "{D}-{D}-{Q}", "00{d}{d} {D} {Q}", "+{d}{d} {d}{d} {Q} {Q}", "1-{D}-{D}-{Q}"),
@@ -295,6 +300,9 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
 LOOKALIKES = ("{d}", "{d}{d}", "{Q}", "{D}", "19{d}{d}", "20{d}{d}-0{d}-1{d}", "{d}.{d}", "v{d}.{d}.{d}", "${D}.{d}{d}", "{D},{D}", "{d}{d}:{d}{d}", "{d}{d}%", "@{w}", "{Q}-{d}{d}", "{D}/{D}", "{w}{d}", "{Q}{Q}", "No. {Q}", "{D} {D}", "({d})", "[{d}{d}]")
 WORDS = ("the of and thion er erin onar ento les des que para der und ein ich as is to").split()
 
+#: Letters about as often as in names.
+LETTERS = "aaaaaeeeeeiiiooorrrnnnsssttlllddccmmhhuuppgbfvkywjzxq"
+
 
 def luhn_number(rng: np.random.Generator, n: int) -> str:
     digits = "4" + "".join(map(str, rng.integers(0, 10, n - 2)))
@@ -309,8 +317,10 @@ def fill(template: str, rng: np.random.Generator, words: list[str]) -> str:
     for piece in re.split(r"(\{[^}]*\})", template):
         if piece == "{w}":
             piece = "".join(c for c in words[rng.integers(len(words))].lower() if c.isascii() and c.isalpha()) or "mail"
+            if rng.random() < 0.5:  # names and hosts are seldom words of the texts
+                piece = "".join(LETTERS[k] for k in rng.integers(0, len(LETTERS), rng.integers(2, 13)))
         elif piece == "{t}":
-            piece = ("com", "org", "net", "de", "fr", "io")[rng.integers(6)]
+            piece = ("com", "org", "net", "edu", "de", "fr", "io")[rng.integers(7)]
         elif piece == "{p}":
             piece = str(rng.integers(256))
         elif piece[:2] == "{c":
@@ -349,6 +359,8 @@ def labelled(texts: list[str], count: int = 3000, seed: int = 11) -> list[tuple[
             tags[at : at + len(core)] = 2 + 2 * kind
             tags[at] -= 1
         low = max(0, min(at - int(rng.integers(0, max(1, WIDTH - min(len(core), WIDTH)))), len(text) - 1))
+        if rng.random() < 0.1:  # the window's edge cuts the core
+            low = max(0, at + int(rng.integers(0, len(core))) - WIDTH * int(rng.integers(2)))
         symbols = np.full(WIDTH, PAD)
         own = np.zeros(WIDTH, np.int64)
         piece = encode(text)[low : low + WIDTH]
@@ -378,12 +390,16 @@ def fit(docs: DataFrame, max_texts: int = 200) -> Tagger:
 #: Least posterior probability of the tags of an added span, on average.
 LEAST_SURE = 0.7
 
+#: A written address, from the start of a word on.
+WRITTEN = re.compile(r"(?<![\w.%+-])[\w.%+-]+\s*(?:@|[\[({<]\s*at\s*[\])}>])\s*[\w-]+(?:\s*(?:\.|[\[({<]\s*dot\s*[\])}>])\s*[\w-]+)+", re.I)
+PART = re.compile(r"[\w%+-]|\.(?=\w)")
+
 
 def plausible(kind: str, text: str) -> bool:
     """Whether a tagged string holds what its kind needs."""
     digits = re.sub("[^0-9]", "", text)
     if kind == "email":
-        return bool(re.fullmatch(r"[\w.%+-]+\s*(?:@|[\[({<]\s*at\s*[\])}>])\s*[\w-]+(?:\s*(?:\.|[\[({<]\s*dot\s*[\])}>])\s*[\w-]+)+", text, re.I))
+        return bool(WRITTEN.fullmatch(text))
     if kind == "ip":
         parts = re.findall("[0-9]+", text)
         return len(parts) == 4 and all(len(p) <= 3 and int(p) <= 255 for p in parts) and bool(re.fullmatch(r"[0-9]+(?:\s*[\[(]?\.[\])]?\s*[0-9]+){3}", text))
@@ -392,12 +408,30 @@ def plausible(kind: str, text: str) -> bool:
     return 8 <= len(digits) <= 15 and bool(re.fullmatch(r"(?:\+|00)?[0-9(][0-9 ().-]*[0-9]", text)) and bool(re.search("[ ().+-]", text))
 
 
+def settled(kind: str, text: str, a: int, b: int) -> tuple[int, int]:
+    """A tagged place without the white space at its end; an address has whole words, and none before it."""
+    while b > a and text[b - 1].isspace():
+        b -= 1
+    if kind == "email":
+        while a and PART.match(text, a - 1):
+            a -= 1
+        while b < len(text) and (text[b].isalnum() or text[b] in "_-"):
+            b += 1
+        if m := WRITTEN.search(text[a:b]):
+            a, b = a + m.start(), a + m.end()
+    return a, b
+
+
 def regions(text: str) -> list[tuple[int, int]]:
-    """Stretches within reach of a trigger, merged."""
+    """Stretches within reach of a trigger, up to the ends of the words at their edges, merged."""
     out: list[tuple[int, int]] = []
-    reach = WIDTH // 2
     for m in TRIGGER.finditer(text):
-        a, b = max(0, m.start() - reach), min(len(text), m.end() + reach)
+        a, b = max(0, m.start() - REACH), min(len(text), m.end() + REACH)
+        if not out or a > out[-1][1]:
+            word = WORD_END.search(text[max(0, a - WORD_REACH) : a][::-1])
+            a -= word.start() if word else min(a, WORD_REACH)
+        word = WORD_END.search(text, b, b + WORD_REACH)
+        b = word.start() if word else min(len(text), b + WORD_REACH)
         if out and a <= out[-1][1]:
             out[-1] = (out[-1][0], b)
         else:
@@ -441,8 +475,13 @@ def tag(texts: list[str], model: Tagger) -> list[tuple[list[Span], list[Span]]]:
     found: list[list[tuple[float, int, int, int]]] = [[] for _ in texts]
     if windows:
         tags, sure = decode(model, np.stack(windows))
+        cut: tuple[int, int, int, float] | None = None  # (kind, start, end, score) of the span at the end of the window before
+        before = -2
         for w in np.flatnonzero((tags > 0).any(axis=1)).tolist():
             i, at, first, last = where[w]
+            if first or w != before + 1:
+                cut = None
+            held, cut, before = cut, None, w
             row = tags[w]
             k = 0
             while k < WIDTH:
@@ -450,21 +489,26 @@ def tag(texts: list[str], model: Tagger) -> list[tuple[list[Span], list[Span]]]:
                     end = k + 1
                     while end < WIDTH and row[end] == row[k] + 1:
                         end += 1
-                    score = float(sure[w, k:end].mean())
-                    if (k or first) and (end < WIDTH or last) and score >= LEAST_SURE:
-                        found[i].append((score * (end - k), int(row[k]) // 2, at + k, at + end))
+                    kind, start, total, whole = int(row[k]) // 2, at + k, float(sure[w, k:end].sum()), k > 0 or first
+                    if not whole and held is not None and held[0] == kind and held[1] <= at:  # from the window before on
+                        total, start, whole = held[3] + float(sure[w, held[2] - at : end].sum()), held[1], True
+                        total *= (at + end - start) / (max(at + end, held[2]) - start)
+                    if end == WIDTH and not last:
+                        cut = (kind, start, at + end, total) if whole else None
+                    elif whole and total / (at + end - start) >= LEAST_SURE:
+                        found[i].append((total, kind, start, at + end))
                     k = end
                 else:
                     k += 1
     out = []
     for text, own in zip(texts, found, strict=True):
         base = base_spans(text)
-        every = list(base)
+        every, done = list(base), 0
         for kind, a, b in reconcile(own):
-            while b > a and text[b - 1].isspace():
-                b -= 1
-            if all(b <= x or a >= y for _, x, y in base) and plausible(KINDS[kind], text[a:b]):
+            a, b = settled(KINDS[kind], text, a, b)
+            if a >= done and all(b <= x or a >= y for _, x, y in base) and plausible(KINDS[kind], text[a:b]):
                 every.append((KINDS[kind], a, b))
+                done = b
         every.sort(key=lambda s: (KINDS.index(s[0]), s[1], s[2]))
         out.append((base, every))
     return out

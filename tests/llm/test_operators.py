@@ -449,6 +449,28 @@ def test_tagger_learns_other_forms(tagger):
     assert base == [] and ("phone", text.index("(743)"), text.index("(743)") + 14) in every
 
 
+def test_spans_of_any_length_at_every_offset(monkeypatch):
+    def decode(_, windows):  # all but white space is one address
+        own = (windows != 0) & (windows != pii.PAD)
+        tags = np.where(own, 2, 0)
+        tags[own & ~np.pad(own, ((0, 0), (1, 0)))[:, :-1]] = 1
+        return tags, own * 0.9
+
+    monkeypatch.setattr(pii, "decode", decode)
+    for n in (8, 31, 32, 33, 48, 64, 65, 80, 127, 128, 129, 200, 300):
+        core = ("q" * (n // 2) + "(at)" + "h" * n)[: n - 4] + ".com" if n > 12 else "q(at)h.c"
+        texts = [" " * k + core + " " * 200 for k in range(150)]
+        assert [every for _, every in pii.tag(texts, None)] == [[("email", k, k + len(core))] for k in range(150)], n
+
+
+@pytest.mark.parametrize("core", ["jane [at] cs [dot] stanford [dot] edu", "jane.doe (at) physics (dot) example (dot) org", "maria.gonzalez [at] research [dot] example [dot] com", "bartholomew.featherstonehaugh (at) departmentofmathematics.example.org", "maria.gonzalez.fernandez [at] computing [dot] research [dot] example [dot] com"])
+def test_tagger_finds_long_addresses(tagger, core):
+    rng = random.Random(4)
+    texts = [prose(rng, 60)[: 90 + k] + " " + core + " " + prose(rng, 30) for k in range(64)]
+    found = [("email", t.index(" " + core + " ") + 1, t.index(" " + core + " ") + 1 + len(core)) in every for t, (_, every) in zip(texts, pii.tag(texts, tagger))]
+    assert sum(found) >= 0.7 * len(found)
+
+
 def test_gradients_of_the_tagger():
     rng = np.random.default_rng(0)
     x, gold = rng.integers(0, 50, (6, 3)), rng.integers(0, 3, (6, 3))

@@ -1,7 +1,9 @@
 """Main text of web pages by composite text density.
 
 A page becomes a tree; subtrees that are never article text (menus, scripts, forms, notices,
-comments and the like, told by tag, role, class or id) are cut off first.  Every node then has a
+comments and the like, told by tag, role, class or id) are cut off first.  A name alone does not
+cut what holds the page's article or main element or most of its text outside links (`spare`), nor
+a heading, nor a section of an article whose name may be its topic.  Every node then has a
 density: its characters per tag, adjusted for how much of them lies in links.  A node's density
 sum is that of its children, and the node with the largest sum holds the article.  The least
 density on the way from the body to it is the threshold; beside that way, what is as dense as
@@ -16,6 +18,7 @@ off tags) never fails; an empty table gives an empty result; other columns are i
 
 from __future__ import annotations
 
+import heapq
 import html
 import math
 import re
@@ -28,7 +31,7 @@ from pyspark.sql import functions as F
 from mosaicore.llm.common import as_strings, pick, tidied
 
 MARKUP = re.compile(r"""<(?:!--.*?(?:--!?>|\Z)|(?P<close>/?)(?P<name>[A-Za-z][^\s/>]*)(?P<rest>(?:[^>"']|"[^"]*"|'[^']*')*+>|[^>]*(?:>|\Z))|[!?/][^>]*(?:>|\Z))""", re.S)
-NAMED = re.compile(r"""\b(class|id|role|aria-label|hidden|style)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 WORD = re.compile(r"[a-z]+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -43,34 +46,55 @@ nav navbar navigation navi menu menubar breadcrumb breadcrumbs pager pagination
 footer foot colophon contentinfo masthead topbar toolbar header siteheader pageheader cookie cookies consent gdpr notice notices
 alert notification popup modal overlay newsletter subscribe subscription signup login register search searchbox comment comments commentlist disqus respond
 reply replies discussion share sharing social related recommended recommendations widget copyright legal disclaimer""".split())
+#: Those of readers' comments.
+COMMENTS = frozenset("comment comments commentlist disqus respond reply replies discussion".split())
+#: Those that a section of an article may have for its topic.
+TOPICS = frozenset("""ads adverts advertisement advertising banner sponsor sponsored promotion navigation footer header rail cookie cookies consent gdpr notice
+notices alert notification subscription login register search respond reply replies discussion share sharing social related recommended recommendations
+copyright legal disclaimer""".split())
+#: Names that say what a page has or lacks, not what the element is.
+STATE = re.compile(r"(?<!\S)(?:no|not|has|have|with|without)[-_]\S+")
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Grades of noise: cut always; by a name; by one of readers' comments; by one that may be a section's topic.
+ALWAYS, NAME, COMMENT, TOPIC = 1, 2, 3, 4
+#: What is named as noise stays if it has so many times the other text: beside an article, or readers' comments.
+FAR_MORE = 9
 #: What an open element of the name closes when it starts.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "tbody": ("tbody", "thead", "tfoot", "tr", "td", "th"), "tfoot": ("tbody", "thead", "tr", "td", "th")}
 SCOPE = frozenset("table ul ol dl div article section main body html td th blockquote aside nav header footer form".split())
 
 
 class Node:
-    __slots__ = ("tag", "parent", "parts", "noise", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "parts", "noise", "core", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
-    def __init__(self, tag: str, parent: Node | None, noise: bool = False):
-        self.tag, self.parent, self.noise = tag, parent, noise
+    def __init__(self, tag: str, parent: Node | None, noise: int = 0, core: bool = False):
+        self.tag, self.parent, self.noise, self.core = tag, parent, noise, core
         self.parts: list[Node | str] = []  # children and pieces of text, in order
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
 
 
-def is_noise(tag: str, rest: str, within: bool) -> bool:
-    """within: an article or main element is open, whose own header belongs to it."""
+def noise_of(tag: str, rest: str, within: bool) -> int:
+    """The grade of noise; within: an article or main element is open, whose own header belongs to it."""
     if tag in DROP or tag == "header" and not within:
-        return True
-    if tag in ("html", "body", "article", "main") or "=" not in rest and "hidden" not in rest.lower():
-        return False
-    for name, value in NAMED.findall(rest):
+        return ALWAYS
+    if "=" not in rest and "hidden" not in rest.lower():
+        return 0
+    words: set[str] = set()
+    for name, value in ATTRIBUTE.findall(rest):
         name, value = name.lower(), value.strip("\"'").lower()
-        if name == "hidden" or name == "style" and re.search(r"display\s*:\s*none", value):
-            return True
-        if name != "style" and not NOISE.isdisjoint(set(WORD.findall(value)) - ({"header"} if within else set())):
-            return True
-    return False
+        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
+            return ALWAYS
+        if name in ("class", "id", "role", "aria-label"):
+            words.update(WORD.findall(STATE.sub(" ", value)))
+    words &= NOISE
+    if within:
+        words.discard("header")
+    if not words or tag in HEADINGS:
+        return 0
+    if within and tag == "section" and words <= TOPICS:
+        return TOPIC
+    return NAME if words.isdisjoint(COMMENTS) else COMMENT
 
 
 def parse(page: str) -> Node:
@@ -118,7 +142,11 @@ def parse(page: str) -> Node:
                 at = node.parent
         if at.tag == "head" and tag in BLOCK:
             at = at.parent
-        node = Node(tag, at, is_noise(tag, m["rest"], within > 0))
+        noise = noise_of(tag, m["rest"], within > 0)
+        if tag in ("article", "main"):  # never cut; one named as noise, such as a reader's comment, saves nothing else
+            node = Node(tag, at, 0, tag == "main" or not noise)
+        else:
+            node = Node(tag, at, noise)
         at.parts.append(node)
         if tag not in VOID and not m["rest"].endswith("/>") or tag in BLOCK and tag != "hr":
             at = node
@@ -126,6 +154,78 @@ def parse(page: str) -> Node:
     return root
 
 
+def spare(root: Node) -> None:
+    """Takes the noise off what is named as noise, but holds the text of the page or is a section with a topic.
+
+    The largest first: one with an article or main element stays if the text of these is more than what articles and
+    main elements outside noise have (a tenth of the page's at least if they have none); one without stays if its text is more than all text outside noise, and far more
+    if it is of readers' comments or stands in an article that has text.  Text is what is not in links.
+    """
+    order, stack = [], [(root, False, False)]
+    some = False
+    while stack:
+        node, link, inside = stack.pop()
+        link, core = link or node.tag == "a", inside or node.core
+        order.append((node, link, inside))
+        for p in node.parts:
+            if not isinstance(p, str) and p.noise != ALWAYS:
+                some |= p.noise > 0
+                stack.append((p, link, core))
+    if not some:
+        return
+    # of each subtree: text, text in its core elements, the same without noise in it, text of links, the topmost noise in it
+    seen: dict[int, tuple[int, int, int, int, int, list[Node]]] = {}
+    within = {}
+    for node, link, inside in reversed(order):
+        own = sum(len(p) for p in node.parts if isinstance(p, str) and not p.isspace())
+        plain, linked = (0, own) if link else (own, 0)
+        clean, core, clean_core = plain, 0, 0
+        tops: list[Node] = []
+        for p in node.parts:
+            if isinstance(p, str) or p.noise == ALWAYS:
+                continue
+            x = seen[id(p)]
+            if p.noise == TOPIC and x[0] > x[4]:
+                p.noise = 0
+            plain, core, linked = plain + x[0], core + x[1], linked + x[4]
+            if p.noise:
+                tops.append(p)
+            else:
+                clean, clean_core = clean + x[2], clean_core + x[3]
+                tops, less = (x[5], tops) if len(x[5]) > len(tops) else (tops, x[5])
+                tops.extend(less)
+        if node.core:
+            core, clean_core = plain, clean
+        seen[id(node)] = (plain, core, clean, clean_core, linked, tops)
+        within[id(node)] = inside
+    every, _, clean, clean_core, _, tops = seen[id(root)]
+    count = 0
+    heap: list[tuple[int, int, int, Node]] = []
+    while True:
+        for p in tops:
+            heapq.heappush(heap, (-seen[id(p)][1], -seen[id(p)][0], count, p))
+            count += 1
+        tops = []
+        if not heap:
+            return
+        first, _, _, node = heapq.heappop(heap)
+        plain, core, own, own_core, _, below = seen[id(node)]
+        if core > clean_core and (clean_core or core * (1 + FAR_MORE) > every):
+            stays = True
+        elif first and not clean_core:  # too little: by all its text, after those with more
+            heapq.heappush(heap, (0, -plain, count, node))
+            count += 1
+            continue
+        elif clean_core and (core or not within[id(node)]):
+            stays = False
+        else:
+            stays = plain > clean * (FAR_MORE if clean_core or node.noise == COMMENT else 1)
+        if stays:
+            node.noise = 0
+            clean, tops = clean + own, below
+            clean_core += own if within[id(node)] else own_core
+
+
 def measure(root: Node) -> list[Node]:
     """Fills in counts, densities and sums, children before parents; the nodes that are not noise."""
     order, stack = [], [root]
@@ -162,6 +262,7 @@ def measure(root: Node) -> list[Node]:
 
 def chosen(root: Node) -> list[Node]:
     """The nodes whose whole subtrees are the text, in page order."""
+    spare(root)
     order = measure(root)
     best = max(order, key=lambda n: n.total)  # the first, outermost, of equals
     if best.total <= 0:
@@ -175,22 +276,15 @@ def chosen(root: Node) -> list[Node]:
     outer = next((n for n in reversed(way) if n.tag in ("article", "main")), None)
     if outer is not None:
         return [outer]
+    on_way = set(map(id, way))
     out: list[Node] = []
-
-    def visit(node: Node) -> None:
-        if node is best:
+    stack = [root]
+    while stack:
+        node = stack.pop()
+        if node is best or id(node) not in on_way:
             out.append(node)
-            return
-        on_way = set(map(id, way))
-        for p in node.parts:
-            if isinstance(p, str):
-                continue
-            if id(p) in on_way:
-                visit(p)
-            elif p.density >= least and p.chars > p.link_chars:
-                out.append(p)
-
-    visit(root)
+        else:
+            stack.extend(p for p in reversed(node.parts) if not isinstance(p, str) and (id(p) in on_way or p.density >= least and p.chars > p.link_chars))
     return out
 
 

@@ -545,6 +545,36 @@ def test_headers_of_articles_stay():
     assert html_text.main_text(page) == "Title\n\nSome text of the article."
 
 
+ARTICLE = "<h1>Title</h1><p>" + "Some text of the article, and more of it. " * 5 + "</p>"
+OF_ARTICLE = ["Title", ("Some text of the article, and more of it. " * 5).strip()]
+
+
+@pytest.mark.parametrize("names", ["class='content-sidebar-wrap'", "class='page has-sidebar'", "class='no-comments'", "class='sidebar-left'", "id=comments-open", "aria-hidden='false'", "data-hidden='1'", "data-id='nav'", "title='id=nav'"])
+@pytest.mark.parametrize("inner", ["<article>{}</article>", "<main><div class='has-nav sidebar-page'>{}</div></main>", "<div>{}</div>"])
+def test_wrappers_named_as_noise_keep_the_article(names, inner):
+    page = f"<body><nav><a href=1>menu</a></nav><div {names}>{inner.format(ARTICLE)}<div class='sidebar'><p>Short aside.</p></div></div><div class='related'><article><p>Teaser.</p></article></div></body>"
+    if inner.startswith("<div") and "comments" in names:
+        page = page.replace("<article>", "<div>").replace("</article>", "</div>")
+    got = html_text.main_text(page).split("\n\n")
+    assert got == OF_ARTICLE
+
+
+def test_sections_and_headings_of_articles_stay():
+    page = f"<body><article>{ARTICLE}<section id='discussion'><h2 id='related-work'>Related work</h2><p>What others found.</p><h2 id='legal-history'>Legal history</h2><p>What courts said.</p></section>"
+    page += "<section id='related'><a href=1>Another article</a> <a href=2>One more</a></section><section id=comments><p>Nice!</p></section><div class='newsletter'>Subscribe now to all our news</div></article></body>"
+    assert html_text.main_text(page).split("\n\n") == OF_ARTICLE + ["Related work", "What others found.", "Legal history", "What courts said."]
+
+
+def test_deep_pages_named_as_noise():
+    assert html_text.main_text("<div class=ad><p>" * 3000 + "text") == "text"
+
+
+def test_comments_longer_than_the_article_go():
+    comments = "".join(f"<article class='comment-body'><p>{prose(random.Random(k), 40)}</p></article>" for k in range(8))
+    for tag in ("article", "main"):
+        assert html_text.main_text(f"<body><{tag}>{ARTICLE}</{tag}><div id='comments'>{comments}</div></body>").split("\n\n") == OF_ARTICLE
+
+
 def test_main_text_without_article():
     body = "".join(f"<p>{prose(random.Random(k), 30)}</p>" for k in range(4))
     page = f"<body><div class=menu><a href=1>a</a></div><div><a href=1>x y z</a> <a href=2>w</a></div><div><h2>Head line</h2>{body}</div></body>"

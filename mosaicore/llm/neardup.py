@@ -243,7 +243,21 @@ def near_duplicates(docs: DataFrame, n: int = 5, share: int = 80) -> DataFrame:
 def keep_one(docs: DataFrame, n: int = 5, share: int = 80) -> DataFrame:
     """The documents without those that a smaller doc_id stands for, with all their columns.
 
-    Rows without doc_id stay; a doc_id that occurs more than once goes only if none of its rows is kept.
+    A doc_id that occurs more than once goes only if none of its rows is kept.  Rows without doc_id, and those of one
+    doc_id, have an identity of their own among such rows: of each class of theirs one row stays.
     """
     gone = near_duplicates(docs, n, share).groupBy(F.col("doc_id").alias("_gone")).agg(F.max("kept").alias("kept")).where("not kept").select("_gone")
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    gone = written(gone, "gone")  # read several times
+    left = docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    shared = written(left.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_shared")).count().where("count > 1").select("_shared"), "shared-ids")
+    row = "_row"
+    while row in docs.columns:
+        row += "_"
+    odd = left.where(F.col("doc_id").isNull()).unionByName(left.join(shared, left["doc_id"] == shared["_shared"], "left_semi"))
+    odd = written(odd.withColumn(row, F.monotonically_increasing_id()), "odd-rows")
+    if odd.isEmpty():
+        return left
+    found = near_duplicates(pick(odd, doc_id=row, text="text"), n, share).select(F.col("doc_id").alias("_kept"), "component_id")
+    first = found.join(pick(odd, _own=row, _id="doc_id"), F.col("_kept") == F.col("_own")).groupBy("_id", "component_id").agg(F.min("_own").alias("_first"))
+    rest = left.where(F.col("doc_id").isNotNull()).join(shared, left["doc_id"] == shared["_shared"], "left_anti")
+    return rest.unionByName(odd.join(first, odd[row] == first["_first"], "left_semi").drop(row))

@@ -191,6 +191,15 @@ def test_near_duplicates_of_odd_rows(spark, odd_docs, no_docs):
     assert neardup.near_duplicates(no_docs).collect() == []
 
 
+def test_copies_without_an_id_of_their_own_go(spark):
+    rng = random.Random(12)
+    one, two, three, four = (prose(rng, 40) for _ in range(4))
+    rows = [(None, one, "a"), (None, one, "b"), (None, one + " end", "c"), (None, two, "d"), (None, None, "e"), (5, three, "f"), (5, three, "f"), (5, four, "g"), (6, two + " " + three, "h"), (7, three, "i")]
+    kept = neardup.keep_one(spark.createDataFrame(rows, "doc_id long, text string, _row string")).collect()
+    assert sorted((r.doc_id or 0, r._row) for r in kept if r.text not in (one, one + " end")) == [(0, "d"), (0, "e"), (5, "f"), (5, "g"), (6, "h")]
+    assert sum(r.text in (one, one + " end") for r in kept) == 1
+
+
 def test_densified_signatures_estimate_similarity():
     rng = np.random.default_rng(0)
     base = np.unique(rng.integers(0, 1 << 63, 400).astype(np.uint64) * np.uint64(2))

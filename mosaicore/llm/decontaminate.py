@@ -184,24 +184,61 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(names, 256).alias("items_sha256"), ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"))
 
 
+def without_hits(texts: list[str], tables: list[Strings]) -> list[str]:
+    """The texts without the words that are hit, and without those that are hit when these are gone, until none is."""
+    texts, rest = list(texts), list(range(len(texts)))
+    while rest:
+        again = []
+        for row, words, hit, _ in hits(pa.array([texts[k] for k in rest], pa.string()), tables):
+            for k in range(words.n_docs):
+                a, b = int(words.bounds[k]), int(words.bounds[k + 1])
+                if not hit[a:b].any():
+                    continue
+                raw, done, out = texts[rest[row + k]].encode(), 0, []
+                edges = (a + np.flatnonzero(np.diff(np.concatenate([[0], hit[a:b].astype(np.int8), [0]])))).tolist()
+                for first, end in zip(edges[::2], edges[1::2], strict=True):
+                    out.append(raw[done : words.start[first] - words.offsets[k]])
+                    done = int(words.end[end - 1] - words.offsets[k])
+                texts[rest[row + k]] = b"".join([*out, raw[done:]]).decode()
+                again.append(rest[row + k])
+        rest = again
+    return texts
+
+
 def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The documents of which less than a twentieth of the words is hit, with all their columns.
+    """The documents of which less than a twentieth of the words is hit, without these words, with all their columns.
 
     One pass over the documents for all blocks of the benchmark: a text goes if the union of its hits says so.
+    n_chars, if there is one, is counted anew where words go.
     """
     text_at = docs.columns.index("text")
+    count_at = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
     context = docs.sparkSession.sparkContext
     sent = [context.broadcast(tables) for tables in blocks(benchmark, window)]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bad = np.zeros(batch.num_rows, bool)
-            column = batch.column(text_at)
+            bad, some = np.zeros(batch.num_rows, bool), np.zeros(batch.num_rows, bool)
+            columns = list(batch.columns)
+            column = columns[text_at]
             tables = [t for x in sent for t in x.value]
             for row, words, hit, _ in hits(column, tables):
                 n_hit = np.diff(np.concatenate([[0], np.cumsum(hit)])[words.bounds])
+                some[row : row + words.n_docs] = n_hit > 0
                 bad[row : row + words.n_docs] = (n_hit > 0) & (20 * n_hit >= words.count)
-            yield batch.filter(pc.invert(pa.array(bad)))
+            rows = np.flatnonzero(some & ~bad).tolist()
+            if rows:
+                texts = column.to_pylist()
+                cut = without_hits([texts[k] for k in rows], tables)
+                counts = columns[count_at].to_pylist() if count_at is not None else None
+                for k, text in zip(rows, cut, strict=True):
+                    texts[k] = text
+                    if counts is not None:
+                        counts[k] = len(text)
+                columns[text_at] = pa.array(texts, column.type)
+                if counts is not None:
+                    columns[count_at] = pa.array(counts, columns[count_at].type)
+            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(pc.invert(pa.array(bad)))
 
     return bounded(docs).mapInArrow(tidied(each), docs.schema)
 

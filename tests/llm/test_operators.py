@@ -284,6 +284,19 @@ def test_decontamination(spark, monkeypatch, limit):
     assert kept == {r.doc_id for r in rows if not r.contaminated} and 0 < len(kept) < len(rows)
 
 
+def test_passages_in_long_documents_go(spark):
+    rng = random.Random(13)
+    item, left, right = prose(rng, 20), prose(rng, 400) + " é", prose(rng, 400)
+    w = item.split()
+    nested = " ".join(w[:10]) + " [" + item.upper() + "] " + " ".join(w[10:])  # what is left when the inner one goes is one, too
+    rows = [(1, f"{left} {item}, {right}", 9), (2, f"{left} {nested} {right}", 9), (3, f"{left} {right}", 9), (4, item, 9), (5, None, 9)]
+    kept = {r.doc_id: r for r in decontaminate.keep_uncontaminated(spark.createDataFrame(rows, "doc_id long, text string, n_chars long"), spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
+    assert set(kept) == {1, 2, 3, 5}
+    assert kept[1].text == f"{left} , {right}" and kept[1].n_chars == len(kept[1].text)
+    assert re.findall(r"[^\W_]+", kept[2].text) == re.findall(r"[^\W_]+", f"{left} {right}") and kept[2].n_chars == len(kept[2].text)
+    assert (kept[3].text, kept[3].n_chars, kept[5].text) == (f"{left} {right}", 9, None)
+
+
 def test_decontamination_of_odd_rows(spark, odd_docs, no_docs):
     items = spark.createDataFrame([(1, "quick brown fox"), (1, "quick brown fox"), (None, "lazy dog")], "item_id long, text string")
     rows = decontaminate.contamination(odd_docs, items).collect()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -14,12 +15,14 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one made where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset, one of this machine if Spark runs on it alone, else an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = jvm_dir.get() if jvm_dir.isDefined() else None
-    if not found:  # a session on one machine, as in tests
+    if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="mosaicore-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -30,27 +33,58 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Paths of the tables that this process wrote and has not discarded.
+_written: list[str] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df, written as a table in the shared folder and read again: later reads survive a lost executor."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    _written.append(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def discard(spark: SparkSession, *paths: str | None) -> None:
+    """Deletes written tables that nothing reads any more."""
+    for path in filter(None, paths):
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        if path in _written:
+            _written.remove(path)
+
+
+def tables_since(count: int = 0) -> list[str]:
+    """The paths of written tables, without the first `count`."""
+    return _written[count:]
+
+
+def place_of(df: DataFrame) -> str | None:
+    """Where a table that `written` returned lies."""
+    return getattr(df, "_written_at", None)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Rows of an Arrow batch between Spark and its Python workers; texts may be long.
-BATCH_ROWS = 2000
+#: Most rows and bytes of an Arrow batch between Spark and its Python workers; texts may be long.
+BATCH_ROWS, BATCH_BYTES = 2000, 32 << 20
 
 
 def bounded(df: DataFrame) -> DataFrame:
-    """df; batches of the session become smaller where they are larger than BATCH_ROWS, which bounds memory on both sides."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    rows = int(df.sparkSession.conf.get(key, "10000"))
-    if rows <= 0 or rows > BATCH_ROWS:
-        df.sparkSession.conf.set(key, str(BATCH_ROWS))
+    """df; batches of its session become smaller where they may have more than BATCH_ROWS rows or BATCH_BYTES bytes.
+
+    Spark reads both settings when a plan runs, so they stay in the session; they bound memory on both sides and change no result.
+    """
+    conf = df.sparkSession.conf
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = conf.get(key, None)
+        size = re.fullmatch("([0-9]+)b?", now or "")
+        if now is not None and not (size and 0 < int(size[1]) <= most):
+            conf.set(key, str(most))
     return df
 
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mosaicore.llm.common import written
+from mosaicore.llm.common import discard, place_of, written
 
 #: Links that a task works on; tables of few links are not spread over all partitions.
 LINKS = 100_000
@@ -37,7 +37,8 @@ def components_of(links: DataFrame) -> DataFrame:
         # small star: u and its smaller neighbours link to the smallest of them
         low = large.groupBy("g", "u").agg(F.min("v").alias("m"))
         small = large.join(low, ["g", "u"]).where("v != m").select("g", F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.withColumnRenamed("m", "v")).distinct().coalesce(tasks)
-        edges, before = written(small, "links"), state
+        edges, before, used = written(small, "links"), state, (edges, least)
+        discard(links.sparkSession, *map(place_of, used))
         state = seen(edges)
         if state == before:
             break

@@ -7,15 +7,19 @@ string.  A shift of zero leads to the bucket of strings that end in this block,
 of their words, byte by byte, confirms an occurrence.  The texts of a batch are cut into runs of
 windows and searched in step, one table look-up for all runs at a time.
 
-Benchmark items go out in blocks of bounded size; each block is searched for in all texts.
+Benchmark items go out in blocks of BLOCK_WINDOWS strings (about 600 bytes each on an executor), one
+after the other: each is searched for in all texts, and only one is in memory at a time.
 
 Edge cases: null texts have no words; items without words or item_id are left out; an item that
-occurs twice counts once; empty tables give an empty result or no hits; other columns are ignored.
+occurs twice counts once, also where two strings overlap; item_ids are of any type; repeated documents
+are searched each; a very long text is searched whole, in memory that is a few times its size; empty
+tables give an empty result or no hits; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,11 +30,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mosaicore.llm.bytestext import NOT_ALNUM, Words, mix, ragged, text_arrays
-from mosaicore.llm.common import bounded, pick, tidied
+from mosaicore.llm.common import bounded, pick, tidied, written
 
 WINDOW, BLOCK, RUN = 13, 3, 256
 #: Windows that are sent to the executors at a time.
 BLOCK_WINDOWS = 200_000
+#: A word, for that bound.
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.A)
 
 
 def block_hash(h: np.ndarray, end: np.ndarray, size: int) -> np.ndarray:
@@ -48,7 +54,7 @@ class Strings:
     size: int
     hashes: np.ndarray  # strings x size
     raw: list[bytes]  # words joined by single spaces
-    items: list[list[int]]
+    items: list[list[str]]
 
     def __post_init__(self) -> None:
         self.block = min(BLOCK, self.size)
@@ -96,9 +102,9 @@ class Strings:
         return start, which
 
 
-def compile_strings(items: list[tuple[int, str]], window: int) -> list[Strings]:
+def compile_strings(items: list[tuple[str, str]], window: int) -> list[Strings]:
     """The strings of some items by their length."""
-    by: dict[int, dict[bytes, tuple[np.ndarray, list[int]]]] = {}
+    by: dict[int, dict[bytes, tuple[np.ndarray, list[str]]]] = {}
     for row, data, offsets in text_arrays(pa.array([text for _, text in items], pa.string())):
         words = Words(data, offsets, NOT_ALNUM)
         raw = words.data.tobytes()
@@ -114,12 +120,13 @@ def compile_strings(items: list[tuple[int, str]], window: int) -> list[Strings]:
 
 
 def blocks(benchmark: DataFrame, window: int) -> Iterator[list[Strings]]:
-    """The benchmark's strings, at most about BLOCK_WINDOWS at a time."""
-    held: list[tuple[int, str]] = []
+    """The benchmark's strings, at most about BLOCK_WINDOWS at a time; the next block is built when it is asked for."""
+    held: list[tuple[str, str]] = []
     n = 0
-    for item, text in pick(benchmark, item_id="item_id", text="text").where("item_id is not null and text is not null").toLocalIterator():
+    rows = pick(benchmark, item_id="item_id", text="text").where("item_id is not null and text is not null")
+    for item, text in rows.select(F.col("item_id").cast("string"), "text").toLocalIterator():
         held.append((item, text))
-        n += max(1, len(text.split()) - window + 1)
+        n += max(1, len(WORD.findall(text)) - window + 1)
         if n >= BLOCK_WINDOWS:
             yield compile_strings(held, window)
             held, n = [], 0
@@ -127,50 +134,74 @@ def blocks(benchmark: DataFrame, window: int) -> Iterator[list[Strings]]:
         yield compile_strings(held, window)
 
 
-def hits(column: pa.Array, tables: list[Strings]) -> Iterator[tuple[int, Words, np.ndarray, list[set[int]]]]:
-    """(first row, words, which words are hit, items of each text) for slices of a column."""
+def hits(column: pa.Array, tables: list[Strings], window: int = WINDOW) -> Iterator[tuple[int, Words, np.ndarray, list[set[str]], np.ndarray]]:
+    """(first row, words, which words are hit, items of each text, which texts hold a whole window) for slices of a column."""
     for row, data, offsets in text_arrays(column):
         words = Words(data, offsets, NOT_ALNUM)
         edge = np.zeros(len(words.start) + 1, np.int32)
-        found: list[set[int]] = [set() for _ in range(words.n_docs)]
+        found: list[set[str]] = [set() for _ in range(words.n_docs)]
+        whole = np.zeros(words.n_docs, bool)
         for t in tables:
             start, which = t.find(words)
             np.add.at(edge, start, 1)
             np.add.at(edge, start + t.size, -1)
             docs = np.searchsorted(words.bounds, start, side="right") - 1
+            whole[docs] |= t.size == window
             for doc, j in set(zip(docs.tolist(), which.tolist(), strict=True)):
                 found[doc].update(t.items[j])
-        yield row, words, np.cumsum(edge[:-1]) > 0, found
+        yield row, words, np.cumsum(edge[:-1]) > 0, found, whole
 
 
-def search(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, n_words, hit (start and end of each run of hit words, one after the other) and items per document."""
-    out = pick(docs, doc_id="doc_id", text="text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    out = out.select("doc_id", "text", F.lit(0).cast("long").alias("n_words"), F.array().cast("array<long>").alias("hit"), F.array().cast("array<long>").alias("items"))
-    context = docs.sparkSession.sparkContext
-    for tables in [*blocks(benchmark, window)] or [[]]:
-        sent = context.broadcast(tables)
+def searched(rows: DataFrame, text: str, benchmark: DataFrame, window: int) -> tuple[DataFrame, str, bool]:
+    """rows with a struct beside its columns (n_words, hit, items and whole), the struct's name, and whether any item is shorter than a window.
+
+    hit has start and end of each run of hit words, one after the other; whole says that a full window occurs.
+    One block of the benchmark is in memory at a time: the rows are written between one block and the next.
+    """
+    name = "found"
+    while name in rows.columns:
+        name += "_"
+    kind = pa.struct([("n_words", pa.int64()), ("hit", pa.list_(pa.int64())), ("items", pa.list_(pa.string())), ("whole", pa.bool_())])
+    spark_kind = "struct<n_words: long, hit: array<long>, items: array<string>, whole: boolean>"
+    out = bounded(rows).withColumn(name, F.lit(None).cast(spark_kind))
+    at, schema = rows.columns.index(text), out.schema
+    source = blocks(benchmark, window)
+    tables, short = next(source, []), False
+    while True:
+        short |= any(t.size < window for t in tables)
+        sent = rows.sparkSession.sparkContext.broadcast(tables)
 
         def each(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for row, words, hit, found in hits(batch.column(1), sent.value):
-                    n = words.n_docs
-                    spans, items = [], []
-                    any_hit = np.add.reduceat(np.append(hit, False), np.minimum(words.bounds[:-1], len(hit)))[:n] if n else []
-                    for k, (was, own) in enumerate(zip(batch.column(3)[row : row + n].to_pylist(), batch.column(4)[row : row + n].to_pylist(), strict=True)):
+                for row, words, hit, found, whole in hits(batch.column(at), sent.value, window):
+                    own = []
+                    any_hit = np.diff(np.concatenate([[0], np.cumsum(hit)])[words.bounds]) > 0
+                    before = batch.column(batch.num_columns - 1).slice(row, words.n_docs).to_pylist()
+                    for k, old in enumerate(before):
                         a, b = int(words.bounds[k]), int(words.bounds[k + 1])
-                        if b > a and any_hit[k]:
-                            mark = np.zeros(b - a, bool)
-                            for s, e in zip(was[::2], was[1::2], strict=True):
+                        runs = old["hit"] if old else []
+                        if any_hit[k]:
+                            mark = hit[a:b].copy()
+                            for s, e in zip(runs[::2], runs[1::2], strict=True):
                                 mark[s:e] = True
-                            mark |= hit[a:b]
-                            was = np.flatnonzero(np.diff(np.concatenate([[0], mark.astype(np.int8), [0]]))).tolist()
-                        spans.append(was)
-                        items.append(sorted({*own, *found[k]}))
-                    yield pa.RecordBatch.from_arrays([batch.column(0)[row : row + n], batch.column(1)[row : row + n], pa.array(words.count, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.int64()))], names=["doc_id", "text", "n_words", "hit", "items"])
+                            runs = np.flatnonzero(np.diff(np.concatenate([[0], mark.astype(np.int8), [0]]))).tolist()
+                        own.append({"n_words": b - a, "hit": runs, "items": sorted({*(old["items"] if old else ()), *found[k]}), "whole": bool(whole[k]) or bool(old and old["whole"])})
+                    part = batch.slice(row, words.n_docs)
+                    yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(own, kind)], names=batch.schema.names)
 
-        out = out.mapInArrow(tidied(each), "doc_id long, text string, n_words long, hit array<long>, items array<long>")
-    return out.drop("text")
+        out = out.mapInArrow(tidied(each), schema)
+        tables = next(source, None)
+        if tables is None:
+            return out, name, short
+        out = written(out, "searched")
+        sent.destroy()
+
+
+def search(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """doc_id, n_words, hit (start and end of each run of hit words, one after the other), items and whole per document."""
+    rows = pick(docs, doc_id="doc_id", text="text").withColumn("doc_id", F.col("doc_id").cast("long"))
+    found, name, _ = searched(rows, "text", benchmark, window)
+    return found.select("doc_id", f"{name}.*")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -179,70 +210,73 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     odd = F.filter("hit", lambda _, i: i % 2 == 1)
     even = F.filter("hit", lambda _, i: i % 2 == 0)
     total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda x, y: x + y)
-    names = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
     n_hit = total(odd) - total(even)
-    return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(names, 256).alias("items_sha256"), ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"))
-
-
-def without_hits(texts: list[str], tables: list[Strings]) -> list[str]:
-    """The texts without the words that are hit, and without those that are hit when these are gone, until none is."""
-    texts, rest = list(texts), list(range(len(texts)))
-    while rest:
-        again = []
-        for row, words, hit, _ in hits(pa.array([texts[k] for k in rest], pa.string()), tables):
-            for k in range(words.n_docs):
-                a, b = int(words.bounds[k]), int(words.bounds[k + 1])
-                if not hit[a:b].any():
-                    continue
-                raw, done, out = texts[rest[row + k]].encode(), 0, []
-                edges = (a + np.flatnonzero(np.diff(np.concatenate([[0], hit[a:b].astype(np.int8), [0]])))).tolist()
-                for first, end in zip(edges[::2], edges[1::2], strict=True):
-                    out.append(raw[done : words.start[first] - words.offsets[k]])
-                    done = int(words.end[end - 1] - words.offsets[k])
-                texts[rest[row + k]] = b"".join([*out, raw[done:]]).decode()
-                again.append(rest[row + k])
-        rest = again
-    return texts
-
-
-def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The documents of which less than a twentieth of the words is hit, without these words, with all their columns.
+    return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"))
 
-    One pass over the documents for all blocks of the benchmark: a text goes if the union of its hits says so.
-    n_chars, if there is one, is counted anew where words go.
-    """
-    text_at = docs.columns.index("text")
-    count_at = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
-    context = docs.sparkSession.sparkContext
-    sent = [context.broadcast(tables) for tables in blocks(benchmark, window)]
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bad, some = np.zeros(batch.num_rows, bool), np.zeros(batch.num_rows, bool)
-            columns = list(batch.columns)
-            column = columns[text_at]
-            tables = [t for x in sent for t in x.value]
-            for row, words, hit, _ in hits(column, tables):
-                n_hit = np.diff(np.concatenate([[0], np.cumsum(hit)])[words.bounds])
-                some[row : row + words.n_docs] = n_hit > 0
-                bad[row : row + words.n_docs] = (n_hit > 0) & (20 * n_hit >= words.count)
-            rows = np.flatnonzero(some & ~bad).tolist()
-            if rows:
-                texts = column.to_pylist()
-                cut = without_hits([texts[k] for k in rows], tables)
-                counts = columns[count_at].to_pylist() if count_at is not None else None
-                for k, text in zip(rows, cut, strict=True):
-                    texts[k] = text
-                    if counts is not None:
-                        counts[k] = len(text)
-                columns[text_at] = pa.array(texts, column.type)
-                if counts is not None:
-                    columns[count_at] = pa.array(counts, columns[count_at].type)
-            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(pc.invert(pa.array(bad)))
 
-    return bounded(docs).mapInArrow(tidied(each), docs.schema)
+def without_words(text: str, runs: list[int]) -> str:
+    """text without the runs of its words: the start and end of each, one after the other."""
+    ((_, data, offsets),) = text_arrays(pa.array([text], pa.string()))
+    words = Words(data, offsets, NOT_ALNUM)
+    raw, done, out = text.encode(), 0, []
+    for first, end in zip(runs[::2], runs[1::2], strict=True):
+        out.append(raw[done : words.start[first]])
+        done = int(words.end[end - 1])
+    return b"".join([*out, raw[done:]]).decode()
 
 
-def items_digest(items: set[int]) -> str:
+def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, whole_windows: bool = False) -> DataFrame:
+    """The documents of which less than a twentieth of the words is hit, without these words, with all their columns.
+
+    whole_windows: a document goes, too, as soon as one full window occurs in it, however long it is; only occurrences
+    of items shorter than a window are then judged by the twentieth and cut out below it.
+    Where words go, what is left is searched again, until nothing is hit; n_chars, if there is one, is counted anew.
+    """
+    columns = docs.columns
+    text_at, count_at = columns.index("text"), columns.index("n_chars") if "n_chars" in columns else None
+    done: list[DataFrame] = []
+    while True:
+        found, name, short = searched(docs, "text", benchmark, window)
+        more = name + "again"
+        while more in columns:
+            more += "_"
+
+        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                own = list(batch.columns[:-1])
+                seen = batch.column(batch.num_columns - 1).to_pylist()
+                n_hit = [sum(x["hit"][1::2]) - sum(x["hit"][::2]) for x in seen]
+                bad = [n > 0 and (20 * n >= x["n_words"] or whole_windows and x["whole"]) for n, x in zip(n_hit, seen, strict=True)]
+                cut = [n > 0 and not b for n, b in zip(n_hit, bad, strict=True)]
+                if any(cut):
+                    texts = own[text_at].to_pylist()
+                    counts = own[count_at].to_pylist() if count_at is not None else None
+                    for k in np.flatnonzero(cut).tolist():
+                        texts[k] = without_words(texts[k], seen[k]["hit"])
+                        if counts is not None:
+                            counts[k] = len(texts[k])
+                    own[text_at] = pa.array(texts, own[text_at].type)
+                    if counts is not None:
+                        own[count_at] = pa.array(counts, own[count_at].type)
+                yield pa.RecordBatch.from_arrays([*own, pa.array(cut)], names=[*batch.schema.names[:-1], more]).filter(pc.invert(pa.array(bad, pa.bool_())))
+
+        out = found.mapInArrow(tidied(each), docs.withColumn(more, F.lit(False)).schema)
+        if whole_windows and not short:  # nothing is cut, so nothing is left to search again
+            done.append(out.drop(more))
+            break
+        out = written(out, "decontaminated")
+        rest = out.where(F.col(more))
+        if rest.isEmpty():
+            done.append(out.drop(more))
+            break
+        done.append(out.where(~F.col(more)).drop(more))
+        docs = rest.drop(more)
+    kept = done[0]
+    for part in done[1:]:
+        kept = kept.unionByName(part)
+    return kept
+
+
+def items_digest(items: set) -> str:
     """The checksum of item ids as `contamination` gives it."""
     return hashlib.sha256(",".join(sorted(map(str, items))).encode()).hexdigest()

@@ -297,6 +297,24 @@ def test_passages_in_long_documents_go(spark):
     assert (kept[3].text, kept[3].n_chars, kept[5].text) == (f"{left} {right}", 9, None)
 
 
+@pytest.mark.parametrize("limit", [200_000, 20])
+def test_documents_with_a_whole_window_go(spark, monkeypatch, limit):
+    monkeypatch.setattr(decontaminate, "BLOCK_WINDOWS", limit)
+    rng = random.Random(14)
+    items = [(f"q{k}", prose(rng, 30)) for k in range(6)] + [("short", "kapel huvan zyx")]
+    long = [prose(rng, 5000) for _ in range(8)]
+    w = items[3][1].split()
+    rows = [(1, f"{long[0]} {' '.join(w[5:18])} {long[1]}"), (2, f"{long[2]} {' '.join(w[5:17])} xx {long[3]}"), (3, long[4]), (4, f"{long[5]} Kapel, huvan zyx! {long[6]}"), (5, "kapel huvan zyx"), (6, None), (7, "")]
+    docs = spark.createDataFrame([(i, t, len(t or "")) for i, t in rows], "doc_id long, text string, n_chars long").withColumn("found", F.lit("x"))
+    own = spark.createDataFrame(items, "item_id string, text string")
+    kept = {r.doc_id: r for r in decontaminate.keep_uncontaminated(docs, own, whole_windows=True).collect()}
+    assert set(kept) == {2, 3, 4, 6, 7} and all(r.found == "x" for r in kept.values())
+    assert kept[2].text == rows[1][1] and kept[4].text == f"{long[5]} ! {long[6]}" and kept[4].n_chars == len(kept[4].text)
+    assert {r.doc_id for r in decontaminate.keep_uncontaminated(docs, own.where("item_id != 'short'"), whole_windows=True).collect()} == {2, 3, 4, 5, 6, 7}
+    hit = {r.doc_id: r for r in decontaminate.search(docs, own).collect()}
+    assert hit[1].items == ["q3"] and hit[1].whole and hit[5].items == ["short"] and not hit[5].whole
+
+
 def test_decontamination_of_odd_rows(spark, odd_docs, no_docs):
     items = spark.createDataFrame([(1, "quick brown fox"), (1, "quick brown fox"), (None, "lazy dog")], "item_id long, text string")
     rows = decontaminate.contamination(odd_docs, items).collect()

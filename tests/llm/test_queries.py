@@ -1,10 +1,12 @@
 """The registered queries on the smallest tables, against SQL where there is some; the pipeline stage by stage."""
 
+import random
+
 import duckdb
 import pytest
 
 import corpus_pipeline
-from mosaicore.llm import decontaminate, toxicity
+from mosaicore.llm import common, decontaminate, toxicity
 from mosaicore.llm.queries import ORACLE_SQL, QUERIES
 from tests.conftest import SF
 
@@ -58,3 +60,33 @@ def test_pipeline_keeps_odd_columns(spark, odd_docs):
         assert out.columns == odd_docs.columns
         docs = out
     assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() > 0
+
+
+def test_stages_drop_planted_copies_and_passages(spark):
+    rng = random.Random(21)
+    words = ["".join(rng.choice("abcdefghiklmnoprstuv") for _ in range(rng.randrange(2, 9))) for _ in range(400)]
+    prose = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    items = {r.item_id: r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
+    clean = [prose(rng.randrange(60, 400)) for _ in range(40)]
+    near = []
+    for text in clean[:20]:  # one word in forty is another one
+        own = text.split()
+        for k in range(0, len(own), 40):
+            own[k] = rng.choice(words)
+        near.append(" ".join(own))
+    leaked = [f"{prose(2500)} {text} {prose(2500)}" for text in list(items.values())[:20]]
+    texts = clean + near + clean[:10] + leaked
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    stages = dict(corpus_pipeline.STAGES)
+    once = stages["near_duplicates"](spark, docs, SF)
+    left = {r.doc_id for r in once.collect()}
+    assert left >= set(range(40)) and len(left & set(range(40, 60))) <= 2 and not left & set(range(60, 70))
+    kept = {r.doc_id for r in stages["decontamination"](spark, docs, SF).collect()}
+    assert kept == set(range(70))
+
+
+def test_a_run_leaves_its_result_alone(spark, tmp_path):
+    before = set(common.tables_since())
+    rows = corpus_pipeline.run(spark, SF).count()
+    made = set(common.tables_since()) - before
+    assert rows and len(made) == 1 and "stage-packing" in made.pop()

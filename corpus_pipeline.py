@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from mosaicore.llm import decontaminate, neardup, packing, pii, toxicity
-from mosaicore.llm.common import table, written
+from mosaicore.llm.common import discard, place_of, table, tables_since, written
 from mosaicore.llm.queries import tokenizer_file
 
 
@@ -19,13 +19,16 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays: five-word shingles, a similarity of 0.8 or more."""
-    return neardup.keep_one(docs)
+    """One document of each near-duplicate group stays: two-word shingles, as in op3_near_duplicates, a similarity of 0.8 or more."""
+    return neardup.keep_one(docs, n=2)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with benchmark passages in a twentieth of their words or more go; from others the passages go."""
-    return decontaminate.keep_uncontaminated(docs, table(spark, sf_dir, "benchmark"))
+    """Documents in which a window of 13 words of a benchmark item occurs go, however long they are.
+
+    So do those with shorter items in a twentieth of their words or more; from others the shorter items are cut out.
+    """
+    return decontaminate.keep_uncontaminated(docs, table(spark, sf_dir, "benchmark"), whole_windows=True)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,10 +51,12 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to documents, each one's result written as Parquet and read again."""
+    """The stages applied to documents, each one's result written as Parquet and read again; what a stage wrote besides is deleted."""
+    before = len(tables_since())
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        discard(spark, *(path for path in tables_since(before) if path != place_of(docs)))
     return docs
 
 

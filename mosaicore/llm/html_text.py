@@ -6,14 +6,20 @@ cut what holds the page's article or main element or most of its text outside li
 a heading, nor a section of an article whose name may be its topic.  Every node then has a
 density: its characters per tag, adjusted for how much of them lies in links.  A node's density
 sum is that of its children, and the node with the largest sum holds the article.  The least
-density on the way from the body to it is the threshold; beside that way, what is as dense as
-the threshold belongs to the text too, and so does all that shares an article or main element.
+density on the way from the body to it is the threshold: beside that way, what is as dense as
+the threshold, and more text than links, belongs to the text too.  That goes for elements and for
+bare text with its inline elements, which has the density of an element with nothing else in it.
+Where the densest node lies in an article or main element, that element is taken whole, and of
+the elements beside it only other articles and main elements compete by density.  Where it is
+the body itself, all stays but elements (other than paragraphs and headings) of links alone.
 
 Blocks keep page order.  Inside a block white space, line breaks included, becomes one space;
 character references are decoded; blocks are joined by an empty line.  Nothing else is dropped.
 
 Edge cases: null and empty pages give an empty text; broken markup (unclosed, misnested or cut
-off tags) never fails; an empty table gives an empty result; other columns are ignored.
+off tags, nesting of any depth) never fails; very long pages are read whole; repeated pages are
+read each; of nodes with equal sums the first, outermost one counts; an empty table gives an empty
+result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -54,6 +60,7 @@ notices alert notification subscription login register search respond reply repl
 copyright legal disclaimer""".split())
 #: Names that say what a page has or lacks, not what the element is.
 STATE = re.compile(r"(?<!\S)(?:no|not|has|have|with|without)[-_]\S+")
+ARTICLES = frozenset(("article", "main"))
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Grades of noise: cut always; by a name; by one of readers' comments; by one that may be a section's topic.
 ALWAYS, NAME, COMMENT, TOPIC = 1, 2, 3, 4
@@ -226,6 +233,30 @@ def spare(root: Node) -> None:
             clean_core += own if within[id(node)] else own_core
 
 
+def density(chars: int, tags: int, link_chars: int, link_tags: int, share: float) -> float:
+    """Characters per tag, adjusted for those in links; share: that of the page's characters that are in links."""
+    if not chars:
+        return 0.0
+    plain, links, tags = max(1, chars - link_chars), max(1, link_chars), max(1, tags)
+    base = math.log(chars / plain * link_chars + share * chars + math.e)
+    adjust = max(1.0, chars / links * tags / max(1, link_tags))
+    return chars / tags * math.log(adjust + 1) / math.log(base + math.e - 1)
+
+
+def counted(node: Node) -> None:
+    """Fills in the counts of a node from those of its parts."""
+    for p in node.parts:
+        if isinstance(p, str):
+            node.chars += len(p) if not p.isspace() else 0
+        else:
+            node.chars += p.chars
+            node.tags += p.tags + 1
+            node.link_chars += p.link_chars
+            node.link_tags += p.link_tags + (p.tag == "a")
+    if node.tag == "a":
+        node.link_chars = node.chars
+
+
 def measure(root: Node) -> list[Node]:
     """Fills in counts, densities and sums, children before parents; the nodes that are not noise."""
     order, stack = [], [root]
@@ -235,31 +266,42 @@ def measure(root: Node) -> list[Node]:
         node.parts = [p for p in node.parts if isinstance(p, str) or not p.noise]
         stack.extend(p for p in node.parts if not isinstance(p, str))
     for node in reversed(order):
-        for p in node.parts:
-            if isinstance(p, str):
-                node.chars += len(p) if not p.isspace() else 0
-            else:
-                node.chars += p.chars
-                node.tags += p.tags + 1
-                node.link_chars += p.link_chars
-                node.link_tags += p.link_tags + (p.tag == "a")
-        if node.tag == "a":
-            node.link_chars = node.chars
+        counted(node)
     share = root.link_chars / max(1, root.chars)
     for node in order:
-        if not node.chars:
-            continue
-        plain, links = max(1, node.chars - node.link_chars), max(1, node.link_chars)
-        tags = max(1, node.tags)
-        base = math.log(node.chars / plain * node.link_chars + share * node.chars + math.e)
-        adjust = max(1.0, node.chars / links * tags / max(1, node.link_tags))
-        node.density = node.chars / tags * math.log(adjust + 1) / math.log(base + math.e - 1)
-    for node in order:
+        node.density = density(node.chars, node.tags, node.link_chars, node.link_tags, share)
         if node.parent is not None:
             node.parent.total += node.density
     return order
 
 
+def laid_out(node: Node, on_way: set[int], share: float) -> list[Node]:
+    """The elements of a node on the way, in order; bare text that outweighs the inline elements in it becomes an element with them."""
+    out: list[Node] = []
+    run: list[Node | str] = []
+
+    def close() -> None:
+        bare = sum(len(x) for x in run if isinstance(x, str) and not x.isspace())
+        own = Node("span", None)
+        own.parts = run.copy()
+        counted(own)
+        if bare and 2 * bare >= own.chars:
+            own.density = density(own.chars, own.tags, own.link_chars, own.link_tags, share)
+            out.append(own)
+        else:
+            out.extend(x for x in run if not isinstance(x, str))
+        run.clear()
+
+    for p in node.parts:
+        if isinstance(p, str) or p.tag not in BLOCK and id(p) not in on_way:
+            run.append(p)
+        else:
+            close()
+            out.append(p)
+    close()
+    return out
+
+
 def chosen(root: Node) -> list[Node]:
     """The nodes whose whole subtrees are the text, in page order."""
     spare(root)
@@ -272,19 +314,25 @@ def chosen(root: Node) -> list[Node]:
     while node is not None:
         way.append(node)
         node = node.parent
-    least = min(n.density for n in way)
-    outer = next((n for n in reversed(way) if n.tag in ("article", "main")), None)
-    if outer is not None:
-        return [outer]
+    least, share = min(n.density for n in way), root.link_chars / max(1, root.chars)
+    outer = next((n for n in reversed(way) if n.tag in ARTICLES), None)
+    if best is root:  # the text has no element of its own: all of the body but what has nothing outside links
+        return [p for p in laid_out(root, set(), share) if p.chars > p.link_chars or p.tag == "p" or p.tag in HEADINGS]
     on_way = set(map(id, way))
     out: list[Node] = []
     stack = [root]
     while stack:
         node = stack.pop()
-        if node is best or id(node) not in on_way:
+        dense = node.density >= least and node.chars > node.link_chars
+        if node is (outer or best):
             out.append(node)
-        else:
-            stack.extend(p for p in reversed(node.parts) if not isinstance(p, str) and (id(p) in on_way or p.density >= least and p.chars > p.link_chars))
+        elif id(node) in on_way:
+            stack.extend(reversed(laid_out(node, on_way, share)))
+        elif outer is None or node.parent is None or node.tag in ARTICLES:
+            if dense and (outer is None or node.parent is None or node.core):
+                out.append(node)
+        else:  # beside an article, only others and bare text count
+            stack.extend(p for p in reversed(node.parts) if not isinstance(p, str))
     return out
 
 

@@ -622,6 +622,69 @@ def test_main_text_without_article():
     assert got[0] == "Head line" and got[1:] == [prose(random.Random(k), 30) for k in range(4)]
 
 
+LONG = "Words of an article that goes on for a while, " * 6
+
+
+def test_bare_text_and_further_articles_stay():
+    text = LONG.strip()
+    assert html_text.main_text(f"<body><ul class=menu><li><a href=1>a</a></ul>{text}<p>{text} 2</p><p>{text} 3</p><div><a href=1>x</a></div>{text} <b>4</b> &amp; on<footer>f</footer></body>").split("\n\n") == [text, f"{text} 2", f"{text} 3", f"{text} 4 & on"]
+    page = f"<body><nav><a href=1>menu</a></nav><div><article><h2>One</h2><p>{text}</p></article></div><div><article><h2>Two</h2><p>{text}</p><p>{text}</p></article></div><div class=x><p>About this site</p></div><article><a href=2>Only a link to more</a></article></body>"
+    assert html_text.main_text(page).split("\n\n") == ["One", text, "Two", text, text]
+    for names in ("title='a hidden gem'", "href='/hidden/valley?class=nav'", "data-x='sidebar'"):
+        assert html_text.main_text(f"<body><article><p {names}>{text}</p><p>See <a {names}>this</a> too.</p></article></body>").split("\n\n") == [text, "See this too."]
+
+
+def test_nesting_of_any_depth():
+    for tag in ("div", "b", "article"):
+        assert html_text.main_text(f"<{tag}>" * 5000 + "text" + f"</{tag}>" * 5000) == "text"
+
+
+def test_density_against_its_definition():
+    """Nested lists stand for nodes: [tag, part, ...]; the formula is written out anew."""
+    rng = random.Random(15)
+
+    def make(depth):
+        parts = [rng.choice(["div", "p", "a", "b"])]
+        for _ in range(rng.randrange(1, 5)):
+            parts.append(make(depth - 1) if depth and rng.random() < 0.5 else "x" * rng.randrange(1, 60))
+        return parts
+
+    def node_of(tree, parent):
+        node = html_text.Node(tree[0], parent)
+        node.parts = [p if isinstance(p, str) else node_of(p, node) for p in tree[1:]]
+        return node
+
+    def chars(t):
+        return sum(len(p) if isinstance(p, str) else chars(p) for p in t[1:])
+
+    def tags(t):
+        return sum(1 + tags(p) for p in t[1:] if not isinstance(p, str))
+
+    def in_links(t):
+        return chars(t) if t[0] == "a" else sum(in_links(p) for p in t[1:] if not isinstance(p, str))
+
+    def links(t):
+        return sum((p[0] == "a") + links(p) for p in t[1:] if not isinstance(p, str))
+
+    def value(t, page):
+        c, n, lc, ln = chars(t), max(1, tags(t)), in_links(t), max(1, links(t))
+        e = np.e
+        return c / n * np.log(max(1, c / max(1, lc) * n / ln) + 1) / np.log(np.log(c / max(1, c - lc) * lc + in_links(page) / chars(page) * c + e) + e - 1)
+
+    def check(node, t, page):
+        assert node.density == pytest.approx(value(t, page))
+        below = [p for p in t[1:] if not isinstance(p, str)]
+        assert node.total == pytest.approx(sum(value(p, page) for p in below))
+        for child, p in zip([p for p in node.parts if not isinstance(p, str)], below):
+            check(child, p, page)
+
+    for _ in range(60):
+        page = ["body", *make(4)[1:]]
+        root = node_of(page, None)
+        html_text.measure(root)
+        check(root, page, page)
+
+
 @pytest.mark.parametrize("page", ["", "   ", "plain text", "<", "<p", "<p>a", "</p></div>", "<!--", "<script>x", "<a href='", "<p>a<p>b</div></body>", "<table><tr><td>1<td>2</table>", "<b><i>x</b>y</i>", "<p a=\"b>c</p>", "\x00<p>é</p>"])
 def test_broken_pages(page):
     assert isinstance(html_text.main_text(page), str)

@@ -11,18 +11,21 @@ to (optimal densification).  Bands of the signature are the buckets' keys.
    a bucket of m classes gives m - 1 pairs, not m squared.
 3. A pair is confirmed by the Jaccard similarity of the full sets, after a test of their sizes.
 4. Components of confirmed links are found by alternating stars.
-5. A hub need not be like two members that are like each other.  So candidates are clustered,
-   too, and in a cluster of several components every pair from different ones is tested, block
-   against block, inside tasks that give out links only.
+5. A hub need not be like two members that are like each other.  So each bucket whose members are in
+   several components is searched once more: the members outside its largest component against all,
+   block against block, inside tasks that give out links only.  Only members of one bucket meet, and
+   those of the largest component are not copied.
 
 Hot buckets are joined by sort-merge joins that Spark can split.  Texts to be compared meet under
 (hub, salt), so that a hub of any number of links is spread over tasks, and stream through with
-one hub's set in memory.
+one hub's set in memory.  Pairs with a similarity of exactly 0.8 share a bucket with a probability of
+1 - 3e-6; from there on nothing is lost.
 
 Edge cases: null and empty texts have no set and are linked with nothing; a text of fewer words
-than a shingle has its whole sequence as one; rows without doc_id are left out of `classes`;
-rows that repeat a doc_id are documents of their own, but share that id's links where it stands for
-a class; an empty table gives an empty result; other columns are ignored.
+than a shingle has its whole sequence as one; very long texts are read whole; rows without doc_id are left
+out of `classes`; rows that repeat a doc_id are documents of their own, but share that id's links where it
+stands for a class; of equal ids and sets any row may stand for the others; an empty table gives an empty
+result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,11 +39,11 @@ from pyspark.sql import functions as F
 
 from mosaicore.llm.bytestext import WHITE, Words, mix, shingle_hashes, text_arrays
 from mosaicore.llm.common import pick, tidied, written
-from mosaicore.llm.components import components, components_of
+from mosaicore.llm.components import components
 
 BANDS, ROWS, SALTS = 32, 5, 64
-#: Texts of a block of a cluster, and columns of an incidence matrix.
-BLOCK, COLUMNS = 1000, 8192
+#: Texts of a block of a bucket, and columns of an incidence matrix.
+BLOCK, COLUMNS = 250, 8192
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 PRIME = 2_147_483_647
 
@@ -174,26 +177,52 @@ def block_links(ids: np.ndarray, labels: np.ndarray, sides: np.ndarray, sets: li
     return list(out.values())
 
 
-def cluster_links(rest: DataFrame, texts: DataFrame, n: int, share: int) -> DataFrame:
-    """Links (a, b) between components within each cluster (rest: rep, component, cluster, parts), every pair looked at.
+def bucket_links(members: DataFrame, texts: DataFrame, n: int, share: int) -> DataFrame:
+    """Links (a, b) between components within each bucket (members: key, rep, component), every pair that may be one looked at.
 
-    A cluster is dealt to `parts` blocks of about BLOCK texts; a task has two of them (or one with itself) and
-    gives links alone, so pairs are never rows.
+    Left are the members outside the bucket's largest component, right are all; a task has a block of each (or all of a
+    bucket that is no larger than a block) and gives links alone, so pairs are never rows.
     """
 
-    def each(part: pa.Table) -> pa.Table:
-        found: list[tuple[int, int]] = []
-        ids, labels, sides = (part.column(c).to_numpy() for c in ("rep", "component", "side"))
-        if len(ids) > 1:
-            sets = [s for _, own in texts_sets(part.column("text"), n) for s in own]
-            found = block_links(ids, labels, sides, sets, share)
-        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []  # (rep, component, side, set) of the group at hand
+        group = None
+
+        def found() -> list[tuple[int, int]]:
+            if len(held) < 2:
+                return []
+            ids, labels, sides = (np.array([h[k] for h in held]) for k in range(3))
+            return block_links(ids, labels, sides, [h[3] for h in held], share)
 
-    own = rest.withColumn("side", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
-    own = own.join(texts.withColumnRenamed("doc_id", "rep"), "rep")
-    own = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    own = own.select("cluster", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "rep", "component", "side", "text")
-    return own.groupBy("cluster", "i", "j").applyInArrow(each, "a long, b long")
+        for batch in batches:
+            out: list[tuple[int, int]] = []
+            groups = list(zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True))
+            rows = list(zip(*(batch.column(k).to_pylist() for k in range(3, 6)), strict=True))
+            for row, sets in texts_sets(batch.column(6), n):
+                for k, own in enumerate(sets, row):
+                    if groups[k] != group:
+                        out += found()
+                        held.clear()
+                        group = groups[k]
+                    held.append((*rows[k], own))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
+        out = found()
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+    sizes = members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("k")).groupBy("key")
+    sizes = sizes.agg(F.count(F.lit(1)).alias("c"), F.sum("k").alias("m"), F.max(F.struct("k", "component")).alias("top")).where("c > 1")
+    blocks = lambda x: F.ceil(x / BLOCK).cast("int")
+    sizes = written(sizes.select("key", F.col("top.component").alias("top"), blocks(F.col("m")).alias("rights"), blocks(F.col("m") - F.col("top.k")).alias("lefts")), "open-buckets")
+    own = members.join(sizes, "key").withColumn("hash", F.xxhash64("rep", "key"))
+    every = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+    part = lambda count: F.pmod("hash", F.col(count)).cast("int")
+    columns = ["rep", "component"]
+    small = own.where("rights = 1").select("key", F.lit(0).alias("i"), F.lit(0).alias("j"), *columns, F.lit(0).alias("side"))
+    left = own.where("rights > 1 and component != top").select("key", part("lefts").alias("i"), every("rights").alias("j"), *columns, F.lit(0).alias("side"))
+    right = own.where("rights > 1").select("key", every("lefts").alias("i"), part("rights").alias("j"), *columns, F.lit(1).alias("side"))
+    rows = written(small.unionByName(left).unionByName(right), "bucket-rows").join(texts.withColumnRenamed("doc_id", "rep"), "rep")
+    rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return rows.select("key", "i", "j", *columns, "side", "text").mapInArrow(tidied(each), "a long, b long").distinct()
 
 
 def classes(signatures: DataFrame, docs: DataFrame, n: int, share: int = 80) -> DataFrame:
@@ -216,19 +245,15 @@ def classes(signatures: DataFrame, docs: DataFrame, n: int, share: int = 80) ->
     wanted = stars.select(F.col("rep").alias("doc_id")).distinct()
     near = written(texts.join(wanted, "doc_id", "left_semi"), "near-texts")
     links = written(confirmed(pairs, near, n, share), "confirmed")
-    # links make components, candidates make clusters; both graphs share their rounds
-    graphs = links.select(F.lit(0).alias("g"), "a", "b").unionByName(candidates.select(F.lit(1).alias("g"), "a", "b"))
-    both = written(components_of(graphs), "components")
-    found, clusters = both.where("g = 0").drop("g"), both.where("g = 1").select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
-    # a hub need not be like two members that are like each other: clusters of several components are searched whole
-    rest = clusters.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    several = rest.groupBy("cluster").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts")).where("lo != hi")
-    more = written(cluster_links(rest.join(several.select("cluster", "parts"), "cluster"), near, n, share), "cluster-links")
+    component = written(components(links), "components").select(F.col("node").alias("rep"), "component")
+    # a hub need not be like two members that are like each other: buckets of several components are searched again
+    label = stars.select("rep").distinct().join(component, "rep", "left").select("rep", F.coalesce("component", "rep").alias("component"))
+    label = written(label, "labels")
+    more = written(bucket_links(stars.select("key", "rep").join(label, "rep"), near, n, share), "bucket-links")
     # what these links join are components: a graph of its own, with few nodes
-    label = rest.select("rep", "component")
     ends = more.join(label.select(F.col("rep").alias("a"), F.col("component").alias("x")), "a").join(label.select(F.col("rep").alias("b"), F.col("component").alias("y")), "b")
     wider = components(ends.select(F.col("x").alias("a"), F.col("y").alias("b"))).select(F.col("node").alias("component"), F.col("component").alias("wider"))
-    found = rest.join(wider, "component", "left").select(F.col("rep").alias("node"), F.coalesce("wider", "component").alias("component"))
+    found = label.join(wider, "component", "left").select(F.col("rep").alias("node"), F.coalesce("wider", "component").alias("component"))
     of_rep = sets.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("set_a", "set_b", F.coalesce("component", "rep").alias("c"))
     out = signatures.select("doc_id", "n_shingles", "set_a", "set_b").join(of_rep, ["set_a", "set_b"], "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("c", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))

@@ -1,22 +1,26 @@
 """Personal data: rules for plain forms, and a character-level bidirectional LSTM with a CRF for others.
 
 Every text is read whole by the rules (`base_spans`).  The tagger then reads windows of 128
-characters that overlap by half, wherever a digit, an at sign or a bracketed "at" or "dot"
-stands within reach.  Each window is decoded by
+characters that overlap by half, wherever a digit of any script, an at sign, a bracketed "at" or the
+word "dot" stands within reach: what is accepted of a kind always holds one of these (`holds`,
+`TRIGGER`).  Each window is decoded by
 Viterbi's algorithm over learnt transitions; its spans carry the mean posterior probability of
 their tags.
 Windows are reconciled globally, for a text as a whole: spans that run into the inner edge of a
 window are joined to what the next window has of them, whatever their length, or left to the
 window that holds them whole, and of all whole spans the set without overlaps that has the
 largest total score is taken.  Rules' spans always stay; the tagger's are
-added where they overlap none and hold what their kind needs (digits, parts, an at sign).
+added where they overlap none.  The form of a span is learnt, not matched by a pattern; asked for is
+only what a kind consists of (an at, four octets, a card's digits with their check, a phone's digits).
 
 The tagger is trained in numpy (stochastic gradients with Adam) on labelled spans: personal data
 of many written forms, laid into text of a bounded sample of the documents, and
 look-alikes such as dates, prices and version numbers, which carry no label.
 
-Edge cases: null and empty texts have no spans; an empty table gives an empty result (the
-tagger is then trained on made-up words); repeated rows are tagged each; other columns are ignored.
+Edge cases: null and empty texts have no spans; runs of digits may be of any length; very long texts are
+tagged whole, some windows at a time; of equally good sets of spans the one found first is taken, the same in
+every run; an empty table gives an empty result (the tagger is then trained on made-up words); repeated rows are
+tagged each; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,13 +30,14 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mosaicore.llm.bytestext import byte_class, text_arrays
+from mosaicore.llm.bytestext import text_arrays
 from mosaicore.llm.common import bounded, pick, tidied
 
 KINDS = ("email", "ip", "card", "phone")
@@ -55,6 +60,12 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def octet(part: str) -> bool:
+    """Whether a run of digits, however long, is at most 255."""
+    part = part.lstrip("0")
+    return len(part) <= 3 and int(part or "0") <= 255
+
+
 def base_spans(text: str) -> list[Span]:
     """The rules' spans by kind, then start: leftmost matches of each kind that do not overlap; failing ones are dropped."""
     out: list[Span] = []
@@ -70,7 +81,7 @@ def base_spans(text: str) -> list[Span]:
     if not re.search("[0-9]", text):
         return out
     for m in IP.finditer(text):
-        if all(len(part.lstrip("0")) <= 3 and int(part) <= 255 for part in m[0].split(".")):
+        if all(map(octet, m[0].split("."))):
             out.append(("ip", m.start(), m.end()))
     for m in CARD.finditer(text):
         if m.end() - m.start() >= 16:
@@ -94,23 +105,32 @@ TAGS = 1 + 2 * len(KINDS)
 #: Printable ASCII each by itself; white space, controls, letters, digits and others beyond ASCII by class; the pad.
 SYMBOLS = 96 + 5
 PAD = SYMBOLS - 1
-BATCH = 512
+#: Windows that are decoded at a time, and held at a time.
+BATCH, CHUNK = 512, 4096
 WORD_END = re.compile(r"\s")
-TRIGGER = re.compile(r"[0-9@]|[\[({<]\s*(?:at|dot)\b", re.I)
+#: One of these is in every span of the tagger (see `holds`), so it need not look elsewhere.
+TRIGGER = re.compile(r"[\d@]|[\[({<]\s*at\b|\bdot\b", re.I)
+
+
+@lru_cache(1)
+def symbol_table() -> np.ndarray:
+    """The symbol of each code point."""
+    table = np.full(0x110000, 99, np.uint8)  # others beyond ASCII
+    for code in range(128, 0x110000):
+        char = chr(code)
+        if char.isdigit():
+            table[code] = 98
+        elif char.isalpha():
+            table[code] = 97
+    table[:128] = 95  # controls
+    table[32:127] = np.arange(95)
+    table[9:14] = table[0xA0] = 96
+    return table
 
 
 def encode(text: str) -> np.ndarray:
     """A symbol for each character."""
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    out = np.where((codes >= 32) & (codes < 127), codes - 32, 95).astype(np.int64)
-    out[(codes >= 9) & (codes <= 13) | (codes == 0xA0)] = 96
-    out[codes >= 128] = 97
-    for k in np.flatnonzero(codes >= 128).tolist():
-        if text[k].isdigit():
-            out[k] = 98
-        elif not text[k].isalpha():
-            out[k] = 99
-    return out
+    return symbol_table()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
 
 
 @dataclass
@@ -138,20 +158,22 @@ def allowed() -> np.ndarray:
     return out
 
 
-def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
-
-
 def lstm(x: np.ndarray, w: np.ndarray, u: np.ndarray, keep: bool) -> tuple[np.ndarray, list]:
     """Hidden states (time x batch x size) of symbols (time x batch); gates: in, forget, out, new."""
     t, n = x.shape
     size = u.shape[0]
+    half = np.ones(4 * size, np.float32)
+    half[: 3 * size] = 0.5  # a logistic gate of z is 1/2 + 1/2 tanh(z/2)
+    coming, u = (w * half)[x], u * half
     h, c = np.zeros((n, size), np.float32), np.zeros((n, size), np.float32)
     states, tape = np.empty((t, n, size), np.float32), []
     for k in range(t):
-        z = w[x[k]] + h @ u
-        s = sigmoid(z[:, : 3 * size])
-        g = np.tanh(z[:, 3 * size :])
+        z = h @ u
+        z += coming[k]
+        np.tanh(z, out=z)
+        s, g = z[:, : 3 * size], z[:, 3 * size :]
+        s *= 0.5
+        s += 0.5
         before, c = c, s[:, size : 2 * size] * c + s[:, :size] * g
         tc = np.tanh(c)
         if keep:
@@ -163,19 +185,24 @@ def lstm(x: np.ndarray, w: np.ndarray, u: np.ndarray, keep: bool) -> tuple[np.nd
 
 def lstm_back(x: np.ndarray, d: np.ndarray, u: np.ndarray, tape: list, rows: int) -> tuple[np.ndarray, np.ndarray]:
     """Gradients of w and u from those of the hidden states."""
+    t, n = x.shape
     size = u.shape[0]
-    dw, du = np.zeros((rows, 4 * size), np.float32), np.zeros_like(u)
+    dz, held = np.empty((t, n, 4 * size), np.float32), np.empty((t, n, size), np.float32)
     dh = dc = np.zeros(d.shape[1:], np.float32)
-    for k in range(len(x) - 1, -1, -1):
-        h, before, s, g, tc = tape[k]
+    for k in range(t - 1, -1, -1):
+        held[k], before, s, g, tc = tape[k]
         i, f, o = s[:, :size], s[:, size : 2 * size], s[:, 2 * size :]
         dh = dh + d[k]
         dc = dc + dh * o * (1 - tc * tc)
-        dz = np.concatenate([dc * g * i * (1 - i), dc * before * f * (1 - f), dh * tc * o * (1 - o), dc * i * (1 - g * g)], axis=1)
-        np.add.at(dw, x[k], dz)
-        du += h.T @ dz
-        dh, dc = dz @ u.T, dc * f
-    return dw, du
+        own = dz[k]
+        own[:, :size], own[:, size : 2 * size], own[:, 2 * size : 3 * size] = dc * g, dc * before, dh * tc
+        own[:, : 3 * size] *= s * (1 - s)
+        own[:, 3 * size :] = dc * i * (1 - g * g)
+        dh, dc = own @ u.T, dc * f
+    flat = dz.reshape(t * n, 4 * size)
+    one_hot = np.zeros((t * n, rows), np.float32)
+    one_hot[np.arange(t * n), x.ravel()] = 1
+    return one_hot.T @ flat, held.reshape(t * n, size).T @ flat
 
 
 def emissions(model: Tagger, x: np.ndarray, keep: bool = False) -> tuple[np.ndarray, tuple]:
@@ -186,64 +213,67 @@ def emissions(model: Tagger, x: np.ndarray, keep: bool = False) -> tuple[np.ndar
     return h @ model.out + model.bias, (h, tape_a, tape_b)
 
 
-def logsumexp(x: np.ndarray, axis: int) -> np.ndarray:
-    top = x.max(axis=axis, keepdims=True)
-    return (top + np.log(np.exp(x - top).sum(axis=axis, keepdims=True))).squeeze(axis)
-
-
-def both_ways(e: np.ndarray, trans: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Forward and backward scores, and the total, of emissions (time x batch x tags); mask marks real places."""
+def both_ways(e: np.ndarray, trans: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Scaled forward and backward products, what came in at each place, and the log of the total, of emissions (time x batch x tags); mask marks real places."""
     t = len(e)
-    a, b = np.empty_like(e), np.zeros_like(e)
-    a[0] = e[0]
-    for s in range(1, t):
-        new = logsumexp(a[s - 1][:, :, None] + trans, 1) + e[s]
-        a[s] = np.where(mask[s][:, None], new, a[s - 1])
+    top = e.max(axis=2, keepdims=True)
+    x, step = np.exp(e - top), np.exp(trans)
+    a, b, scale = np.empty_like(x), np.ones_like(x), np.ones((t, e.shape[1], 1), x.dtype)
+    a[0] = x[0]
+    for s in range(t):
+        if s:
+            a[s] = np.where(mask[s][:, None], (a[s - 1] @ step) * x[s], a[s - 1])
+        scale[s] = a[s].sum(axis=1, keepdims=True)
+        a[s] /= scale[s]
+    came = x / scale
     for s in range(t - 2, -1, -1):
-        new = logsumexp(trans[None] + (e[s + 1] + b[s + 1])[:, None, :], 2)
-        b[s] = np.where(mask[s + 1][:, None], new, b[s + 1])
-    return a, b, logsumexp(a[-1], 1)
+        b[s] = np.where(mask[s + 1][:, None], (came[s + 1] * b[s + 1]) @ step.T, b[s + 1])
+    return a, b, came, (np.log(scale) + np.where(mask[:, :, None], top, 0)).sum(axis=(0, 2))
 
 
 def posteriors(e: np.ndarray, trans: np.ndarray, mask: np.ndarray) -> np.ndarray:
     """The probability of each tag at each real place."""
-    a, b, z = both_ways(e, trans, mask)
-    return np.exp(a + b - z[None, :, None]) * mask[:, :, None]
+    a, b, _, _ = both_ways(e, trans, mask)
+    return a * b * mask[:, :, None]
 
 
 def crf_gradient(e: np.ndarray, trans: np.ndarray, gold: np.ndarray, mask: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
     """(loss, gradient of emissions, of transitions) of the mean negative log-likelihood."""
-    t, n, k = e.shape
-    a, b, z = both_ways(e, trans, mask)
-    de = np.exp(a + b - z[None, :, None]) * mask[:, :, None]
-    rows = np.arange(n)
-    dt = np.zeros_like(trans)
-    score = np.zeros(n)
-    for s in range(t):
-        live = mask[s]
-        de[s, rows[live], gold[s][live]] -= 1
-        score += np.where(live, e[s, rows, gold[s]], 0)
-        if s:
-            p = np.exp(a[s - 1][:, :, None] + trans + (e[s] + b[s])[:, None, :] - z[:, None, None]) * live[:, None, None]
-            dt += p.sum(axis=0)
-            np.add.at(dt, (gold[s - 1][live], gold[s][live]), -1)
-            score += np.where(live, trans[gold[s - 1], gold[s]], 0)
-    return float((z - score).mean()), de / n, dt / n
-
-
-def train(samples: list[tuple[np.ndarray, np.ndarray]], size: int = 16, steps: int = 600, batch: int = 48, rate: float = 0.02, seed: int = 5) -> Tagger:
-    """A tagger learnt from windows (symbols, tags) of WIDTH places; PAD marks places beyond the text."""
+    n, k = e.shape[1:]
+    a, b, came, z = both_ways(e, trans, mask)
+    de = a * b * mask[:, :, None]
+    place, row = np.nonzero(mask)
+    tag = gold[place, row]
+    de[place, row, tag] -= 1
+    dt = np.exp(trans) * (a[:-1].reshape(-1, k).T @ (came[1:] * b[1:] * mask[1:, :, None]).reshape(-1, k))
+    later = place > 0
+    steps = gold[place[later] - 1, row[later]], tag[later]
+    np.add.at(dt, steps, -1)
+    score = e[place, row, tag].sum() + trans[steps].sum()
+    return float((z.sum() - score) / n), de / n, dt / n
+
+
+def train(samples: list[tuple[np.ndarray, np.ndarray]], size: int = 24, steps: int = 700, batch: int = 96, rate: float = 0.02, seed: int = 5) -> Tagger:
+    """A tagger learnt from windows (symbols, tags) of WIDTH places; PAD marks places beyond the text.
+
+    A batch is drawn from one quarter of the windows by length, and goes as far as the longest in it.
+    """
     rng = np.random.default_rng(seed)
     scale = lambda *shape: (rng.standard_normal(shape) * 0.2).astype(np.float32)
     model = Tagger([scale(SYMBOLS, 4 * size) for _ in range(2)], [scale(size, 4 * size) for _ in range(2)], scale(2 * size, TAGS), np.zeros(TAGS, np.float32), allowed())
     for w in model.w:
         w[:, size : 2 * size] += 1  # remember at first
+    samples = sorted(samples, key=lambda s: int((s[0] != PAD).sum()))
     x = np.stack([s for s, _ in samples]).T
     y = np.stack([t for _, t in samples]).T
+    ends = (x != PAD).sum(axis=0)
     m1, m2 = [np.zeros_like(p) for p in model.parts], [np.zeros_like(p) for p in model.parts]
     for step in range(1, steps + 1):
-        own = rng.integers(0, x.shape[1], batch)
-        xs, ys = x[:, own], y[:, own]
+        parts = min(4, x.shape[1])
+        quarter = np.array_split(np.arange(x.shape[1]), parts)[step % parts]
+        own = quarter[rng.integers(0, len(quarter), batch)]
+        long = max(1, int(ends[own].max()))
+        xs, ys = x[:long, own], y[:long, own]
         e, (h, tape_a, tape_b) = emissions(model, xs, keep=True)
         _, de, dt = crf_gradient(e, model.trans, ys, xs != PAD)
         dh = de @ model.out.T
@@ -292,12 +322,14 @@ def decode(model: Tagger, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 TEMPLATES: dict[str, tuple[str, ...]] = {
     "email": ("{w}@{w}.{t}", "{w}.{w}@{w}.{t}", "{w}{d}@{w}.{w}.{t}", "{w} @ {w}.{t}", "{w}[at]{w}.{t}", "{w} (at) {w}.{t}", "{w} [at] {w} [dot] {t}", "{w}.{D}@{w}{d}.{w}.{t}", "{w} (at) {w} (dot) {t}",
-              "{w} [at] {w} [dot] {w} [dot] {t}", "{w}.{w} (at) {w} (dot) {w} (dot) {t}", "{w}.{w}{w} [at] {w}{w}.{w}.{t}", "{w}.{w}{w} (at) {w}{w}{w}.{t}", "{w}.{w}.{w} [at] {w}{w} [dot] {w} [dot] {w} [dot] {t}"),
+              "{w} [at] {w} [dot] {w} [dot] {t}", "{w}.{w} (at) {w} (dot) {w} (dot) {t}", "{w}.{w}{w} [at] {w}{w}.{w}.{t}", "{w}.{w}{w} (at) {w}{w}{w}.{t}", "{w}.{w}.{w} [at] {w}{w} [dot] {w} [dot] {w} [dot] {t}",
+              "{w} at {w} dot {t}", "{w} dot {w} at {w} dot {t}", "{w} AT {w} DOT {t}", "{w}{D} at {w} dot {w} dot {t}"),
     "ip": ("{p}.{p}.{p}.{p}", "{p} . {p} . {p} . {p}", "{p}[.]{p}[.]{p}[.]{p}"),
     "card": ("{c4} {c4} {c4} {c4}", "{c4}-{c4}-{c4}-{c4}", "{c16}", "{c4}.{c4}.{c4}.{c4}", "{c4} {c6} {c5}"),
     "phone": ("+{d} ({D}) {D}-{Q}", "+{d}{D} {D} {Q}", "({D}) {D}-{Q}", "{D}-{D}-{Q}", "00{d}{d} {D} {Q}", "+{d}{d} {d}{d} {Q} {Q}", "1-{D}-{D}-{Q}"),
 }
-LOOKALIKES = ("{d}", "{d}{d}", "{Q}", "{D}", "19{d}{d}", "20{d}{d}-0{d}-1{d}", "{d}.{d}", "v{d}.{d}.{d}", "${D}.{d}{d}", "{D},{D}", "{d}{d}:{d}{d}", "{d}{d}%", "@{w}", "{Q}-{d}{d}", "{D}/{D}", "{w}{d}", "{Q}{Q}", "No. {Q}", "{D} {D}", "({d})", "[{d}{d}]")
+FORMS = [(k, t) for k, kind in enumerate(KINDS) for t in TEMPLATES[kind]]
+LOOKALIKES = ("{d}", "{d}{d}", "{Q}", "{D}", "19{d}{d}", "20{d}{d}-0{d}-1{d}", "{d}.{d}", "v{d}.{d}.{d}", "${D}.{d}{d}", "{D},{D}", "{d}{d}:{d}{d}", "{d}{d}%", "@{w}", "{Q}-{d}{d}", "{D}/{D}", "{w}{d}", "{Q}{Q}", "No. {Q}", "{D} {D}", "({d})", "[{d}{d}]", "{w} at {w}", "look at {w}. dot", "the dot {w}", "{w} dot, {w}", "{D}{D}{D}{D}{D}", "{Q} {Q} {Q}", "{D}.{D}.{D}", "{d}.{d}.{d}.{D}{d}")
 WORDS = ("the of and thion er erin onar ento les des que para der und ein ich as is to").split()
 
 #: Letters about as often as in names.
@@ -329,10 +361,14 @@ def fill(template: str, rng: np.random.Generator, words: list[str]) -> str:
         elif piece in ("{d}", "{D}", "{Q}"):
             piece = "".join(map(str, rng.integers(0, 10, {"{d}": 1, "{D}": 3, "{Q}": 4}[piece])))
         out.append(piece)
-    return "".join(out)
+    text = "".join(out)
+    if rng.random() < 0.06:  # digits of another script
+        zero = (0xFF10, 0x0660, 0x0966)[rng.integers(3)]
+        text = text.translate({48 + k: zero + k for k in range(10)})
+    return text
 
 
-def labelled(texts: list[str], count: int = 3000, seed: int = 11) -> list[tuple[np.ndarray, np.ndarray]]:
+def labelled(texts: list[str], count: int = 6000, seed: int = 11) -> list[tuple[np.ndarray, np.ndarray]]:
     """Windows with tags: forms of every kind and look-alikes laid into pieces of the texts."""
     rng = np.random.default_rng(seed)
     words = [w for t in texts for w in t.split()] or WORDS
@@ -342,9 +378,8 @@ def labelled(texts: list[str], count: int = 3000, seed: int = 11) -> list[tuple[
         left = " ".join(words[k] for k in rng.integers(0, len(words), rng.integers(2, 9)))
         right = " ".join(words[k] for k in rng.integers(0, len(words), rng.integers(2, 9)))
         if rng.random() < 0.6:
-            kind = int(rng.integers(len(KINDS)))
-            options = TEMPLATES[KINDS[kind]]
-            core = fill(options[rng.integers(len(options))], rng, words)
+            kind, template = FORMS[rng.integers(len(FORMS))]
+            core = fill(template, rng, words)
         else:
             kind, core = -1, fill(LOOKALIKES[rng.integers(len(LOOKALIKES))], rng, words)
         gap = [(" ", ": ", ", ", "\n", "(")[k] for k in rng.integers(0, 5, 1)][0]
@@ -377,12 +412,11 @@ def trained(texts: tuple[str, ...]) -> Tagger:
     return train(labelled(list(texts)))
 
 
-def fit(docs: DataFrame, max_texts: int = 200) -> Tagger:
-    """A tagger whose training text is that of the first `max_texts` documents by a hash of doc_id."""
+def fit(docs: DataFrame, max_texts: int = 200, max_chars: int = 20_000) -> Tagger:
+    """A tagger whose training text is that of the first `max_texts` rows by a hash of doc_id, at most `max_chars` characters of each."""
     rows = pick(docs, doc_id="doc_id", text="text").where("doc_id is not null and text is not null")
-    ids = [r[0] for r in rows.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_texts).collect()]
-    found = sorted(rows.where(F.col("doc_id").isin(ids)).select("text").collect()) if ids else []
-    return trained(tuple(r[0] for r in found[: 2 * max_texts]))
+    found = rows.select("doc_id", F.substring("text", 1, max_chars).alias("text")).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(max_texts)
+    return trained(tuple(sorted(r.text for r in found.collect())))
 
 
 # ---------------------------------------------------------------- tagging of texts
@@ -390,26 +424,28 @@ def fit(docs: DataFrame, max_texts: int = 200) -> Tagger:
 #: Least posterior probability of the tags of an added span, on average.
 LEAST_SURE = 0.7
 
-#: A written address, from the start of a word on.
-WRITTEN = re.compile(r"(?<![\w.%+-])[\w.%+-]+\s*(?:@|[\[({<]\s*at\s*[\])}>])\s*[\w-]+(?:\s*(?:\.|[\[({<]\s*dot\s*[\])}>])\s*[\w-]+)+", re.I)
 PART = re.compile(r"[\w%+-]|\.(?=\w)")
+AT = re.compile(r"@|[\[({<]\s*at\b|\bat\b(?=.*\bdot\b)", re.I | re.S)
 
 
-def plausible(kind: str, text: str) -> bool:
-    """Whether a tagged string holds what its kind needs."""
-    digits = re.sub("[^0-9]", "", text)
+def holds(kind: str, text: str) -> bool:
+    """Whether a tagged string has what its kind consists of, in whatever form: an at of some kind, four octets, a card's or a phone's digits.
+
+    The form is for the tagger to learn; this asks for content only, all of which holds a TRIGGER.
+    """
     if kind == "email":
-        return bool(WRITTEN.fullmatch(text))
+        return bool(AT.search(text))
+    digits = re.sub(r"\D", "", text)
     if kind == "ip":
-        parts = re.findall("[0-9]+", text)
-        return len(parts) == 4 and all(len(p) <= 3 and int(p) <= 255 for p in parts) and bool(re.fullmatch(r"[0-9]+(?:\s*[\[(]?\.[\])]?\s*[0-9]+){3}", text))
+        parts = re.findall(r"\d+", text)
+        return len(parts) == 4 and all(map(octet, parts))
     if kind == "card":
-        return 13 <= len(digits) <= 19 and luhn(digits) and bool(re.fullmatch(r"[0-9][0-9 .-]*[0-9]", text))
-    return 8 <= len(digits) <= 15 and bool(re.fullmatch(r"(?:\+|00)?[0-9(][0-9 ().-]*[0-9]", text)) and bool(re.search("[ ().+-]", text))
+        return 13 <= len(digits) <= 19 and luhn(digits)
+    return 8 <= len(digits) <= 15
 
 
 def settled(kind: str, text: str, a: int, b: int) -> tuple[int, int]:
-    """A tagged place without the white space at its end; an address has whole words, and none before it."""
+    """A tagged place without the white space at its end; an address has whole words."""
     while b > a and text[b - 1].isspace():
         b -= 1
     if kind == "email":
@@ -417,8 +453,6 @@ def settled(kind: str, text: str, a: int, b: int) -> tuple[int, int]:
             a -= 1
         while b < len(text) and (text[b].isalnum() or text[b] in "_-"):
             b += 1
-        if m := WRITTEN.search(text[a:b]):
-            a, b = a + m.start(), a + m.end()
     return a, b
 
 
@@ -461,27 +495,26 @@ def reconcile(spans: list[tuple[float, int, int, int]]) -> list[tuple[int, int,
 
 def tag(texts: list[str], model: Tagger) -> list[tuple[list[Span], list[Span]]]:
     """(rules' spans, all spans) of each text, by kind, then start."""
-    windows, where = [], []
-    for i, text in enumerate(texts):
-        areas = regions(text)
-        if not areas:
-            continue
-        symbols = encode(text)
-        for a, b in areas:
-            for at in range(a, max(a + 1, b - STRIDE), STRIDE):
-                piece = symbols[at : min(b, at + WIDTH)]
-                windows.append(np.concatenate([piece, np.full(WIDTH - len(piece), PAD)]))
-                where.append((i, at, at == a, at + WIDTH >= b))
     found: list[list[tuple[float, int, int, int]]] = [[] for _ in texts]
-    if windows:
-        tags, sure = decode(model, np.stack(windows))
-        cut: tuple[int, int, int, float] | None = None  # (kind, start, end, score) of the span at the end of the window before
-        before = -2
-        for w in np.flatnonzero((tags > 0).any(axis=1)).tolist():
-            i, at, first, last = where[w]
-            if first or w != before + 1:
+    cut: tuple[int, int, int, float] | None = None  # (kind, start, end, score) of the span at the end of the window before
+
+    def windows() -> Iterator[tuple[np.ndarray, int, int, bool, bool]]:
+        for i, text in enumerate(texts):
+            for a, b in regions(text):
+                symbols = np.append(encode(text[a:b]), np.full(WIDTH, PAD, np.uint8))
+                for at in range(a, max(a + 1, b - STRIDE), STRIDE):
+                    yield symbols[at - a : at - a + WIDTH], i, at, at == a, at + WIDTH >= b
+
+    source = windows()
+    while held_now := list(islice(source, CHUNK)):
+        tags, sure = decode(model, np.stack([w[0] for w in held_now]))
+        some = (tags > 0).any(axis=1)
+        for w, (_, i, at, first, last) in enumerate(held_now):
+            if first or not some[w]:
                 cut = None
-            held, cut, before = cut, None, w
+            if not some[w]:
+                continue
+            held, cut = cut, None
             row = tags[w]
             k = 0
             while k < WIDTH:
@@ -506,7 +539,7 @@ def tag(texts: list[str], model: Tagger) -> list[tuple[list[Span], list[Span]]]:
         every, done = list(base), 0
         for kind, a, b in reconcile(own):
             a, b = settled(KINDS[kind], text, a, b)
-            if a >= done and all(b <= x or a >= y for _, x, y in base) and plausible(KINDS[kind], text[a:b]):
+            if a >= done and all(b <= x or a >= y for _, x, y in base) and holds(KINDS[kind], text[a:b]):
                 every.append((KINDS[kind], a, b))
                 done = b
         every.sort(key=lambda s: (KINDS.index(s[0]), s[1], s[2]))
@@ -514,17 +547,12 @@ def tag(texts: list[str], model: Tagger) -> list[tuple[list[Span], list[Span]]]:
     return out
 
 
-ANY = byte_class((0x30, 0x39), (0x40, 0x40), (0x5B, 0x5B), (0x28, 0x28), (0x7B, 0x7B), (0x3C, 0x3C), (0x80, 0xFF))
-
-
 def tag_column(column: pa.Array, model: Tagger) -> Iterator[tuple[int, str, list[Span], list[Span]]]:
     """(row, text, rules' spans, all spans) of the texts of a column that may hold any."""
     for row, data, offsets in text_arrays(column):
-        seen = np.concatenate([[0], np.cumsum(ANY[data])])
-        maybe = np.flatnonzero(seen[offsets[1:]] > seen[offsets[:-1]])
         raw = data.tobytes()
-        texts = [raw[offsets[k] : offsets[k + 1]].decode("utf-8", "surrogatepass") for k in maybe.tolist()]
-        some = [(k, t) for k, t in zip(maybe.tolist(), texts, strict=True) if TRIGGER.search(t)]
+        texts = (raw[a:b].decode("utf-8", "surrogatepass") for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True))
+        some = [(k, t) for k, t in enumerate(texts) if TRIGGER.search(t)]
         for (k, text), (base, every) in zip(some, tag([t for _, t in some], model), strict=True):
             yield row + k, text, base, every
 

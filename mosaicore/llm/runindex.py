@@ -5,6 +5,8 @@ it by runs, with the suffix array sampled at run starts and run ends only.  Long
 lengths are needed at those samples alone: between them, as the text is streamed, the match of a
 position is that of the position before it less one (rows within a run keep their neighbours
 when both are extended by the run's letter).  The more repetitive the strings, the fewer samples.
+A string that occurs several times is held once: its copies' rows are neighbours and make runs
+longer, not more.
 
 Strings are of bytes other than 0xFF (as UTF-8 is) and end with separators that match nothing,
 so no match crosses from one string to the next.
@@ -67,10 +69,10 @@ def suffix_array(words: np.ndarray, alive: np.ndarray) -> np.ndarray:
 
 
 class RunIndex:
-    """strings: their bytes, one after the other; lengths: of each."""
+    """data: distinct strings' bytes, one after the other; lengths: of each; counts: how often each occurs (once)."""
 
-    def __init__(self, data: np.ndarray, lengths: np.ndarray):
-        self.lengths = lengths
+    def __init__(self, data: np.ndarray, lengths: np.ndarray, counts: np.ndarray | None = None):
+        self.lengths, self.counts = lengths, counts
         self.starts = np.cumsum(lengths + 1) - (lengths + 1)  # places in the text with separators
         self.text = np.zeros(int((lengths + 1).sum()), np.uint8)
         self.text[ragged(self.starts, lengths)] = data + np.uint8(1)
@@ -118,6 +120,10 @@ class RunIndex:
             reach = np.zeros(n, np.int64)
             reach[at] = at + self.common(at, near)
             np.maximum(best, np.maximum.accumulate(reach) - place, out=best)
+        if self.counts is not None:  # a suffix of a string that occurs again has a neighbour to the string's end
+            again = self.counts > 1
+            own = ragged(self.starts[again], self.lengths[again])
+            best[own] = np.repeat((self.starts + self.lengths)[again], self.lengths[again]) - own
         return best
 
     def long_matches(self, least: int) -> list[list[tuple[int, int]]]:

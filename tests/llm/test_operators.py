@@ -166,6 +166,39 @@ def test_near_duplicates(spark, n):
     assert [(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in rows] == [(i, len(s), c, i == c) for i, (s, c) in enumerate(zip(sets, label))]
 
 
+def test_links_that_no_hub_shares(spark, monkeypatch):
+    """Families in which many members are unlike the hub of their bucket, in blocks of a few texts; short sets at exactly 0.8."""
+    monkeypatch.setattr(neardup, "BLOCK", 4)
+    rng = random.Random(18)
+    texts = []
+    for _ in range(4):  # each copy changes a word of the one before, so that the ends are unlike
+        w = prose(rng, 40).split()
+        for k in range(24):
+            w[(7 * k) % 40] = rng.choice(WORDS) + str(k)
+            texts.append(" ".join(w))
+    for k in range(60):  # 8 of 10 and 4 of 5 shingles in common
+        w = [f"w{k}x{i}" for i in range(11)]
+        texts += [" ".join(w), " ".join(w[:-2])] if k % 2 else [" ".join(w[:6]), " ".join(w[:5])]
+    rng.shuffle(texts)
+    _, label = brute_components(texts, 2)
+    rows = sorted(neardup.near_duplicates(docs_of(spark, texts), 2).collect())
+    assert [r.component_id for r in rows] == label and len(set(label)) <= 80
+
+
+def test_one_very_large_family(spark):
+    rng = random.Random(19)
+    base = prose(rng, 120).split()
+    texts = [" ".join(base)]
+    for k in range(1500):
+        w = base.copy()
+        for _ in range(3):
+            w[rng.randrange(120)] = f"z{k}"
+        texts.append(" ".join(w))
+    texts += [prose(rng, 60) for _ in range(30)]
+    rows = neardup.near_duplicates(docs_of(spark, texts), 2).collect()
+    assert Counter(r.component_id for r in rows)[0] == 1501 and sum(r.kept for r in rows) == 31
+
+
 def test_minhash_near_duplicates(spark):
     texts = edited_family(random.Random(9))
     _, label = brute_components(texts, 5)
@@ -341,6 +374,35 @@ def test_repeats(spark):
     assert sum(0 < r.n_removed < r.n_bytes for r in rows) > 10
 
 
+@pytest.mark.parametrize("name, value", [("HOT", 3), ("PIECE", 512), ("BLOCK", 1)])
+def test_repeats_with_small_limits(spark, monkeypatch, name, value):
+    """A passage with ever other neighbours, long texts and blocks, each beyond a patched limit."""
+    monkeypatch.setattr(repeats, name, value)
+    rng = random.Random(16)
+    shared, almost = prose(rng, 60)[:260], prose(rng, 60)[:195]
+    texts = [prose(rng, 20) + shared + prose(rng, 20) for _ in range(12)] + [prose(rng, 20) + almost + prose(rng, 20) for _ in range(12)]
+    texts += [prose(rng, 400) + shared + prose(rng, 300), prose(rng, 10) + almost + "same end of it" + prose(rng, 9), almost + "same end of it", "é" * 2000, prose(rng, 30)]
+    texts += texts[:2]
+    want = repeats.brute_force([t.encode() for t in texts], 200)
+    rows = sorted(repeats.digests(docs_of(spark, texts)).collect())
+    assert [(r.n_removed, r.n_spans, r.kept_sha256) for r in rows] == want and 0 < want[0][0]
+
+
+def test_repeats_of_many_equal_rows(spark):
+    rng = random.Random(17)
+    text, other = prose(rng, 200), prose(rng, 50)
+    texts = [(7, text)] * 600 + [(None, text)] * 500 + [(None, other)] + [(k, prose(rng, 60)) for k in range(100, 130)] + [(200, text[100:400] + other)]
+    want = repeats.brute_force([text.encode()] * 2 + [other.encode()] * 2 + [(text[100:400] + other).encode()] * 2, 200)
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    rows = repeats.digests(docs).collect()
+    assert len(rows) == len(texts)
+    assert {(r.n_removed, r.n_spans, r.kept_sha256) for r in rows if r.n_bytes == len(text)} == {want[0]}
+    own = next(r for r in rows if r.doc_id == 200)
+    assert (own.n_removed, own.n_spans, own.kept_sha256) == want[4]
+    spans = repeats.repeated_spans(repeats.written(repeats.text_table(docs, 200), "t"), 200).collect()
+    assert len(spans) <= 4 and max(len(r.spans) for r in spans) < 200  # a list for each text, not for each row
+
+
 def test_repeats_of_odd_rows(spark, odd_docs, no_docs):
     rows = repeats.digests(odd_docs).collect()
     assert len(rows) == 14 and [r.n_removed for r in rows if r.doc_id == 6] == [150_000]

@@ -1,14 +1,17 @@
 """Best-fit packing with swap-based local search.
 
 Documents are cut into pieces of at most `capacity` tokens and the pieces laid into as few
-sequences of that capacity as can be found.  Pieces are dealt by hash to groups of bounded size.
-Each group starts from best fit in descending length; then documents move, or change places one
-for one or two for one, between underfull bins so that the sum of squared fills rises, until
-bins run empty or no exchange helps.  What is left underfull in the groups is packed once more
-in fewer groups, so that a group's last bin costs nothing overall.
-
-Edge cases: a null text is an empty one and has the end id alone; an empty table gives an empty
-result; equal lengths are ordered by key; repeated rows are packed as often as they occur;
+sequences of that capacity as can be found.  Pieces are dealt by hash to groups of bounded size;
+rows that are equal are dealt like others, by their place in the table of pieces.
+Each group starts from best fit as the pieces come, which leaves bins underfull.  Then documents move, or
+change places one for one or two for one, between underfull bins so that the sum of squared
+fills rises, until the fewest possible bins are left or no exchange helps; where that leaves more bins
+than best fit in descending length does, the search starts again from that.  Further exchanges gather
+the room that is left in the emptiest bin.  The groups' emptiest bins meet in fewer groups, whose search
+starts from these bins as they are, so that a group's last bin costs nothing overall.
+
+Edge cases: very long texts are cut, as any that are longer than a sequence; a null text is an empty one and has the end id alone; an empty table gives an empty
+result; equal lengths are ordered by key and place; repeated rows are packed as often as they occur;
 other columns are ignored.
 """
 
@@ -27,7 +30,9 @@ from mosaicore.llm.common import pick, tidied, written
 from mosaicore.llm.tokens import encoder
 
 #: Tokens and pieces that a group holds on average.
-GROUP_TOKENS, GROUP_PIECES = 1 << 22, 1 << 17
+GROUP_TOKENS, GROUP_PIECES = 1 << 20, 1 << 15
+#: The emptiest bins, to which an exchange looks first.
+WIDE = 48
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -52,12 +57,12 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) ->
     return pick(docs, doc_id="doc_id", text="text").withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(tidied(cut), PIECES)
 
 
-def best_fit(lengths: np.ndarray, capacity: int) -> np.ndarray:
-    """The bin of each piece; pieces go in descending length where they leave least room."""
+def best_fit(lengths: np.ndarray, capacity: int, descending: bool = True) -> np.ndarray:
+    """The bin of each piece; pieces go, in descending length or as they come, where they leave least room."""
     room: list[list[int]] = [[] for _ in range(capacity + 1)]  # bins by the room they have
     has, bins = 0, 0  # has: bit r is set if some bin has room r
     out = np.empty(len(lengths), np.int64)
-    for i in np.argsort(-lengths, kind="stable").tolist():
+    for i in (np.argsort(-lengths, kind="stable") if descending else np.arange(len(lengths))).tolist():
         size = int(lengths[i])
         if fits := has >> size:
             r = size + (fits & -fits).bit_length() - 1
@@ -74,12 +79,13 @@ def best_fit(lengths: np.ndarray, capacity: int) -> np.ndarray:
     return out
 
 
-def exchange(lengths: np.ndarray, bins: np.ndarray, capacity: int) -> np.ndarray:
-    """Local search from the given bins; stops at the fewest possible bins or at a local optimum.
+def exchange(lengths: np.ndarray, bins: np.ndarray, capacity: int, moves: list[tuple[int, int]] | None = None) -> np.ndarray:
+    """Local search from the given bins; stops at the fewest possible bins or at a local optimum, then gathers room in the emptiest bin.
 
     A step takes out of the donor one or two pieces and out of the receiver none, one or two (not
     two for two), so that the receiver gains d > 0 tokens, has room for them and the sum of
-    squared fills rises, by 2 d (receiver - donor + d).  It always takes the step that gains most.
+    squared fills rises, by 2 d (receiver - donor + d).  It takes the step that gains most with one of the WIDE
+    emptiest bins, or, if there is none, with any other.  moves, if given, gets the numbers of pieces of each step.
     """
     bins = np.unique(bins, return_inverse=True)[1]
     fill = np.bincount(bins, weights=lengths).astype(np.int64)
@@ -87,11 +93,10 @@ def exchange(lengths: np.ndarray, bins: np.ndarray, capacity: int) -> np.ndarray
     held: dict[int, list[int]] = {}
     for i in np.flatnonzero(fill[bins] < capacity).tolist():
         held.setdefault(int(bins[i]), []).append(i)
-    if np.count_nonzero(fill) <= fewest:
-        return bins
+    count = int(np.count_nonzero(fill))
 
-    def offers(b: int) -> list[tuple[int, tuple[int, ...]]]:
-        """What the bin can give: total length and pieces; one choice for each length."""
+    def offers(b: int) -> tuple[np.ndarray, np.ndarray, list[tuple[int, ...]]]:
+        """What the bin can give: total lengths, numbers of pieces and pieces, the first nothing; one choice for each length."""
         by = {int(lengths[i]): i for i in held[b]}
         single = [(n, (i,)) for n, i in by.items()]
         pairs = {n + m: (i, j) for a, (n, (i,)) in enumerate(single) for m, (j,) in single[:a]}
@@ -101,70 +106,80 @@ def exchange(lengths: np.ndarray, bins: np.ndarray, capacity: int) -> np.ndarray
             if n in twice:
                 pairs.setdefault(2 * n, (twice[n], i))
             twice[n] = i
-        return single + list(pairs.items())
-
-    def priced(b: int) -> tuple[np.ndarray, np.ndarray, list[tuple[int, ...]]]:
-        own = [(0, ()), *offers(b)]
+        own = [(0, ()), *single, *pairs.items()]
         return np.array([n for n, _ in own], np.int64), np.array([len(p) for _, p in own]), [p for _, p in own]
 
-    cache = {b: priced(b) for b in held}
+    cache: dict[int, tuple] = {}
+
+    def priced(b: int) -> tuple:
+        if b not in cache:
+            cache[b] = offers(b)
+        return cache[b]
+
+    def step(donor: int) -> bool:
+        """The best exchange out of the donor, if any gains."""
+        nonlocal count
+        give, give_k, give_p = (x[1:] for x in priced(donor))
+        others = sorted((b for b in held if b != donor), key=lambda b: (fill[b], b))
+        best: tuple = (0, None)
+        for part in (others[:WIDE], others[WIDE:]):
+            for other in part:
+                take, take_k, take_p = priced(other)
+                d = give[:, None] - take[None, :]
+                gain = np.where((d > 0) & (d <= capacity - fill[other]) & (give_k[:, None] + take_k[None, :] < 4), 2 * d * (int(fill[other]) - int(fill[donor]) + d), 0)
+                at = int(gain.argmax())
+                if gain.flat[at] > best[0]:
+                    x, y = divmod(at, gain.shape[1])
+                    best = (int(gain.flat[at]), (other, give_p[x], take_p[y], int(d[x, y])))
+            if best[1] is not None:
+                break
+        if best[1] is None:
+            return False
+        other, out, back, moved = best[1]
+        for pieces, source, target in ((out, donor, other), (back, other, donor)):
+            for i in pieces:
+                held[source].remove(i)
+                held[target].append(i)
+                bins[i] = target
+        fill[donor] -= moved
+        fill[other] += moved
+        if moves is not None:
+            moves.append((len(out), len(back)))
+        for b in (donor, other):
+            cache.pop(b, None)
+            if not held[b] or fill[b] == capacity:  # full bins are done with
+                count -= not held[b]
+                held.pop(b)
+        return True
+
     better = True
-    while better and np.count_nonzero(fill) > fewest:
+    while better and count > fewest:
         better = False
         for donor in sorted(held, key=lambda b: (fill[b], b)):
-            while held.get(donor):
-                give, give_k, give_p = (x[1:] for x in cache[donor])
-                best = (0, None)
-                for other in held:
-                    if other == donor or not (gap := capacity - int(fill[other])):
-                        continue
-                    take, take_k, take_p = cache[other]
-                    d = give[:, None] - take[None, :]
-                    gain = np.where((d > 0) & (d <= gap) & (give_k[:, None] + take_k[None, :] < 4), 2 * d * (int(fill[other]) - int(fill[donor]) + d), 0)
-                    at = int(gain.argmax())
-                    if gain.flat[at] > best[0]:
-                        x, y = divmod(at, gain.shape[1])
-                        best = (int(gain.flat[at]), (other, give_p[x], take_p[y]))
-                if best[1] is None:
-                    break
-                other, out, back = best[1]
-                for i in out:
-                    held[donor].remove(i)
-                    held[other].append(i)
-                    bins[i] = other
-                for i in back:
-                    held[other].remove(i)
-                    held[donor].append(i)
-                    bins[i] = donor
-                moved = int(lengths[list(out)].sum()) - int(lengths[list(back)].sum() if back else 0)
-                fill[donor] -= moved
-                fill[other] += moved
+            while count > fewest and donor in held and step(donor):
                 better = True
-                for b in (donor, other):
-                    if held[b]:
-                        cache[b] = priced(b)
-                if fill[other] == capacity:  # full bins are done with
-                    held.pop(other)
-                if not held[donor]:
-                    held.pop(donor)
-                    break
-            if np.count_nonzero(fill) <= fewest:
-                break
+    if held:
+        donor = min(held, key=lambda b: (fill[b], b))
+        while donor in held and step(donor):
+            pass
     return bins
 
 
-def pack_lengths(lengths: np.ndarray, capacity: int, start: np.ndarray | None = None) -> np.ndarray:
-    """The bin of each piece, numbered from 0; never more bins than in `start`, if that is given."""
-    bins = best_fit(lengths, capacity)
-    if start is not None and len(np.unique(start)) < len(np.unique(bins)):
-        bins = start
-    return np.unique(exchange(lengths, bins, capacity), return_inverse=True)[1]
+def pack_lengths(lengths: np.ndarray, capacity: int, start: np.ndarray | None = None, moves: list[tuple[int, int]] | None = None) -> np.ndarray:
+    """The bin of each piece, numbered from 0; the search starts from `start`, if that is given; never more bins than best fit in descending length has."""
+    bins = exchange(lengths, best_fit(lengths, capacity, False) if start is None else start, capacity, moves)
+    count = len(np.unique(bins))
+    if count > -(-int(lengths.sum()) // capacity):
+        other = best_fit(lengths, capacity)
+        if len(np.unique(other)) < count:
+            bins = exchange(lengths, other, capacity, moves)
+    return np.unique(bins, return_inverse=True)[1]
 
 
 def pack(pieces: DataFrame, keys: list[str], capacity: int) -> DataFrame:
     """pieces (with a column length) and sequence_id, offset: where each one lies.
 
-    `keys` identify a piece and order pieces of one length.  The pieces are read twice.
+    `keys` order pieces of one length.  The pieces are a written table, as they are read twice.
     """
     total, rows = pieces.agg(F.coalesce(F.sum("length"), F.lit(0)), F.count(F.lit(1))).first()
     groups = max(1, -(-total // GROUP_TOKENS), -(-rows // GROUP_PIECES))
@@ -172,7 +187,8 @@ def pack(pieces: DataFrame, keys: list[str], capacity: int) -> DataFrame:
 
     def packed(source: DataFrame, n: int, base: int, again: bool) -> DataFrame:
         def each(frame: pd.DataFrame) -> pd.DataFrame:
-            frame = frame.sort_values(["length", *keys], ascending=[False] + [True] * len(keys), kind="stable", ignore_index=True)
+            # as they come: in an order that the hash gives
+            frame = frame.sort_values(["_dealt", "length", *keys], kind="stable", ignore_index=True)
             lengths = frame["length"].to_numpy(np.int64)
             bins = pack_lengths(lengths, capacity, np.unique(frame["sequence_id"], return_inverse=True)[1] if again else None)
             order = np.argsort(bins, kind="stable")
@@ -181,21 +197,22 @@ def pack(pieces: DataFrame, keys: list[str], capacity: int) -> DataFrame:
             offset = np.empty(len(frame), np.int64)
             offset[order] = before - before[opened][bins[order]]
             fill = np.bincount(bins, weights=lengths).astype(np.int64)
-            return frame.assign(sequence_id=((base + frame["_group"].to_numpy(np.int64)) << 24) + bins, offset=offset, _room=capacity - fill[bins])
+            open_ = (bins == fill.argmin()) & (fill.min() < capacity)
+            return frame.assign(sequence_id=((base + frame["_group"].to_numpy(np.int64)) << 24) + bins, offset=offset, _open=open_)
 
-        out = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "sequence_id long", "offset long", "_room long", "_group int"])
-        hashed = F.xxhash64(F.col("sequence_id") if again else F.struct(*keys))
-        return source.withColumn("_group", F.pmod(hashed, F.lit(n)).cast("int")).groupBy("_group").applyInPandas(each, out)
+        out = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "sequence_id long", "offset long", "_open boolean", "_group int", "_dealt long"])
+        dealt = source.withColumn("_dealt", F.xxhash64(F.col("sequence_id") if again else F.monotonically_increasing_id()))
+        return dealt.withColumn("_group", F.pmod("_dealt", F.lit(n)).cast("int")).groupBy("_group").applyInPandas(each, out)
 
     names = [*fields.names, "sequence_id", "offset"]
     first = packed(pieces, groups, 0, False)
     if groups == 1:
         return first.select(names)
     first = written(first, "packed")
-    open_tokens, open_rows = first.where("_room > 0").agg(F.coalesce(F.sum("length"), F.lit(0)), F.count(F.lit(1))).first()
+    open_tokens, open_rows = first.where("_open").agg(F.coalesce(F.sum("length"), F.lit(0)), F.count(F.lit(1))).first()
     fewer = max(1, -(-open_tokens // GROUP_TOKENS), -(-open_rows // GROUP_PIECES))
-    second = packed(first.where("_room > 0"), fewer, groups, True)
-    return first.where("_room = 0").select(names).unionByName(second.select(names))
+    second = packed(first.where("_open"), fewer, groups, True)
+    return first.where("not _open").select(names).unionByName(second.select(names))
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = 4096) -> DataFrame:

@@ -87,6 +87,32 @@ def test_pack_lengths():
         assert fill.max() <= 4096 and len(fill) <= len(np.unique(packing.best_fit(lengths, 4096))) and fill.min() > 0
 
 
+def test_exchanges_do_the_packing():
+    """From pieces as they come to the fewest bins that there can be, by moves, swaps and two for one."""
+    rng = np.random.default_rng(4)
+    kinds, emptied = Counter(), 0
+    for _ in range(6):
+        lengths = np.minimum(4096, rng.lognormal(6.6, 0.9, 900).astype(np.int64) + 1)
+        start = packing.best_fit(lengths, 4096, False)
+        moves = []
+        bins = packing.pack_lengths(lengths, 4096, None, moves)
+        fill, fewest = np.bincount(bins, weights=lengths), -(-int(lengths.sum()) // 4096)
+        assert fewest <= len(fill) <= len(np.unique(packing.best_fit(lengths, 4096))) and fill.max() <= 4096 and moves
+        kinds.update(moves)
+        emptied += len(np.unique(start)) - len(fill)
+    assert emptied >= 4 and kinds[1, 0] and kinds[1, 1] and kinds[2, 1] + kinds[1, 2] and max(map(sum, kinds)) == 3
+
+
+def test_many_equal_rows_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP_TOKENS", 20_000)
+    rows = packing.pack(packing.written(spark.createDataFrame([(7, 0, 300)] * 600, "doc_id long, piece int, length long"), "equal"), ["doc_id", "piece"], 1000).collect()
+    fill = Counter()
+    for r in rows:
+        fill[r.sequence_id] += r.length
+    assert len(rows) == 600 and max(fill.values()) <= 1000 and len(fill) == 200 and len({s >> 24 for s in fill}) > 3
+    assert sorted(r.offset for r in rows) == [0] * 200 + [300] * 200 + [600] * 200
+
+
 def test_exchange_empties_a_bin():
     lengths = np.array([6, 4, 5, 5, 3, 3, 4])  # 30 in bins of 10
     assert len(np.unique(packing.exchange(lengths, np.array([0, 1, 0 + 2, 1, 3, 3, 2]), 10))) == 3

@@ -10,8 +10,10 @@ second Arrow file beside it lists where each document starts.
 Ids take 16 bits if the vocabulary allows, else 32.  A file gets its name only when it is
 complete, so a task that is run again replaces nothing that others may be reading.
 
-Edge cases: null texts are empty and have the end id alone; null doc_ids come first; equal
-doc_ids are ordered by text; an empty table gives no files and an empty result; other columns are ignored.
+Edge cases: null texts are empty and have the end id alone; very long texts are encoded whole; null doc_ids
+come first; equal doc_ids are ordered by the first 16 characters of the text, further ties by their place in
+the table; an empty table gives no files and an empty result; other columns are ignored.  A task that fails deletes its unfinished
+files (named .*); those of an executor that is lost stay behind unread.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +33,8 @@ from mosaicore.llm.common import pick, scratch, tidied, written
 from mosaicore.llm.tokens import encoder
 
 SEQUENCE, BATCH = 2048, 128
+#: Ranges that equal rows may be dealt to.
+SPREAD = 256
 
 
 def place(uri: str) -> tuple[fs.FileSystem, str]:
@@ -53,6 +58,12 @@ class SequenceWriter:
         self.ids, self.docs = (pa.ipc.new_file(sink, schema) for sink, schema in zip(self.sinks, (self.schema, self.index_schema), strict=True))
         self.held, self.n_held, self.n_ids, self.n_docs = [], 0, 0, 0
 
+    def abort(self) -> None:
+        """Deletes what is half written."""
+        for sink, kind in zip(self.sinks, ("ids", "docs"), strict=True):
+            sink.close()
+            self.fs.delete_file(f"{self.path}/.{self.name}.{kind}")
+
     def add(self, doc_ids: list, counts: np.ndarray, ids: np.ndarray) -> None:
         """Documents with their ids, end ids included."""
         starts = self.n_ids + np.cumsum(counts) - counts
@@ -121,23 +132,32 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, folder: str, leng
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, writer, first = encoder(tokenizer), None, None
         top = max(end_id, encode.tokenizer.get_vocab_size() - 1)
-        for part in batches:
-            doc_ids = part.column(0)
-            for row, ids, counts in encode.texts(part.column(1)):
-                if writer is None:
-                    first = doc_ids[row].as_py()
-                    writer = SequenceWriter(folder, np.dtype(np.uint16 if top < 1 << 16 else np.uint32), length, batch)
-                ids = np.insert(ids, np.cumsum(counts), end_id)
-                writer.add(doc_ids[row : row + len(counts)].to_pylist(), counts + 1, ids)
+        try:
+            for part in batches:
+                doc_ids = part.column(0)
+                for row, ids, counts in encode.texts(part.column(1)):
+                    if writer is None:
+                        first = doc_ids[row].as_py()
+                        writer = SequenceWriter(folder, np.dtype(np.uint16 if top < 1 << 16 else np.uint32), length, batch)
+                    ids = np.insert(ids, np.cumsum(counts), end_id)
+                    writer.add(doc_ids[row : row + len(counts)].to_pylist(), counts + 1, ids)
+        except BaseException:
+            if writer is not None:
+                writer.abort()
+            raise
         if writer is not None:
             name, n_docs, n_ids = writer.close()
-            yield pa.RecordBatch.from_pydict({"file": [name], "first_doc": pa.array([first], pa.int64()), "n_docs": [n_docs], "n_ids": [n_ids]})
+            part = pa.array([TaskContext.get().partitionId()], pa.int32())
+            yield pa.RecordBatch.from_pydict({"file": [name], "part": part, "first_doc": pa.array([first], pa.int64()), "n_docs": [n_docs], "n_ids": [n_ids]})
 
     rows = pick(docs, doc_id="doc_id", text="text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    ordered = rows.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    files = written(ordered.mapInArrow(tidied(write), "file string, first_doc long, n_docs long, n_ids long"), "token-files").collect()  # a row per file
+    # ranges of doc_id, then of how the text begins, then of the row's place: rows that share an id, or have none, are dealt, too
+    ordered = rows.withColumn("_place", F.pmod(F.monotonically_increasing_id(), F.lit(SPREAD)))
+    ordered = ordered.repartitionByRange(F.col("doc_id").asc_nulls_first(), F.substring("text", 1, 16).asc_nulls_first(), "_place")
+    ordered = ordered.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.substring("text", 1, 16).asc_nulls_first(), "_place").select("doc_id", "text")
+    files = written(ordered.mapInArrow(tidied(write), "file string, part int, first_doc long, n_docs long, n_ids long"), "token-files").collect()  # a row per file
     base, rows = 0, []
-    for f in sorted(files, key=lambda f: (f.first_doc is not None, f.first_doc or 0)):
+    for f in sorted(files, key=lambda f: f.part):  # ranges are in order
         rows.append((f.file, f.first_doc, f.n_docs, f.n_ids, base))
         base += f.n_ids
     return docs.sparkSession.createDataFrame(rows, "file string, first_doc long, n_docs long, n_ids long, base long")

@@ -7,8 +7,9 @@ so control strings inside texts are escaped, reversibly: an escape character is
 first character of each, and the escape character itself is doubled.  The loss mask covers the
 ids of assistants' texts and comes from prefix sums over +1 and -1 at their borders.
 
-Edge cases: a null role or text is empty; turns of one number are ordered by role, then text,
-null turns first; rows without conv_id are one conversation; an empty table gives an empty
+Edge cases: a null role or text is empty; very long texts are encoded whole; turns of one number are ordered
+by role, then text, null turns first, repeated rows count as often as they occur; a conversation of very many
+turns is read by one task, turn by turn, as its digests run through it in order; rows without conv_id are one conversation; an empty table gives an empty
 result; other columns are ignored.
 """
 
@@ -73,10 +74,23 @@ class Assembler:
 
     def read(self, ids: np.ndarray, mask: np.ndarray) -> list[tuple[str, str, str, str]]:
         """(role, text, text under the mask, formatted string) of each turn, from ids and mask alone."""
-        a, b, c = (np.flatnonzero(ids == x) for x in (self.turn, self.text, self.end))
-        parts = [p for i, j, k in zip(a.tolist(), b.tolist(), c.tolist(), strict=True) for p in (ids[i + 1 : j], ids[j + 1 : k], ids[i:k][mask[i:k]])]
-        out = self.decode(parts)
-        return [(unescape(r), unescape(t), unescape(m), f"{TURN}{r}{TEXT}{t}{END}") for r, t, m in zip(out[::3], out[1::3], out[2::3], strict=True)]
+        a, b, c = (np.flatnonzero(ids == x).tolist() for x in (self.turn, self.text, self.end))
+        learnt = np.concatenate([[0], np.cumsum(mask)])
+        parts, masked = [], []
+        for i, j, k in zip(a, b, c, strict=True):
+            n = int(learnt[k] - learnt[i])
+            whole = n == k - j - 1 == int(learnt[k] - learnt[j + 1])  # the mask covers the text and nothing else: it need not be decoded again
+            parts += [ids[i + 1 : j], ids[j + 1 : k]]
+            masked.append(whole)
+            if not whole and n:
+                parts.append(ids[i:k][mask[i:k]])
+        out = iter(self.decode(parts))
+        found = []
+        for n, (i, k) in enumerate(zip(a, c, strict=True)):
+            role, text = next(out), next(out)
+            loss = text if masked[n] else next(out) if learnt[k] > learnt[i] else ""
+            found.append((unescape(role), unescape(text), unescape(loss), f"{TURN}{role}{TEXT}{text}{END}"))
+        return found
 
 
 def assemble(rows: DataFrame, tokenizer: str) -> DataFrame:

@@ -71,7 +71,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 #: Most rows and bytes of an Arrow batch between Spark and its Python workers; texts may be long.
-BATCH_ROWS, BATCH_BYTES = 2000, 32 << 20
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
 
 
 def bounded(df: DataFrame) -> DataFrame:

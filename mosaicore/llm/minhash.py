@@ -1,8 +1,8 @@
 """MinHash fingerprints of texts.
 
-A text's signature has, for each of 128 permutations of 32-bit numbers (x -> a x + b modulo 2**32,
-a odd, from a fixed seed), the least image of its 5-word shingles' hashes.  The fingerprint
-writes 16 bits of each as hexadecimal; the share of places where two fingerprints agree
+A text's signature has, for each of 128 hash functions of a universal family (x -> the upper 32 bits of
+a x + b modulo 2**64, a and b of 64 bits from a fixed seed), the least image of its 5-word shingles'
+32-bit hashes.  The fingerprint writes the lower 16 bits of each as hexadecimal; the share of places where two fingerprints agree
 estimates the Jaccard similarity of the shingle sets.
 
 `near_duplicates` bands the signatures, joins the bands in Spark and verifies the pairs on the
@@ -10,8 +10,8 @@ full sets (see `neardup.classes`).  `with_edits` compares every text with an edi
 
 Edge cases: null and empty texts, and those without words, have a fingerprint of f's, which is
 like itself and nothing else; texts of fewer words have their whole sequence as the one shingle; null
-doc_ids come first in document order, equal ones are ordered by text; a single document is its own
-next one; an empty table gives an empty result; other columns are ignored.
+doc_ids come first in document order, equal ones are ordered by text (rows of one id are one task's, read one
+after the other); very long texts are read whole; a single document is its own next one; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,8 +31,7 @@ from mosaicore.llm.neardup import band_keys, classes, signature_table
 
 PERMUTATIONS, SHINGLE = 128, 5
 _rng = np.random.default_rng(1997)
-A = _rng.integers(0, 1 << 31, PERMUTATIONS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-B = _rng.integers(0, 1 << 32, PERMUTATIONS, dtype=np.uint32)
+A, B = _rng.integers(0, 1 << 64, (2, PERMUTATIONS), dtype=np.uint64)
 NONE = np.uint32(0xFFFFFFFF)
 #: Characters of texts that are worked on at a time in `with_edits`.
 CHUNK = 1 << 19
@@ -43,13 +42,13 @@ def minima(flat: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     out = np.full((len(bounds) - 1, PERMUTATIONS), NONE)
     some = bounds[1:] > bounds[:-1]
     if some.any():
-        x = (flat >> np.uint64(32)).astype(np.uint32)
+        x = flat >> np.uint64(32)
         y, starts = np.empty_like(x), bounds[:-1][some]
         own = np.empty((PERMUTATIONS, len(starts)), np.uint32)
         for k in range(PERMUTATIONS):
             np.multiply(x, A[k], out=y)
             np.add(y, B[k], out=y)
-            np.minimum.reduceat(y, starts, out=own[k])
+            own[k] = np.minimum.reduceat(y, starts) >> np.uint64(32)  # the least product has the least upper bits
         out[some] = own.T
     return out
 

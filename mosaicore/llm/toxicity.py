@@ -10,9 +10,11 @@ below zero the step is turned round, which keeps the model from learning U's tox
 
 Features are the distinct words (letters and non-ASCII bytes, lower case) that stand out in P.
 The fit uses a bounded sample: at most `max_positive` and `max_unlabelled` texts, the first by a
-hash of doc_id.  Scoring reads every whole text, on the executors, with the small model.
+hash of doc_id, one row of each doc_id.  Scoring reads every whole text, on the executors, with the small model.
 
-Edge cases: null and empty texts have no words and score as such; without a confirmed toxic text
+Edge cases: null and empty texts have no words and score as such; very long texts are read whole; a
+score of exactly 0.5 is predicted toxic, and goes in the pipeline; of rows that share a doc_id the first text
+in order is learnt from, all are scored; without a confirmed toxic text
 all scores are 0; label rows that are null, repeated or without a text count once or not at all;
 an empty table gives an empty result; columns other than the named ones are ignored.
 """
@@ -134,7 +136,9 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_positive: int = 4000, max_unl
                 yield pa.RecordBatch.from_arrays([batch.column(0)[row : row + len(found)], batch.column(2)[row : row + len(found)], pa.array(found, pa.binary())], names=["doc_id", "part", "found"])
 
     sample = docs.sparkSession.createDataFrame(list(wanted.items()), "doc_id long, part int")
-    rows = docs.withColumn("doc_id", F.col("doc_id").cast("long")).join(F.broadcast(sample), "doc_id").select("doc_id", "text", "part").mapInArrow(tidied(featurise), "doc_id long, part int, found binary").collect()
+    rows = docs.withColumn("doc_id", F.col("doc_id").cast("long")).join(F.broadcast(sample), "doc_id")
+    rows = rows.groupBy("doc_id", "part").agg(F.min("text").alias("text")).select("doc_id", "text", "part")  # one text of each id
+    rows = rows.mapInArrow(tidied(featurise), "doc_id long, part int, found binary").collect()
     rows.sort(key=lambda r: (r.doc_id, r.found))
     found = {bit: [np.frombuffer(r.found, "<u4") for r in rows if r.part & bit] for bit in (1, 2)}
     if not found[1] or not found[2] or not sum(map(len, found[1])) or not sum(map(len, found[2])):

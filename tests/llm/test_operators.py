@@ -59,6 +59,30 @@ def test_token_files(spark, odd_docs, no_docs):
     assert binary.token_files(no_docs, BYTE).collect() == []
 
 
+def test_rows_without_an_id_are_dealt_to_files(spark):
+    texts = [f"t{k % 50:02d} " + "word " * 200 for k in range(3000)]
+    docs = spark.createDataFrame([(None, t) for t in texts], "doc_id long, text string").repartition(4)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        folder = binary.scratch(spark, "tokens")
+        manifest = binary.write_tokens(docs, BYTE, 0, folder)
+        files = manifest.collect()
+        rows = binary.read_documents(manifest, folder).orderBy("start").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(files) > 1 and max(f.n_docs for f in files) < 2000
+    tokenizer = load(BYTE)
+    want = [zlib.crc32(np.array([*tokenizer.encode(t, add_special_tokens=False).ids, 0], "<u4").tobytes()) for t in sorted(texts)]
+    assert [r.ids_crc32 for r in rows] == want and rows[0].start == 0
+
+
+def test_a_failed_writer_leaves_nothing(tmp_path):
+    writer = binary.SequenceWriter(str(tmp_path), np.dtype(np.uint16), 8, 4)
+    writer.add([1], np.array([40]), np.arange(40, dtype=np.uint32))
+    writer.abort()
+    assert not list(tmp_path.iterdir())
+
+
 def test_sequence_access(tmp_path):
     writer = binary.SequenceWriter(str(tmp_path), np.dtype(np.uint16), 8, 4)
     ids = np.arange(101, dtype=np.uint32)
@@ -294,6 +318,24 @@ def test_fingerprints(spark):
     assert set(empty) == {"f" * 512}
 
 
+def test_signatures_against_plain_python():
+    """The least image of every shingle's hash under every permutation, in Python's own integers."""
+    from mosaicore.llm.bytestext import WHITE, Words, shingle_hashes, text_arrays
+
+    rng = random.Random(22)
+    texts = [prose(rng, n) for n in (1, 4, 5, 6, 40, 300)] + [""]
+    import pyarrow as pa
+
+    ((_, data, offsets),) = text_arrays(pa.array(texts))
+    sets = shingle_hashes(Words(data, offsets, WHITE), minhash.SHINGLE)
+    for text, own, signature in zip(texts, sets, minhash.signatures(texts).tolist()):
+        assert len(own) == len(shingles(text, 5))
+        for k in range(minhash.PERMUTATIONS):
+            a, b = int(minhash.A[k]), int(minhash.B[k])
+            images = [((a * (int(h) >> 32) + b) % 2**64) >> 32 for h in own]
+            assert signature[k] == min(images, default=2**32 - 1)
+
+
 def test_fingerprints_of_odd_rows(spark, odd_docs, no_docs):
     rows = minhash.with_edits(odd_docs).collect()
     assert len(rows) == 14 and len({r.fingerprint for r in rows if r.n_chars == 89}) <= 2
@@ -518,6 +560,17 @@ def test_toxicity_on_held_out_rows(spark):
     assert sorted(toxicity.score_documents(docs, flipped).collect()) == sorted(out)  # held-out labels are never learnt
 
 
+def test_one_text_of_a_repeated_doc_id_is_learnt_from(spark, monkeypatch):
+    rows = [(1, "gronk slarv")] * 500 + [(k, "calm words here") for k in range(2, 40)] + [(3, "another text of three")]
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0), (4, 1)], "doc_id long, toxic int")
+    sizes = []
+    real = toxicity.select_features
+    monkeypatch.setattr(toxicity, "select_features", lambda p, u, *rest: (sizes.append((len(p), len(u))), real(p, u, *rest))[1])
+    toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string"), labels)
+    ids = [k for k in range(1, 40) if zlib.crc32(str(k).encode()) % 5]
+    assert sizes == [(len({1, 4} & set(ids)), len(ids))]
+
+
 def test_non_negative_risk():
     rng = np.random.default_rng(0)
     p = (rng.random((200, 6)) < [0.8, 0.6, 0.1, 0.1, 0.1, 0.1]).astype(np.float32)
@@ -599,6 +652,57 @@ def test_tagger_finds_long_addresses(tagger, core):
     assert sum(found) >= 0.7 * len(found)
 
 
+def test_recall_of_every_form(tagger):
+    """Whole spans, laid into words that the training has not seen, of a language unlike its text."""
+    rng = np.random.default_rng(123)
+    letters = random.Random(20)
+    words = ["".join(letters.choice("abcdeghilmnoprstuw") for _ in range(letters.randrange(2, 9))) for _ in range(300)]
+    piece = lambda n: " ".join(words[k] for k in rng.integers(0, len(words), n))
+    share = {}
+    for kind, own in pii.TEMPLATES.items():
+        for form in own:
+            texts, spans = [], []
+            for _ in range(60):
+                core, left = pii.fill(form, rng, words), piece(rng.integers(5, 40)) + " "
+                texts.append(f"{left}{core} {piece(rng.integers(0, 30))}")
+                spans.append((kind, len(left), len(left) + len(core)))
+            share[form] = np.mean([s in every for s, (_, every) in zip(spans, pii.tag(texts, tagger))])
+    assert np.mean(list(share.values())) >= 0.95 and min(share.values()) >= 0.8, share
+    texts = [f"{piece(9)} {pii.fill(form, rng, words)} {piece(9)}" for form in pii.LOOKALIKES for _ in range(20)]
+    assert sum(len(every) > len(base) for base, every in pii.tag(texts, tagger)) <= 0.02 * len(texts)
+
+
+def test_no_span_without_a_trigger():
+    """What `holds` accepts has a trigger in it, so windows without one need no tagger."""
+    rng = random.Random(21)
+    pieces = ["a", "b c", " at ", "AT", "(at)", "[ at ]", "@", " dot ", "dot", ".", "1", "12", "255", "४", "9", "-", " ", "<at", "cat", "dots"]
+    seen = Counter()
+    for _ in range(20_000):
+        text = "".join(rng.choice(pieces) for _ in range(rng.randrange(1, 14)))
+        for kind in pii.KINDS:
+            if pii.holds(kind, text):
+                seen[kind] += 1
+                assert pii.TRIGGER.search(text), (kind, text)
+    assert all(pii.TRIGGER.search(pii.fill(form, np.random.default_rng(k), WORDS)) for own in pii.TEMPLATES.values() for form in own for k in range(20))
+    assert seen["email"] and seen["phone"] and seen["ip"]
+
+
+def test_digits_of_any_length(tagger):
+    zeros = "0" * 5000 + ".1.1.1"
+    assert pii.base_spans(zeros) == [("ip", 0, len(zeros))]
+    for text in ("7" * 20_000, "1" * 5000 + ".1.1.1", zeros + " " + "9" * 6000, "+" + "1 " * 9000 + "1", "٣" * 6000):
+        base, every = pii.tag([text], tagger)[0]
+        assert set(base) <= set(every)
+
+
+def test_a_bounded_sample_trains_the_tagger(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(pii, "trained", lambda texts: seen.append(texts))
+    docs = spark.range(3000).select(F.lit(1).alias("doc_id"), F.expr("repeat('word ', 50000 + id % 2)").alias("text"))
+    pii.fit(docs, max_texts=5, max_chars=100)
+    assert len(seen[0]) == 5 and max(map(len, seen[0])) == 100
+
+
 def test_gradients_of_the_tagger():
     rng = np.random.default_rng(0)
     x, gold = rng.integers(0, 50, (6, 3)), rng.integers(0, 3, (6, 3))

@@ -27,8 +27,16 @@ def to_pixels(planes: DataFrame) -> DataFrame:
     return rows.selectExpr("image_id", "cast(k div (height * width) AS int) AS ch", "cast((k div width) % height AS int) AS y", "cast(k % width AS int) AS x", "v")
 
 
-def _image(row: dict) -> np.ndarray:
-    return np.array(row["data"], dtype=float).reshape(row["channels"], row["height"], row["width"])
+def images_of(batch: pa.RecordBatch) -> Iterator[tuple[dict, np.ndarray]]:
+    """(the other columns, channels x height x width) of each row of PLANES, from Arrow's own buffer."""
+    at = batch.schema.names.index("data")
+    names = [n for n in batch.schema.names if n != "data"]
+    others = [batch.column(n).to_pylist() for n in names]
+    data = batch.column(at)
+    offsets, values = data.offsets.to_numpy(), data.values.to_numpy(zero_copy_only=False)
+    for k, own in enumerate(zip(*others, strict=True)):
+        row = dict(zip(names, own, strict=True))
+        yield row, values[offsets[k] : offsets[k + 1]].reshape(row["channels"], row["height"], row["width"])
 
 
 def encode(planes: DataFrame, p: EncodeParams) -> DataFrame:
@@ -37,9 +45,8 @@ def encode(planes: DataFrame, p: EncodeParams) -> DataFrame:
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(batch.num_rows):
-                row = batch.slice(k, 1).to_pylist()[0]
-                code = kernels.encode(_image(row), p)
+            for row, image in images_of(batch):
+                code = kernels.encode(image, p)
                 data = dump(code)
                 weight = code.pool_blocks[code.leaf_pool].astype(float) ** 2
                 error = float((code.leaf_mse * weight).sum() / weight.sum())
@@ -48,13 +55,14 @@ def encode(planes: DataFrame, p: EncodeParams) -> DataFrame:
     return planes.mapInArrow(each, "image_id long, name string, code binary, n_leaves long, n_bytes long, mse double")
 
 
-def decode(codes: DataFrame, iterations: int = 8) -> DataFrame:
-    """PLANES of codes (image_id, name, code)."""
+def decode(codes: DataFrame, iterations: int | None = 8) -> DataFrame:
+    """PLANES of codes (image_id, name, code); None takes each file's own hint for the iterations."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for image_id, name, data in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                image = kernels.decode(load(data), iterations)
+                own = load(data)
+                image = kernels.decode(own, own.iterations_hint if iterations is None else iterations)
                 c, h, w = image.shape
                 yield pa.RecordBatch.from_pydict({"image_id": [image_id], "name": [name], "channels": pa.array([c], pa.int32()), "height": pa.array([h], pa.int32()), "width": pa.array([w], pa.int32()), "data": [image.ravel()]})
 

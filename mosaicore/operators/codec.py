@@ -14,12 +14,13 @@ from mosaicore.functions.pixels import clip, normalised, s_sets, unit
 from mosaicore.operators.blocks import dims, domain_planes, downsample, pad_to_multiple, range_planes
 from mosaicore.operators.features import described, kept_domains
 from mosaicore.operators.regress import coded, solved, sse, sums_of
-from mosaicore.operators.search import RANGE, planes, signature, topk_dot, topk_lsh
+from mosaicore.operators.search import EMPTY_POOL, RANGE, bases, planes, projected, signature, topk_dot, topk_lsh
 from mosaicore.operators.transforms import expanded
 from mosaicore.params import EncodeParams
 from mosaicore.plans.scratch import cut
 
-LEAF = "image_id, y, x, block, dom, tf, codes, mse"
+#: dy and dx are the corner of the leaf's domain, which its number alone gives only where no domain is left out.
+LEAF = "image_id, y, x, block, dom, tf, dy, dx, codes, mse"
 
 
 def build_pool(pixels: DataFrame, p: EncodeParams, block: int, size: DataFrame | None = None) -> DataFrame:
@@ -37,14 +38,18 @@ def range_queries(pixels: DataFrame, p: EncodeParams, block: int) -> DataFrame:
 
 
 def candidates(queries: DataFrame, pool: DataFrame, p: EncodeParams, block: int) -> DataFrame:
-    """Ranked candidates by the parameters' backend (pca_lsh runs in `operators.batch`)."""
+    """Ranked candidates by the parameters' backend."""
     if p.backend == "dot":
         return topk_dot(queries, pool, p.topk, p.use_buckets)
     if p.backend == "lsh":
         normals = planes(p.lsh_planes, block * block, p.seed + block)
         signed = lambda rows, a: rows.withColumn("sig", signature(F.col(a), normals))
-        return topk_lsh(signed(queries, "q"), signed(pool, "proxy"), p.topk, p.lsh_planes, p.lsh_budget, p.use_buckets)
-    raise ValueError("the sql engine has the backends dot and lsh")
+    else:
+        fitted = bases(pool, p.pca_dim, p.seed + block)
+        normals = planes(p.lsh_planes, min(p.pca_dim, block * block), p.seed + block)
+        low = projected(F.col("_a"), F.col("mean"), F.col("basis"))
+        signed = lambda rows, a: rows.join(fitted, "image_id").withColumn("_a", F.col(a)).withColumn("_z", low).withColumn("sig", signature(F.col("_z"), normals)).drop("_a", "_z", "mean", "basis")
+    return topk_lsh(signed(queries, "q"), signed(pool, "proxy"), p.topk, p.lsh_planes, p.lsh_budget, p.use_buckets)
 
 
 def best_match(queries: DataFrame, found: DataFrame, p: EncodeParams, block: int) -> DataFrame:
@@ -58,17 +63,25 @@ def best_match(queries: DataFrame, found: DataFrame, p: EncodeParams, block: int
 
     tried = found.withColumn("c", F.zip_with("d", "r", channel))
     mse = F.aggregate("c", F.lit(0.0), lambda s, c: s + c["mse"]) / F.size("c")
-    best = tried.select(*RANGE, F.struct(mse.alias("mse"), "rank", "dom", "tf", F.col("c.code").alias("codes")).alias("b")).groupBy(*RANGE).agg(F.min("b").alias("b"))
+    best = tried.select(*RANGE, F.struct(mse.alias("mse"), "rank", "dom", "tf", "dy", "dx", F.col("c.code").alias("codes")).alias("b")).groupBy(*RANGE).agg(F.min("b").alias("b"))
     none = F.transform(F.col("chans"), lambda _: F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("o"), F.lit(0).alias("qs"), F.lit(0).alias("qo")))
     if p.quantized:
         none = F.transform(F.col("chans"), lambda _: F.struct(F.lit(-p.s_clip).alias("s"), F.lit(p.o_min).alias("o"), F.lit(0).alias("qs"), F.lit(0).alias("qo")))
     rows = queries.select(*RANGE, "chans").join(best, RANGE, "left")
     return rows.select(
         *RANGE, F.lit(block).alias("block"), F.coalesce("b.dom", F.lit(0).cast("long")).alias("dom"), F.coalesce("b.tf", F.lit(0)).alias("tf"),
+        F.coalesce("b.dy", F.lit(0)).alias("dy"), F.coalesce("b.dx", F.lit(0)).alias("dx"),
         F.coalesce(F.col("b.codes"), none).alias("codes"), F.coalesce("b.mse", F.lit(float("inf"))).alias("mse"),
     )
 
 
+def guarded(queries: DataFrame, pool: DataFrame) -> DataFrame:
+    """queries; those of an image without any pool entry raise an error when they are read."""
+    some = pool.select("image_id").distinct().withColumn("_some", F.lit(1))
+    checked = F.when(F.col("_some").isNull(), F.raise_error(F.lit(EMPTY_POOL)).cast("string")).otherwise(F.lit("ok"))
+    return queries.join(some, "image_id", "left").withColumn("_ok", checked).where("_ok = 'ok'").drop("_some", "_ok")
+
+
 def encode(pixels: DataFrame, p: EncodeParams) -> DataFrame:
     """The leaves of all images: LEAF. A quadtree goes level by level, all images together."""
     p = p.checked()
@@ -82,6 +95,8 @@ def encode(pixels: DataFrame, p: EncodeParams) -> DataFrame:
         if open_ is not None:
             queries = queries.join(open_, RANGE, "left_semi")
         pool = build_pool(padded, p, block, size)
+        if p.backend != "dot":  # the exact search sees for itself
+            queries = guarded(queries, pool)
         leaves = best_match(queries, candidates(queries, pool, p, block), p, block)
         if block == p.levels[-1]:
             done = leaves
@@ -105,31 +120,37 @@ def leaf_order(leaves: DataFrame, max_block: int) -> DataFrame:
     return leaves.withColumn("leaf_id", (F.row_number().over(order) - 1).cast("long"))
 
 
-def decode_step(pixels: DataFrame, sources: DataFrame) -> DataFrame:
+def means(pixels: DataFrame) -> DataFrame:
+    """Means of the 2 x 2 pixels from each place on (image_id, ch, y, x, v)."""
+    near = F.explode(F.array(*(F.struct((F.col("y") - dy).alias("y"), (F.col("x") - dx).alias("x")) for dy in (0, 1) for dx in (0, 1))))
+    cells = pixels.select("image_id", "ch", near.alias("k"), "v").where("k.y >= 0 AND k.x >= 0").select("image_id", "ch", "k.y", "k.x", "v")
+    return cells.groupBy("image_id", "ch", "y", "x").agg((F.sum("v") * 0.25).alias("v"))
+
+
+def decode_step(pixels: DataFrame, sources: DataFrame, stride: int = 2) -> DataFrame:
     """One application of the map: pixels (image_id, ch, y, x, v) by sources (image_id, ch, y, x, sy, sx, s, o)."""
-    half = downsample(pixels).withColumnsRenamed({"y": "sy", "x": "sx"})
-    rows = sources.join(half, ["image_id", "ch", "sy", "sx"], "left")
+    small = (means(pixels) if stride % 2 else downsample(pixels)).withColumnsRenamed({"y": "sy", "x": "sx"})
+    rows = sources.join(small, ["image_id", "ch", "sy", "sx"], "left")
     return rows.select("image_id", "ch", "y", "x", clip(F.col("s") * F.coalesce("v", F.lit(0.0)) + F.col("o"), 0, 1).alias("v"))
 
 
-def pixel_sources(leaves: DataFrame, stride: int, images: DataFrame) -> DataFrame:
-    """Where each pixel of the leaves takes its value from, in the image of half size; null for zero fill.
+def pixel_sources(leaves: DataFrame, stride: int) -> DataFrame:
+    """Where each pixel of the leaves takes its value from, by the corner of the leaf's domain; null for zero fill.
 
-    For even strides, and domains numbered over the whole grid (no filter).
+    For even strides a place in the image of half size, for odd ones the first of four pixels in the image itself.
     """
     from mosaicore.operators.transforms import gather
 
     sizes = [r[0] for r in leaves.select("block").distinct().collect()]  # a few block sizes
+    step = "2 * " if stride % 2 else ""
+    corner = lambda c: c if stride % 2 else f"{c} div 2"
     out = None
     for block in sorted(sizes):
         tables = F.array(*(F.array(*(F.lit(-1 if s is None else s) for s in gather(block, t))) for t in range(15)))
-        rows = leaves.where(F.col("block") == block).join(images.select("image_id", "width"), "image_id")
-        per_row = F.expr(f"((width - {2 * block}) div {stride} + 1)")
-        rows = rows.select("image_id", "y", "x", "codes", F.expr(f"dom div ((width - {2 * block}) div {stride} + 1)").alias("wy"), (F.col("dom") % per_row).alias("wx"), F.posexplode(tables[F.col("tf")]).alias("p", "src"))
-        half = stride // 2
+        rows = leaves.where(F.col("block") == block).select("image_id", "y", "x", "dy", "dx", "codes", F.posexplode(tables[F.col("tf")]).alias("p", "src"))
         rows = rows.selectExpr(
             "image_id", "posexplode(codes) AS (ch, code)", f"cast(y + p div {block} AS int) AS y", f"cast(x + p % {block} AS int) AS x",
-            f"if(src < 0, null, cast(wy * {half} + src div {block} AS int)) AS sy", f"if(src < 0, null, cast(wx * {half} + src % {block} AS int)) AS sx",
+            f"if(src < 0, null, cast({corner('dy')} + {step}(src div {block}) AS int)) AS sy", f"if(src < 0, null, cast({corner('dx')} + {step}(src % {block}) AS int)) AS sx",
         )
         rows = rows.select("image_id", "ch", "y", "x", "sy", "sx", "code.s", "code.o")
         out = rows if out is None else out.unionByName(rows)
@@ -141,10 +162,10 @@ def decode(leaves: DataFrame, images: DataFrame, stride: int, iterations: int =
 
     A few steps are one plan; from three on each step is checkpointed, so plans stay small.
     """
-    sources = pixel_sources(leaves, stride, images)
+    sources = pixel_sources(leaves, stride)
     state = sources.select("image_id", "ch", "y", "x", F.lit(0.0).alias("v"))
     for k in range(iterations):
-        state = decode_step(state, sources)
+        state = decode_step(state, sources, stride)
         if iterations > 2 and k < iterations - 1:
             state = cut(state)
     crop = images.select("image_id", "orig_height", "orig_width")

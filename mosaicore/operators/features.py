@@ -18,11 +18,11 @@ def described(blocks: DataFrame, buckets: int = 1) -> DataFrame:
 def kept_domains(domains: DataFrame, entropy_thresh: float = 0.0, max_domains: int | None = None, seed: int = 0) -> DataFrame:
     """Domains (ent, dom) that pass the threshold, at most max_domains of each image, numbered anew in their order.
 
-    The sample is the first by a hash of seed and number, so it needs no list on the driver.
+    The sample is the first by the MD5 of seed and number, so it needs no list on the driver.
     """
     rows = domains.where(F.col("ent") >= entropy_thresh) if entropy_thresh > 0 else domains
     if max_domains is not None:
-        order = W.partitionBy("image_id").orderBy(F.xxhash64(F.lit(seed), "dom"), "dom")
+        order = W.partitionBy("image_id").orderBy(F.md5(F.concat_ws(":", F.lit(seed), "dom")), "dom")
         rows = rows.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= max_domains).drop("_k")
     if entropy_thresh > 0 or max_domains is not None:
         rows = rows.withColumn("dom", (F.row_number().over(W.partitionBy("image_id").orderBy("dom")) - 1).cast("long"))

@@ -2,12 +2,15 @@
 
 A pool entry has image_id, entry, dom, tf, bucket, proxy (a normalised block) and chans; a query
 has image_id, y, x, bucket, q (a block of unit length) and chans. Ties are ordered by entry. Results
-carry what the solver needs (dom, tf, bucket, d and r: the blocks of both), so it joins nothing again.
+carry what the solver needs (dom, tf, bucket, dy and dx: the domain's corner, d and r: the blocks of both), so
+it joins nothing again.  The exact search multiplies matrices, an image's queries by its pool, in Arrow; only
+the k best pairs of a range become rows.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -15,6 +18,12 @@ from pyspark.sql import functions as F
 from mosaicore.functions.pixels import dot
 
 RANGE = ["image_id", "y", "x"]
+EMPTY_POOL = "domain pool empty: the image is smaller than a domain, or no domain passes the entropy threshold"
+#: What an entry brings to a pair.
+ENTRY = ["entry", "dom", "tf", "y AS dy", "x AS dx", "proxy", "chans AS d"]
+FOUND = "image_id long, y int, x int, entry long, dom long, tf int, bucket int, dy int, dx int, d array<array<double>>, r array<array<double>>, score double, rank int"
+#: Products that are held at a time, and what sums in another order may differ by.
+PRODUCTS, SLACK = 1 << 21, 1e-9
 
 
 def ranked(scored: DataFrame, k: int) -> DataFrame:
@@ -24,14 +33,73 @@ def ranked(scored: DataFrame, k: int) -> DataFrame:
 
 
 def _scored(pairs: DataFrame) -> DataFrame:
-    return pairs.select(*RANGE, "entry", "dom", "tf", "bucket", "d", F.col("chans").alias("r"), dot(F.col("q"), F.col("proxy")).alias("score"))
+    return pairs.select(*RANGE, "entry", "dom", "tf", "bucket", "dy", "dx", "d", F.col("chans").alias("r"), dot(F.col("q"), F.col("proxy")).alias("score"))
+
+
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """A column of equally long arrays (or arrays of these), as an array of its own shape."""
+    values, shape = column.combine_chunks(), [len(column)]
+    while pa.types.is_list(values.type):
+        inner = values.flatten()
+        shape.append(len(inner) // max(1, len(values)))
+        values = inner
+    return values.to_numpy(zero_copy_only=False).reshape(shape)
+
+
+def _nested(a: np.ndarray) -> pa.Array:
+    """The rows of an array as arrays of arrays."""
+    rows, c, n = a.shape
+    inner = pa.ListArray.from_arrays(pa.array(np.arange(0, rows * c + 1, dtype=np.int32) * n), pa.array(a.ravel()))
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, rows + 1, dtype=np.int32) * c), inner)
+
+
+def best_pairs(q: np.ndarray, proxy: np.ndarray, k: int, q_bucket: np.ndarray | None, bucket: np.ndarray | None) -> tuple[np.ndarray, ...]:
+    """(query, entry, score, rank from 1) of the k best entries of each query; with buckets, of those of its bucket.
+
+    A product of matrices finds the candidates; their scores are then summed from the first place to the last, as the
+    declarative plan does, so that equal scores are equal and go by entry.
+    """
+    parts = []
+    size = len(proxy)
+    for a in range(0, len(q), max(1, PRODUCTS // (size * max(1, min(q.shape[1], k))))):
+        own = q[a : a + max(1, PRODUCTS // (size * max(1, min(q.shape[1], k))))]
+        score = own @ proxy.T
+        if bucket is not None:
+            score = np.where(q_bucket[a : a + len(own), None] == bucket[None, :], score, -np.inf)
+        least = -np.partition(-score, k - 1, axis=1)[:, k - 1 : k] - SLACK if k < size else -np.inf
+        row, entry = np.nonzero((score >= least) & (score > -np.inf))
+        exact = np.concatenate([np.cumsum(own[row[i : i + 4096]] * proxy[entry[i : i + 4096]], axis=1)[:, -1] for i in range(0, len(row), 4096)]) if len(row) else np.zeros(0)
+        order = np.lexsort((entry, -exact, row))
+        row, entry, exact = row[order], entry[order], exact[order]
+        rank = np.arange(len(row)) - np.searchsorted(row, row) + 1
+        parts.append([x[rank <= k] for x in (row + a, entry, exact, rank)])
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
 def topk_dot(queries: DataFrame, pool: DataFrame, k: int, by_bucket: bool = False) -> DataFrame:
-    """image_id, y, x, entry, score, rank and more: exact search within an image, or within an image's bucket."""
-    keys = ["image_id", "bucket"] if by_bucket else ["image_id"]
-    own = pool.select(*keys, "entry", "dom", "tf", "proxy", F.col("chans").alias("d"))
-    return ranked(_scored(queries.join(own, keys)), k)
+    """image_id, y, x, entry, score, rank and more: exact search within an image, or within an image's bucket.
+
+    An image's queries and pool meet in one task; scores are worked on some at a time.
+    """
+
+    def each(own: pa.Table, entries: pa.Table) -> pa.Table:
+        if not own.num_rows:
+            return schema.empty_table()
+        if not entries.num_rows:
+            raise ValueError(EMPTY_POOL)
+        entries = entries.sort_by("entry")
+        buckets = [t.column("bucket").to_numpy() if by_bucket else None for t in (own, entries)]
+        row, at, score, rank = best_pairs(_matrix(own.column("q")), _matrix(entries.column("proxy")), k, *buckets)
+        left, right = own.take(pa.array(row)), entries.take(pa.array(at))
+        columns = [*(left.column(c) for c in RANGE), *(right.column(c) for c in ("entry", "dom", "tf")), left.column("bucket"), right.column("dy"), right.column("dx")]
+        columns += [_nested(_matrix(entries.column("d"))[at]), _nested(_matrix(own.column("chans"))[row]), pa.array(score), pa.array(rank.astype(np.int32))]
+        return pa.table([c.cast(f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+    nested = pa.list_(pa.list_(pa.float64()))
+    schema = pa.schema([("image_id", pa.int64()), ("y", pa.int32()), ("x", pa.int32()), ("entry", pa.int64()), ("dom", pa.int64()), ("tf", pa.int32()), ("bucket", pa.int32()), ("dy", pa.int32()), ("dx", pa.int32()), ("d", nested), ("r", nested), ("score", pa.float64()), ("rank", pa.int32())])
+    left = queries.select(*RANGE, "bucket", "q", "chans").groupBy("image_id")
+    right = pool.selectExpr("image_id AS pool_of", "bucket", *ENTRY).groupBy("pool_of")
+    return left.cogroup(right).applyInArrow(each, FOUND)
 
 
 def planes(count: int, size: int, seed: int) -> np.ndarray:
@@ -63,7 +131,7 @@ def topk_lsh(queries: DataFrame, pool: DataFrame, k: int, n_planes: int, budget:
     Of these, the ones of the query's bucket if there are any, else all; a query without
     candidates is searched in its bucket.
     """
-    entry = pool.select("image_id", "entry", "dom", "tf", "proxy", F.col("chans").alias("d"), F.col("bucket").alias("own"))
+    entry = pool.selectExpr("image_id", *ENTRY, "bucket AS own")
     found = lsh_candidates(queries, pool, n_planes, budget).join(entry, ["image_id", "entry"]).join(queries.select(*RANGE, "q", "bucket", "chans"), RANGE)
     if by_bucket:
         same = F.max(F.col("own") == F.col("bucket")).over(W.partitionBy(*RANGE))
@@ -71,7 +139,7 @@ def topk_lsh(queries: DataFrame, pool: DataFrame, k: int, n_planes: int, budget:
     scored = _scored(found)
     rest = queries.join(scored.select(*RANGE).distinct(), RANGE, "left_anti")
     keys = ["image_id", "bucket"] if by_bucket else ["image_id"]
-    fallback = _scored(rest.join(pool.select(*keys, "entry", "dom", "tf", "proxy", F.col("chans").alias("d")), keys))
+    fallback = _scored(rest.join(pool.selectExpr(*keys, *ENTRY), keys))
     return ranked(scored.unionByName(fallback), k)
 
 
@@ -88,3 +156,13 @@ def fit_pca(x: np.ndarray, dim: int, seed: int, sample: int = 5000) -> tuple[np.
 def projected(a: Column, mean: Column, basis: Column) -> Column:
     """(a - mean) on every row of the basis."""
     return F.transform(basis, lambda row: dot(F.zip_with(a, mean, lambda x, m: x - m), row))
+
+
+def bases(pool: DataFrame, dim: int, seed: int) -> DataFrame:
+    """image_id, mean and basis of each image's pool (`fit_pca` of its proxies in the order of entries)."""
+
+    def each(entries: pa.Table) -> pa.Table:
+        mean, basis = fit_pca(_matrix(entries.sort_by("entry").column("proxy")), dim, seed)
+        return pa.table({"image_id": entries.column("image_id")[:1], "mean": _nested(mean[None, None])[:1].flatten(), "basis": _nested(basis[None])})
+
+    return pool.select("image_id", "entry", "proxy").groupBy("image_id").applyInArrow(each, "image_id long, mean array<double>, basis array<array<double>>")

@@ -181,6 +181,7 @@ ORACLE_SQL: dict[str, str] = {
     "bucket_ids": with_(MOSAIC, ranges("mosaic", 8, "r"), described("r", "e", "image_id, oy, ox", 8)) + "SELECT image_id, CAST(oy AS INT) AS y, CAST(ox AS INT) AS x, bucket FROM e",
     "bucket_hist": with_(MOSAIC, half("mosaic"), domains("half", 8, 8, "d"), described("d", "e", "image_id, dom", 16)) + "SELECT image_id, bucket, count(*) AS n FROM e GROUP BY 1, 2",
     "entropy_filter": with_(MOSAIC, half("mosaic"), domains("half", 8, 8, "d"), described("d", "e", "image_id, dom")) + "SELECT image_id, row_number() OVER (PARTITION BY image_id ORDER BY dom) - 1 AS dom, oy AS y, ox AS x, round(ent, 6) AS ent FROM e WHERE ent >= 0.64",
+    "max_domains": with_(MOSAIC, half("mosaic"), domains("half", 8, 8, "d"), "k AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY md5('8:' || dom), dom) AS place FROM d)") + "SELECT image_id, row_number() OVER (PARTITION BY image_id ORDER BY dom) - 1 AS dom, oy AS y, ox AS x FROM k WHERE place <= 20",
     "normalize_rows": with_(MOSAIC, half("mosaic"), domains("half", 8, 8, "d"), f"n AS (SELECT image_id, dom, {normalised('a')} AS m FROM d)", f"u AS (SELECT image_id, dom, [x / sqrt({SQ.format('m')} + 1e-12) FOR x IN m] AS m FROM n)")
     + f"SELECT image_id, dom, round({RAMP.format('m')}, 6) AS ramp, round({SQ.format('m')}, 6) AS norm2 FROM u",
     "query_l2": with_(MOSAIC, ranges("mosaic", 8, "r"), f"u AS (SELECT image_id, oy, ox, [x / sqrt({SQ.format('a')}) FOR x IN a] AS m FROM r)") + f"SELECT image_id, CAST(oy AS INT) AS y, CAST(ox AS INT) AS x, round({RAMP.format('m')}, 6) AS ramp, round({SQ.format('m')}, 6) AS norm2 FROM u",

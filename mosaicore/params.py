@@ -132,10 +132,9 @@ def get_section(config: Mapping[str, Any], key: str) -> dict[str, Any]:
 
 
 def _pick(section: Mapping[str, Any], key: str, default: Any, alt_key: str | None) -> Any:
-    for name in (key, alt_key):
-        if name is not None and name in section:
-            return section[name]
-    return default
+    """The entry of the first name that is there; one that is null stands for the default."""
+    found = next((section[name] for name in (key, alt_key) if name is not None and name in section), None)
+    return default if found is None else found
 
 
 def _integer(value: Any, key: str) -> int:

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
+from dataclasses import dataclass
 from itertools import islice, product
+from pathlib import Path
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mosaicore.params import EncodeParams, encode_params
+from mosaicore.params import EncodeParams, encode_params, get_section, pick_int, pick_opt_int, pick_str
 
 
 def range_values(start: float, stop: float, step: float) -> list[float]:
@@ -57,6 +59,46 @@ def cases(base: Mapping[str, Any], overrides: Mapping[str, Any], max_items: int
     return [("__".join(f"{k}={v}" for k, v in own.items()) or "default", encode_params({**base, **own})) for own in islice(settings(overrides), max_items)]
 
 
+@dataclass(frozen=True)
+class Picture:
+    """An image of a case: a file (path) or a pattern; channels 0 are those of the file, no size is its own."""
+
+    name: str
+    path: Path | None = None
+    pattern: str = ""
+    channels: int = 0
+    size: int | None = None
+    seed: int = 0
+
+
+def pictures(case: Mapping[str, Any], folder: str | Path = ".") -> list[Picture]:
+    """The images of a case: those listed under "images", the one of "image" or "path", or else a pattern. Paths are below the folder."""
+    folder = Path(folder)
+    listed = case.get("images")
+    if listed is not None and (isinstance(listed, (str, Mapping)) or not all(isinstance(x, Mapping) for x in listed)):
+        raise ValueError("images must be a list of mappings")
+    found = []
+    for k, own in enumerate([case] if listed is None else listed):
+        path = own.get("path") or own.get("image") if listed is not None else own.get("image") or own.get("path")
+        if path is None and listed is not None:
+            raise ValueError("an image has no path")
+        channels, size = pick_int(own, "channels", 0 if path else 3), pick_opt_int(own, "size")
+        if channels not in ((0, 1, 3) if path else (1, 3)):
+            raise ValueError("channels must be 1 or 3")
+        if path is None:
+            pattern = pick_str(own, "pattern", "random")
+            found.append(Picture(f"syn_{pattern}_{channels}c", None, pattern, channels, size, pick_int(own, "seed", 0)))
+        else:
+            name = own.get("name") or f"img{k}" if listed is not None else own.get("image_name") or Path(path).stem
+            found.append(Picture(str(name), (folder / path).resolve(), channels=channels, size=size))
+    return found
+
+
+def decode_arguments(config: Mapping[str, Any]) -> dict[str, int]:
+    """What the section "decode" of a configuration gives to the decoder."""
+    return {"iterations": pick_int(get_section(config, "decode"), "iterations", 8, "iters")}
+
+
 def selected(names: list[str], case: str | None = None, prefix: str | None = None, span: str | None = None) -> list[str]:
     """Cases by exact name, by prefix, or by a slice a:b."""
     out = [n for n in names if (case is None or n == case) and (prefix is None or n.startswith(prefix))]

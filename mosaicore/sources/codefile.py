@@ -18,6 +18,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWrite
 from pyspark.sql.types import StructType
 
 from mosaicore.operators.kernels import Code
+from mosaicore.sources.imagefile import relative
 
 # Fixed values of the format.
 MAGIC = b"FFC2"
@@ -77,8 +78,10 @@ SCHEMA = "name string, code binary"
 
 
 class _Files(InputPartition):
-    def __init__(self, paths: list[str]):
-        self.paths = paths
+    """Files by path and name: the path below the folder, without the suffix."""
+
+    def __init__(self, files: list[tuple[str, str]]):
+        self.files = files
 
 
 class _Reader(DataSourceReader):
@@ -87,14 +90,17 @@ class _Reader(DataSourceReader):
 
     def partitions(self) -> list[_Files]:
         root = Path(self.path)
-        found = sorted(map(str, root.rglob("*.ffc"))) if root.is_dir() else [str(root)]
+        if root.is_dir():
+            found = [(str(p), str(p.relative_to(root).with_suffix(""))) for p in sorted(root.rglob("*.ffc"))]
+        else:
+            found = [(str(root), root.stem)]
         return [_Files(found[k : k + 64]) for k in range(0, len(found), 64)] or [_Files([])]
 
     def read(self, partition: _Files) -> Iterator[tuple[str, bytes]]:
-        for path in partition.paths:
+        for path, name in partition.files:
             data = Path(path).read_bytes()
             load(data)  # a file that cannot be read fails here, with its reason
-            yield Path(path).stem, data
+            yield name, data
 
 
 class _Message(WriterCommitMessage):
@@ -113,6 +119,7 @@ class _Writer(DataSourceWriter):
         done = []
         for row in rows:
             target = root / f"{row['name']}{self.suffix}"
+            target.parent.mkdir(parents=True, exist_ok=True)
             half = target.with_suffix(target.suffix + ".part")
             half.write_bytes(bytes(row["code"]))
             half.replace(target)
@@ -145,11 +152,17 @@ class CodeFiles(DataSource):
         return _Writer(self.options["path"], self.options.get("suffix", ".ffc"))
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with its scheme, as Spark's readers give those of files."""
+    own = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return own.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(own).toString()
+
+
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(CodeFiles)
 
 
 def read_codes(spark: SparkSession, path: str) -> DataFrame:
-    """name and code of all .ffc files below a path, by Spark's own reader."""
+    """name (the path below the folder, without the suffix) and code of all .ffc files below a path, by Spark's own reader."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.ffc").option("recursiveFileLookup", "true").load(path)
-    return files.select(F.regexp_extract("path", r"([^/]*)\.ffc$", 1).alias("name"), F.col("content").alias("code"))
+    return files.select(relative(F.col("path"), qualified(spark, path)).alias("name"), F.col("content").alias("code"))

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: name, orig. One row per image; data: doubles in the order channel, y, x.
@@ -38,16 +39,31 @@ def fitted(height: int, width: int, max_side: int | None) -> tuple[int, int]:
     return (max_side, max(1, round(width * scale))) if height >= width else (max(1, round(height * scale)), max_side)
 
 
-def read_images(spark: SparkSession, path: str, mode: str | None = None, max_side: int | None = 2048) -> DataFrame:
-    """PLANES of all images below a path. mode: "L", "RGB", or None: colour for three bands or more, else grey."""
+def relative(name: Column, root: str) -> Column:
+    """A file's path below the root, without its suffix; the name alone if the root is the file."""
+    plain = lambda c: F.regexp_replace(c, "^[a-z]+:/+", "/")
+    top = re.sub("^[a-z]+:/+", "/", root).rstrip("/") + "/"
+    own = F.when(F.startswith(plain(name), F.lit(top)), F.substr(plain(name), F.lit(len(top) + 1))).otherwise(F.regexp_extract(name, "([^/]*)$", 1))
+    return F.regexp_replace(own, r"\.[^./]*$", "")
+
+
+def read_images(spark: SparkSession, path: str, mode: str | None = None, max_side: int | None = 2048, invalid: str = "raise") -> DataFrame:
+    """PLANES of all images below a path. mode: "L", "RGB", or None: colour for three bands or more, else grey.
+
+    A file that cannot be read as an image raises an error that names it; invalid="drop" leaves such files out.
+    """
+    if invalid not in ("raise", "drop"):
+        raise ValueError("invalid must be raise or drop")
     if mode not in (None, "L", "RGB"):
         raise ValueError("mode must be L or RGB")
-    files = spark.read.format("image").option("recursiveFileLookup", "true").option("dropInvalid", "true").load(path)
+    files = spark.read.format("image").option("recursiveFileLookup", "true").option("dropInvalid", str(invalid == "drop").lower()).load(path)
     files = files.select("image.origin", "image.height", "image.width", "image.nChannels", "image.data")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
+                if (row["height"] or 0) <= 0:
+                    raise ValueError(f"cannot read {row['origin']} as an image")
                 raw = np.frombuffer(row["data"], np.uint8).reshape(row["height"], row["width"], row["nChannels"])
                 planes = np.moveaxis(raw[:, :, 2::-1] if row["nChannels"] >= 3 else raw[:, :, :1], 2, 0) / 255.0  # Spark has blue first
                 if mode == "L" and len(planes) == 3:
@@ -64,11 +80,12 @@ def read_images(spark: SparkSession, path: str, mode: str | None = None, max_sid
 def resized(planes: DataFrame, height: int, width: int) -> DataFrame:
     """PLANES with every image brought to the given sides."""
 
+    from mosaicore.operators.batch import images_of
+
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(batch.num_rows):
-                row = batch.slice(k, 1).to_pylist()[0]
-                image = resize(np.array(row["data"]).reshape(row["channels"], row["height"], row["width"]), height, width)
+            for row, image in images_of(batch):
+                image = resize(image, height, width)
                 yield pa.RecordBatch.from_pydict({"image_id": [row["image_id"]], "name": [row["name"]], "channels": pa.array([row["channels"]], pa.int32()), "height": pa.array([height], pa.int32()), "width": pa.array([width], pa.int32()), "data": [image.ravel()]})
 
     return planes.select("image_id", "name", "channels", "height", "width", "data").mapInArrow(each, PLANES)
@@ -93,10 +110,11 @@ def save_bytes(image: np.ndarray) -> np.ndarray:
 def to_png(planes: DataFrame) -> DataFrame:
     """PLANES to (name, code): PNG files for the "ffc2" writer with the option suffix=".png"."""
 
+    from mosaicore.operators.batch import images_of
+
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                image = np.array(row["data"]).reshape(row["channels"], row["height"], row["width"])
+            for row, image in images_of(batch):
                 yield pa.RecordBatch.from_pydict({"name": [row["name"]], "code": [png(save_bytes(image))]})
 
     return planes.mapInArrow(each, "name string, code binary")

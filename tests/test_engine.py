@@ -65,6 +65,22 @@ def test_option_getters():
             f(own, key, 0)
 
 
+def test_null_options_are_defaults():
+    own = {"i": None, "f": None, "b": None, "s": None}
+    assert (P.pick_int(own, "i", 3), P.pick_float(own, "f", 0.5), P.pick_bool(own, "b", True), P.pick_str(own, "s", "x"), P.pick_opt_int(own, "i", 4)) == (3, 0.5, True, "x", 4)
+    assert P.encode_params({"stride": None, "topk": 5, "buckets": None}) == EncodeParams(topk=5)
+
+
+def test_pictures_of_a_case(tmp_path):
+    found = sweep.pictures({"images": [{"path": "a/x.png", "channels": 1}, {"image": "y.png", "name": "why", "size": 64}]}, tmp_path)
+    assert [(p.name, p.path, p.channels, p.size) for p in found] == [("img0", tmp_path.resolve() / "a/x.png", 1, None), ("why", tmp_path.resolve() / "y.png", 0, 64)]
+    assert sweep.pictures({"image": "lena.png"}, tmp_path)[0].name == "lena" and sweep.pictures({"pattern": "smooth", "channels": 1, "seed": 4}) == [sweep.Picture("syn_smooth_1c", None, "smooth", 1, None, 4)]
+    for bad in ({"images": [{"name": "x"}]}, {"images": "x.png"}, {"image": "x", "channels": 2}, {"pattern": "edges", "channels": 4}):
+        with pytest.raises(ValueError):
+            sweep.pictures(bad)
+    assert sweep.decode_arguments({"decode": {"iters": 5}}) == {"iterations": 5} and sweep.decode_arguments({}) == {"iterations": 8}
+
+
 def test_yaml(tmp_path):
     path = tmp_path / "c.yml"
     path.write_text("encode:\n  quadtree: true\n  buckets: 8\n  stride: 2\n  max_domains: null\nother:\n")
@@ -251,6 +267,57 @@ def test_empty_pools():
         kernels.encode(np.zeros((2, 32, 32)), EncodeParams(block=8))
 
 
+@pytest.mark.parametrize("backend", ["dot", "lsh"])
+def test_empty_pools_of_the_declarative_engine(spark, backend):
+    for im, p in ((image(1, 16, 16), EncodeParams(block=16, backend=backend)), (np.zeros((1, 32, 32)), EncodeParams(block=8, entropy_thresh=0.5, backend=backend))):
+        with pytest.raises(Exception, match="domain pool empty"):
+            codec.encode(pixels_of(spark, im), p).collect()
+
+
+@pytest.mark.parametrize("stride, more", [(5, {}), (4, {"entropy_thresh": 0.43}), (3, {"max_domains": 9, "transform_ids": "all"})])
+def test_decoding_of_odd_strides_and_chosen_domains(spark, stride, more):
+    """The declarative decoder reads a leaf's domain where it lies; the reference decodes leaf by leaf."""
+    im = image(1, 32, 40)
+    p = EncodeParams(block=4, stride=stride, topk=6, **more)
+    pixels = pixels_of(spark, im)
+    leaves = codec.encode(pixels, p).cache()
+    rows = leaves.collect()
+    want = np.zeros((32, 40))
+    for _ in range(2):
+        small = np.zeros((32, 40))
+        for r in rows:
+            part = want[r.dy : r.dy + 8, r.dx : r.dx + 8].reshape(4, 2, 4, 2).mean(axis=(1, 3))
+            small[r.y : r.y + 4, r.x : r.x + 4] = np.clip(r.codes[0].s * apply(part, r.tf) + r.codes[0].o, 0, 1)
+        want = small
+    got = np.zeros((32, 40))
+    for r in codec.decode(leaves, codec.image_table(pixels, 4), stride, 2).collect():
+        got[r.y, r.x] = r.v
+    assert np.allclose(got, want, atol=1e-9)
+    if not more:
+        assert len({(r.dy, r.dx) for r in rows}) > 3
+
+
+def test_projected_search_of_the_declarative_engine(spark):
+    im = image(1, 32, 32, 5)
+    p = EncodeParams(block=4, stride=4, topk=6, backend="pca_lsh", pca_dim=6, lsh_planes=4, lsh_budget=12, transform_ids=(0,))  # with the isometries directions are not unique
+    got = sorted(codec.leaf_order(codec.encode(pixels_of(spark, im), p), 4).collect(), key=lambda r: r.leaf_id)
+    code = kernels.encode(im, p)
+    assert len(got) == len(code.leaf_yx) and np.mean([abs(r.mse - m) < 1e-9 for r, m in zip(got, code.leaf_mse)]) > 0.9
+
+
+def test_best_pairs():
+    rng = np.random.default_rng(1)
+    q, pool = rng.standard_normal((30, 9)), rng.standard_normal((50, 9))
+    pool[20:30] = pool[3]  # ties go to the lower entry
+    qb, pb = rng.integers(0, 3, 30), rng.integers(0, 3, 50)
+    for buckets in (False, True):
+        row, entry, score, rank = search.best_pairs(q, pool, 7, qb if buckets else None, pb if buckets else None)
+        for k in range(30):
+            exact = [sum(a * b for a, b in zip(q[k], p)) for p in pool]
+            own = sorted((i for i in range(50) if not buckets or pb[i] == qb[k]), key=lambda i: (-exact[i], i))[:7]
+            assert entry[row == k].tolist() == own and rank[row == k].tolist() == list(range(1, len(own) + 1))
+
+
 def test_full_search_is_brute_force():
     im = image(1, 32, 32)
     all_ = kernels.encode(im, EncodeParams(block=8, stride=4, topk=10_000))
@@ -341,6 +408,38 @@ def test_command_line(spark, tmp_path):
     assert [(r.channels, r.height, r.width) for r in imagefile.read_images(spark, str(tmp_path / "small")).collect()] == [(1, 6, 8)]
 
 
+def test_folders_within_folders(spark, tmp_path):
+    from mosaicore.__main__ import main
+
+    source = tmp_path / "in"
+    for k, part in enumerate(("a", "b/c")):
+        (source / part).mkdir(parents=True)
+        (source / part / "1.x.png").write_bytes(imagefile.png(np.round(image(1, 32, 32, k) * 255)))
+    assert main(["encode", str(source), str(tmp_path / "codes"), "--block", "8", "--iterations-hint", "3"]) == 0
+    found = sorted(str(p.relative_to(tmp_path / "codes")) for p in (tmp_path / "codes").rglob("*.ffc"))
+    assert found == ["a/1.x.ffc", "b/c/1.x.ffc"]
+    codefile.register(spark)
+    names = [sorted(r.name for r in x.collect()) for x in (spark.read.format("ffc2").load(str(tmp_path / "codes")), codefile.read_codes(spark, str(tmp_path / "codes")))]
+    assert names == [["a/1.x", "b/c/1.x"]] * 2
+    code = codefile.load((tmp_path / "codes" / "a" / "1.x.ffc").read_bytes())
+    for iters, n in ((["--iters", "0"], 0), ([], 3)):
+        assert main(["decode", str(tmp_path / "codes"), str(tmp_path / f"out{n}"), *iters]) == 0
+        assert (tmp_path / f"out{n}" / "a" / "1.x.png").read_bytes() == imagefile.png(imagefile.save_bytes(kernels.decode(code, n)))
+    assert main(["overlay", str(tmp_path / "codes"), str(tmp_path / "lines"), "--background", "black", "--line-value", "200", "--thickness", "2", "--alpha", "0.5"]) == 0
+    rows = imagefile.read_images(spark, str(tmp_path / "lines")).collect()
+    assert len(rows) == 2 and set(np.round(np.array(rows[0].data) * 255)) == {0, 100}
+
+
+def test_files_that_are_no_images(spark, tmp_path):
+    (tmp_path / "a.png").write_bytes(imagefile.png(np.zeros((1, 4, 4))))
+    (tmp_path / "b.png").write_bytes(b"no image")
+    assert imagefile.read_images(spark, str(tmp_path), invalid="drop").count() == 1
+    with pytest.raises(Exception, match="cannot read .*b.png"):
+        imagefile.read_images(spark, str(tmp_path)).collect()
+    with pytest.raises(ValueError):
+        imagefile.read_images(spark, str(tmp_path), invalid="skip")
+
+
 def test_streaming(spark, tmp_path):
     from mosaicore.streaming.landing import encode_arrivals
 

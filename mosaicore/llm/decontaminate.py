@@ -8,7 +8,7 @@ of their words, byte by byte, confirms an occurrence.  The texts of a batch are
 windows and searched in step, one table look-up for all runs at a time.
 
 Benchmark items go out in blocks of BLOCK_WINDOWS strings (about 600 bytes each on an executor), one
-after the other: each is searched for in all texts, and only one is in memory at a time.
+after the other: each is searched for in all texts, and an executor has only one in memory at a time.
 
 Edge cases: null texts have no words; items without words or item_id are left out; an item that
 occurs twice counts once, also where two strings overlap; item_ids are of any type; repeated documents
@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,9 +28,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from mosaicore.llm.bytestext import NOT_ALNUM, Words, mix, ragged, text_arrays
-from mosaicore.llm.common import bounded, pick, tidied, written
+from mosaicore.llm.common import bounded, discard, pick, place_of, tidied, written
 
 WINDOW, BLOCK, RUN = 13, 3, 256
 #: Windows that are sent to the executors at a time.
@@ -152,15 +153,20 @@ def hits(column: pa.Array, tables: list[Strings], window: int = WINDOW) -> Itera
         yield row, words, np.cumsum(edge[:-1]) > 0, found, whole
 
 
-def searched(rows: DataFrame, text: str, benchmark: DataFrame, window: int) -> tuple[DataFrame, str, bool]:
-    """rows with a struct beside its columns (n_words, hit, items and whole), the struct's name, and whether any item is shorter than a window.
+def free_name(columns: list[str], name: str) -> str:
+    while name in columns:
+        name += "_"
+    return name
+
+
+def searched(rows: DataFrame, text: str, benchmark: DataFrame, window: int, name: str, finish: Callable[[pa.RecordBatch], pa.RecordBatch] | None = None, final: StructType | None = None) -> tuple[DataFrame, bool]:
+    """rows with a struct `name` beside its columns (n_words, hit, items and whole), and whether any item is shorter than a window.
+
+    finish, if given, turns batches of such rows into batches of the schema `final`, in the pass that finds the last hits.
 
     hit has start and end of each run of hit words, one after the other; whole says that a full window occurs.
     One block of the benchmark is in memory at a time: the rows are written between one block and the next.
     """
-    name = "found"
-    while name in rows.columns:
-        name += "_"
     kind = pa.struct([("n_words", pa.int64()), ("hit", pa.list_(pa.int64())), ("items", pa.list_(pa.string())), ("whole", pa.bool_())])
     spark_kind = "struct<n_words: long, hit: array<long>, items: array<string>, whole: boolean>"
     out = bounded(rows).withColumn(name, F.lit(None).cast(spark_kind))
@@ -170,8 +176,10 @@ def searched(rows: DataFrame, text: str, benchmark: DataFrame, window: int) -> t
     while True:
         short |= any(t.size < window for t in tables)
         sent = rows.sparkSession.sparkContext.broadcast(tables)
+        tables = next(source, None)
+        last = finish if tables is None else None
 
-        def each(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+        def each(batches: Iterator[pa.RecordBatch], sent=sent, last=last) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for row, words, hit, found, whole in hits(batch.column(at), sent.value, window):
                     own = []
@@ -187,21 +195,22 @@ def searched(rows: DataFrame, text: str, benchmark: DataFrame, window: int) -> t
                             runs = np.flatnonzero(np.diff(np.concatenate([[0], mark.astype(np.int8), [0]]))).tolist()
                         own.append({"n_words": b - a, "hit": runs, "items": sorted({*(old["items"] if old else ()), *found[k]}), "whole": bool(whole[k]) or bool(old and old["whole"])})
                     part = batch.slice(row, words.n_docs)
-                    yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(own, kind)], names=batch.schema.names)
+                    part = pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(own, kind)], names=batch.schema.names)
+                    yield last(part) if last else part
 
-        out = out.mapInArrow(tidied(each), schema)
-        tables = next(source, None)
+        out = out.mapInArrow(tidied(each), schema if last is None else final)
         if tables is None:
-            return out, name, short
-        out = written(out, "searched")
+            return out, short
+        out, before = written(out, "searched"), out
+        discard(rows.sparkSession, place_of(before))
         sent.destroy()
 
 
 def search(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, hit (start and end of each run of hit words, one after the other), items and whole per document."""
     rows = pick(docs, doc_id="doc_id", text="text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    found, name, _ = searched(rows, "text", benchmark, window)
-    return found.select("doc_id", f"{name}.*")
+    found, _ = searched(rows, "text", benchmark, window, "found")
+    return found.select("doc_id", "found.*")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -234,33 +243,30 @@ def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WIN
     """
     columns = docs.columns
     text_at, count_at = columns.index("text"), columns.index("n_chars") if "n_chars" in columns else None
+    name, more = free_name(columns, "found"), free_name(columns, "again")
+    final = docs.withColumn(more, F.lit(False)).schema
+
+    def decided(batch: pa.RecordBatch) -> pa.RecordBatch:
+        own = list(batch.columns[:-1])
+        seen = batch.column(batch.num_columns - 1).to_pylist()
+        n_hit = [sum(x["hit"][1::2]) - sum(x["hit"][::2]) for x in seen]
+        bad = [n > 0 and (20 * n >= x["n_words"] or whole_windows and x["whole"]) for n, x in zip(n_hit, seen, strict=True)]
+        cut = [n > 0 and not b for n, b in zip(n_hit, bad, strict=True)]
+        if any(cut):
+            texts = own[text_at].to_pylist()
+            counts = own[count_at].to_pylist() if count_at is not None else None
+            for k in np.flatnonzero(cut).tolist():
+                texts[k] = without_words(texts[k], seen[k]["hit"])
+                if counts is not None:
+                    counts[k] = len(texts[k])
+            own[text_at] = pa.array(texts, own[text_at].type)
+            if counts is not None:
+                own[count_at] = pa.array(counts, own[count_at].type)
+        return pa.RecordBatch.from_arrays([*own, pa.array(cut, pa.bool_())], names=final.names).filter(pc.invert(pa.array(bad, pa.bool_())))
+
     done: list[DataFrame] = []
     while True:
-        found, name, short = searched(docs, "text", benchmark, window)
-        more = name + "again"
-        while more in columns:
-            more += "_"
-
-        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                own = list(batch.columns[:-1])
-                seen = batch.column(batch.num_columns - 1).to_pylist()
-                n_hit = [sum(x["hit"][1::2]) - sum(x["hit"][::2]) for x in seen]
-                bad = [n > 0 and (20 * n >= x["n_words"] or whole_windows and x["whole"]) for n, x in zip(n_hit, seen, strict=True)]
-                cut = [n > 0 and not b for n, b in zip(n_hit, bad, strict=True)]
-                if any(cut):
-                    texts = own[text_at].to_pylist()
-                    counts = own[count_at].to_pylist() if count_at is not None else None
-                    for k in np.flatnonzero(cut).tolist():
-                        texts[k] = without_words(texts[k], seen[k]["hit"])
-                        if counts is not None:
-                            counts[k] = len(texts[k])
-                    own[text_at] = pa.array(texts, own[text_at].type)
-                    if counts is not None:
-                        own[count_at] = pa.array(counts, own[count_at].type)
-                yield pa.RecordBatch.from_arrays([*own, pa.array(cut)], names=[*batch.schema.names[:-1], more]).filter(pc.invert(pa.array(bad, pa.bool_())))
-
-        out = found.mapInArrow(tidied(each), docs.withColumn(more, F.lit(False)).schema)
+        out, short = searched(docs, "text", benchmark, window, name, decided, final)
         if whole_windows and not short:  # nothing is cut, so nothing is left to search again
             done.append(out.drop(more))
             break

@@ -106,7 +106,7 @@ TAGS = 1 + 2 * len(KINDS)
 SYMBOLS = 96 + 5
 PAD = SYMBOLS - 1
 #: Windows that are decoded at a time, and held at a time.
-BATCH, CHUNK = 512, 4096
+BATCH, CHUNK = 256, 4096
 WORD_END = re.compile(r"\s")
 #: One of these is in every span of the tagger (see `holds`), so it need not look elsewhere.
 TRIGGER = re.compile(r"[\d@]|[\[({<]\s*at\b|\bdot\b", re.I)

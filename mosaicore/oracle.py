@@ -1,4 +1,4 @@
-"""SQL for DuckDB that gives the rows of the image queries, written out independently of the engine.
+"""SQL for DuckDB that gives the rows of the image queries, written out independently of the engine (but for the values of the s sets, which the query s_sets checks by its own SQL).
 
 Queries are put together from common table expressions: the mosaic's pixels, blocks as lists of
 values, the domain pool, candidates and their errors.

@@ -2,6 +2,11 @@
 
 Each stage reads the table that the stage before it wrote.  All but the last keep the columns of
 documents; extra columns pass through, whatever their names.
+
+Edge cases: documents without text or words are never toxic, contaminated or copies, and are packed
+as their end id alone; very long texts are read whole; a score of exactly 0.5 rejects; of a group of copies
+the smallest doc_id stays, among rows that share a doc_id, or have none, the first row of each group; an empty
+table stays empty.
 """
 
 from __future__ import annotations

@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 from functools import wraps
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -111,6 +111,21 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
     return bounded(df).select(*(F.col(f"`{source}`").alias(name) for name, source in columns.items()))
 
 
+def first_by_hash(rows: DataFrame, most: int, total: int) -> list[Row]:
+    """The first `most` rows by a hash of doc_id (then doc_id and the other columns), collected; total: their number, or more.
+
+    Every task sends the driver up to `most` rows, so on a large table only those with small hashes are looked at: about four
+    times `most` in all.  Should they be too few, all are.
+    """
+    hashed = rows.withColumn("_hash", F.xxhash64("doc_id"))
+    first = lambda own: own.orderBy("_hash", *rows.columns).limit(most).drop("_hash").collect()
+    if total > 16 * most:
+        found = first(hashed.where(F.col("_hash") < F.lit(-(1 << 63) + (1 << 64) * 4 * most // total)))
+        if len(found) == most:
+            return found
+    return first(hashed)
+
+
 def code_points(text: Column) -> Column:
     return F.length(F.coalesce(text, F.lit(""))).cast("long")
 

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mosaicore.llm.bytestext import text_arrays
-from mosaicore.llm.common import bounded, pick, tidied
+from mosaicore.llm.common import bounded, first_by_hash, pick, tidied
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[str, int, int]
@@ -420,9 +420,9 @@ def trained(texts: tuple[str, ...]) -> Tagger:
 
 def fit(docs: DataFrame, max_texts: int = 200, max_chars: int = 20_000) -> Tagger:
     """A tagger whose training text is that of the first `max_texts` rows by a hash of doc_id, at most `max_chars` characters of each."""
-    rows = pick(docs, doc_id="doc_id", text="text").where("doc_id is not null and text is not null")
-    found = rows.select("doc_id", F.substring("text", 1, max_chars).alias("text")).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(max_texts)
-    return trained(tuple(sorted(r.text for r in found.collect())))
+    rows = pick(docs, doc_id="doc_id", text="text").where("doc_id is not null")
+    found = first_by_hash(rows.where("text is not null").select("doc_id", F.substring("text", 1, max_chars).alias("text")), max_texts, rows.select("doc_id").count())
+    return trained(tuple(sorted(r.text for r in found)))
 
 
 # ---------------------------------------------------------------- tagging of texts

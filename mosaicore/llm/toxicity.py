@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mosaicore.llm.bytestext import Words, byte_class, text_arrays
-from mosaicore.llm.common import bounded, pick, tidied
+from mosaicore.llm.common import bounded, first_by_hash, pick, tidied
 
 NOT_LETTER = byte_class((0x00, 0x40), (0x5B, 0x60), (0x7B, 0x7F))
 
@@ -114,14 +114,12 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_positive: int = 4000, max_unl
     """
     labels = pick(labels, doc_id="doc_id", toxic="toxic").where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col("toxic").isNotNull())
     docs = pick(docs, doc_id="doc_id", text="text").where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull())
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
     if prior is None:
         prior = labels.agg(F.avg((F.col("toxic") == 1).cast("double"))).first()[0] or 0.0
-    positive = labels.where("toxic = 1").select("doc_id").distinct().orderBy(*order).limit(max_positive)
-    unlabelled = docs.select("doc_id").orderBy(*order).limit(max_unlabelled)
+    positive, unlabelled = labels.where("toxic = 1").select("doc_id").distinct(), docs.select("doc_id")
     wanted: dict[int, int] = {}
-    for bit, rows in ((1, positive), (2, unlabelled)):
-        for (doc,) in rows.collect():  # bounded by the two parameters
+    for bit, rows, most in ((1, positive, max_positive), (2, unlabelled, max_unlabelled)):
+        for (doc,) in first_by_hash(rows, most, rows.count()):  # bounded by the two parameters
             wanted[doc] = wanted.get(doc, 0) | bit
     if not any(k & 1 for k in wanted.values()) or not any(k & 2 for k in wanted.values()):
         return Model(np.zeros(0, np.uint32), np.zeros(0), -500.0)

@@ -46,6 +46,16 @@ def test_encoder_is_the_library(path):
         assert got == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_first_by_hash(spark):
+    from mosaicore.llm.common import first_by_hash
+
+    rows = spark.range(5000).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), "id").alias("text"))
+    want = [tuple(r) for r in rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(20).collect()]
+    for total in (5000, 100, 10**12):  # the last: far fewer rows than was said
+        assert [tuple(r) for r in first_by_hash(rows, 20, total)] == want
+    assert first_by_hash(rows.limit(0), 20, 0) == []
+
+
 def test_token_files(spark, odd_docs, no_docs):
     tokenizer = load(BYTE)
     rows = sorted(binary.token_files(odd_docs, BYTE).collect(), key=lambda r: r.start)

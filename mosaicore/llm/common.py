@@ -37,10 +37,14 @@ def scratch(spark: SparkSession, name: str) -> str:
 _written: list[str] = []
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df, written as a table in the shared folder and read again: later reads survive a lost executor."""
+def written(df: DataFrame, name: str, tasks: int | None = None) -> DataFrame:
+    """df, written as a table in the shared folder and read again: later reads survive a lost executor.
+
+    tasks: the most files, for a table whose rows are few and small. On a local disk, where Hadoop has no native library,
+    an executor starts about three processes (chmod) for each file.
+    """
     path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    (df.coalesce(tasks) if tasks else df).write.parquet(path)
     _written.append(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._written_at = path

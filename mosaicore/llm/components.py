@@ -17,13 +17,16 @@ from mosaicore.llm.common import discard, place_of, written
 LINKS = 100_000
 
 
-def components_of(links: DataFrame) -> DataFrame:
-    """links (g int, a long, b long) to (g, node, component): the smallest id reachable in graph g, for every linked node."""
+def components_of(links: DataFrame, tasks: int | None = None) -> DataFrame:
+    """links (g int, a long, b long) to (g, node, component): the smallest id reachable in graph g, for every linked node.
+
+    links are read once; tasks: the most that write their distinct ones.
+    """
 
     def seen(table: DataFrame) -> tuple:
         return tuple(table.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("g", "u", "v"))).first())
 
-    edges = written(links.where("a != b").select("g", F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
+    edges = written(links.where("a != b").select("g", F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links", tasks)
     state = seen(edges)
     if not state[0]:
         return edges.select("g", F.col("u").alias("node"), F.col("v").alias("component"))
@@ -45,6 +48,6 @@ def components_of(links: DataFrame) -> DataFrame:
     return edges.select("g", F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select("g", F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, tasks: int | None = None) -> DataFrame:
     """links (a, b) to (node, component)."""
-    return components_of(links.select(F.lit(0).alias("g"), "a", "b")).drop("g")
+    return components_of(links.select(F.lit(0).alias("g"), "a", "b"), tasks).drop("g")

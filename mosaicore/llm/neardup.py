@@ -46,6 +46,8 @@ BANDS, ROWS, SALTS = 32, 5, 64
 BLOCK, COLUMNS = 250, 8192
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 PRIME = 2_147_483_647
+#: Documents whose keys make a file of a table that has a row for each key or fewer.
+FILE_DOCS = 8_000
 
 
 def one_permutation(sets: list[np.ndarray], bins: int = BANDS * ROWS) -> np.ndarray:
@@ -177,7 +179,12 @@ def block_links(ids: np.ndarray, labels: np.ndarray, sides: np.ndarray, sets: li
     return list(out.values())
 
 
-def bucket_links(members: DataFrame, texts: DataFrame, n: int, share: int) -> DataFrame:
+def files(documents: DataFrame) -> int:
+    """How many files the tables of so many documents' keys are given at most."""
+    return max(1, -(-documents.count() // FILE_DOCS))
+
+
+def bucket_links(members: DataFrame, texts: DataFrame, n: int, share: int, tasks: int | None = None) -> DataFrame:
     """Links (a, b) between components within each bucket (members: key, rep, component), every pair that may be one looked at.
 
     Left are the members outside the bucket's largest component, right are all; a task has a block of each (or all of a
@@ -212,7 +219,7 @@ def bucket_links(members: DataFrame, texts: DataFrame, n: int, share: int) -> Da
     sizes = members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("k")).groupBy("key")
     sizes = sizes.agg(F.count(F.lit(1)).alias("c"), F.sum("k").alias("m"), F.max(F.struct("k", "component")).alias("top")).where("c > 1")
     blocks = lambda x: F.ceil(x / BLOCK).cast("int")
-    sizes = written(sizes.select("key", F.col("top.component").alias("top"), blocks(F.col("m")).alias("rights"), blocks(F.col("m") - F.col("top.k")).alias("lefts")), "open-buckets")
+    sizes = written(sizes.select("key", F.col("top.component").alias("top"), blocks(F.col("m")).alias("rights"), blocks(F.col("m") - F.col("top.k")).alias("lefts")), "open-buckets", tasks)
     own = members.join(sizes, "key").withColumn("hash", F.xxhash64("rep", "key"))
     every = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
     part = lambda count: F.pmod("hash", F.col(count)).cast("int")
@@ -220,7 +227,7 @@ def bucket_links(members: DataFrame, texts: DataFrame, n: int, share: int) -> Da
     small = own.where("rights = 1").select("key", F.lit(0).alias("i"), F.lit(0).alias("j"), *columns, F.lit(0).alias("side"))
     left = own.where("rights > 1 and component != top").select("key", part("lefts").alias("i"), every("rights").alias("j"), *columns, F.lit(0).alias("side"))
     right = own.where("rights > 1").select("key", every("lefts").alias("i"), part("rights").alias("j"), *columns, F.lit(1).alias("side"))
-    rows = written(small.unionByName(left).unionByName(right), "bucket-rows").join(texts.withColumnRenamed("doc_id", "rep"), "rep")
+    rows = small.unionByName(left).unionByName(right).join(texts.withColumnRenamed("doc_id", "rep"), "rep")
     rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     return rows.select("key", "i", "j", *columns, "side", "text").mapInArrow(tidied(each), "a long, b long").distinct()
 
@@ -230,29 +237,29 @@ def classes(signatures: DataFrame, docs: DataFrame, n: int, share: int = 80) ->
 
     `signatures` is a written `signature_table`, as it is read several times.
     """
+    tasks = files(signatures)  # of what is grouped; joins on hot keys keep their tasks
     signatures = signatures.where("doc_id is not null")
     sets = signatures.where("n_shingles > 0").groupBy("set_a", "set_b").agg(F.min(F.struct("doc_id", "n_shingles", "keys")).alias("rep"))
-    sets = written(sets.select("set_a", "set_b", F.col("rep.doc_id").alias("rep"), F.col("rep.n_shingles").alias("n"), F.col("rep.keys").alias("keys")), "sets")
+    sets = written(sets.select("set_a", "set_b", F.col("rep.doc_id").alias("rep"), F.col("rep.n_shingles").alias("n"), F.col("rep.keys").alias("keys")), "sets", tasks)
     member = sets.select("rep", "n", F.explode("keys").alias("key"))
     hub = member.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("hub"), F.count(F.lit(1)).alias("m")).where("m > 1").select("key", "hub")
-    hub = written(hub, "hubs")  # so that the join is of two shuffles that Spark can split where a bucket is hot
+    hub = written(hub, "hubs", tasks)  # so that the join is of two shuffles that Spark can split where a bucket is hot
     stars = written(member.join(hub, "key").select("key", "rep", "n", F.col("hub.rep").alias("hub"), F.col("hub.n").alias("hub_n")), "stars")
     alike = lambda x, y: 100 * F.least(x, y) >= share * F.greatest(x, y)  # noqa: E731  else the sets' sizes rule the pair out
     candidates = stars.where("rep != hub").select(F.col("hub").alias("a"), F.col("rep").alias("b"), alike(F.col("n"), F.col("hub_n")).alias("alike")).distinct()
-    candidates = written(candidates, "candidates")
+    candidates = written(candidates, "candidates", tasks)
     pairs = candidates.where("alike").select("a", "b")
     texts = pick(docs, doc_id="doc_id", text="text").withColumn("doc_id", F.col("doc_id").cast("long"))
     wanted = stars.select(F.col("rep").alias("doc_id")).distinct()
     near = written(texts.join(wanted, "doc_id", "left_semi"), "near-texts")
-    links = written(confirmed(pairs, near, n, share), "confirmed")
-    component = written(components(links), "components").select(F.col("node").alias("rep"), "component")
+    component = components(confirmed(pairs, near, n, share), tasks).select(F.col("node").alias("rep"), "component")
     # a hub need not be like two members that are like each other: buckets of several components are searched again
     label = stars.select("rep").distinct().join(component, "rep", "left").select("rep", F.coalesce("component", "rep").alias("component"))
-    label = written(label, "labels")
-    more = written(bucket_links(stars.select("key", "rep").join(label, "rep"), near, n, share), "bucket-links")
+    label = written(label, "labels", tasks)
+    more = bucket_links(stars.select("key", "rep").join(label, "rep"), near, n, share, tasks)
     # what these links join are components: a graph of its own, with few nodes
     ends = more.join(label.select(F.col("rep").alias("a"), F.col("component").alias("x")), "a").join(label.select(F.col("rep").alias("b"), F.col("component").alias("y")), "b")
-    wider = components(ends.select(F.col("x").alias("a"), F.col("y").alias("b"))).select(F.col("node").alias("component"), F.col("component").alias("wider"))
+    wider = components(ends.select(F.col("x").alias("a"), F.col("y").alias("b")), tasks).select(F.col("node").alias("component"), F.col("component").alias("wider"))
     found = label.join(wider, "component", "left").select(F.col("rep").alias("node"), F.coalesce("wider", "component").alias("component"))
     of_rep = sets.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("set_a", "set_b", F.coalesce("component", "rep").alias("c"))
     out = signatures.select("doc_id", "n_shingles", "set_a", "set_b").join(of_rep, ["set_a", "set_b"], "left")
@@ -271,8 +278,9 @@ def keep_one(docs: DataFrame, n: int = 5, share: int = 80) -> DataFrame:
     A doc_id that occurs more than once goes only if none of its rows is kept.  Rows without doc_id, and those of one
     doc_id, have an identity of their own among such rows: of each class of theirs one row stays.
     """
-    gone = near_duplicates(docs, n, share).groupBy(F.col("doc_id").alias("_gone")).agg(F.max("kept").alias("kept")).where("not kept").select("_gone")
-    gone = written(gone, "gone")  # read several times
+    signatures = written(signature_table(docs, n), "signatures")
+    gone = classes(signatures, docs, n, share).groupBy(F.col("doc_id").alias("_gone")).agg(F.max(F.col("doc_id") == F.col("component_id")).alias("kept")).where("not kept").select("_gone")
+    gone = written(gone, "gone", files(signatures))  # read several times
     left = docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
     shared = written(left.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_shared")).count().where("count > 1").select("_shared"), "shared-ids")
     row = "_row"

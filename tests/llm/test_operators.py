@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from mosaicore.llm import binary, chat, decontaminate, html_text, minhash, neardup, packing, pii, repeats, toxicity
+from mosaicore.llm import binary, chat, common, decontaminate, html_text, minhash, neardup, packing, pii, repeats, toxicity
 from mosaicore.llm.queries import tokenizer_file
 from mosaicore.llm.tokens import Encoder, load
 
@@ -259,6 +259,25 @@ def test_one_very_large_family(spark):
     assert Counter(r.component_id for r in rows)[0] == 1501 and sum(r.kept for r in rows) == 31
 
 
+def test_few_documents_make_few_files(spark):
+    """However many partitions a shuffle has, a small table of keys is one file: each costs an executor some processes on a local disk."""
+    texts = edited_family(random.Random(23))
+    _, label = brute_components(texts, 2)
+    conf = {"spark.sql.shuffle.partitions": "24", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old, before = {k: spark.conf.get(k) for k in conf}, len(common.tables_since())
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        kept = {r.doc_id for r in neardup.keep_one(docs_of(spark, texts), 2).collect()}
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert kept == {i for i, c in enumerate(label) if i == c}
+    files = {path.rsplit("/", 1)[1].rsplit("-", 1)[0]: len(spark.read.parquet(path).inputFiles()) for path in common.tables_since(before)}
+    assert {"sets", "hubs", "candidates", "labels", "gone"} <= set(files) and files["sets"] == files["hubs"] == files["candidates"] == files["labels"] == files["gone"] == 1
+    assert not {"confirmed", "components", "bucket-rows", "bucket-links"} & set(files)  # read once, so not written
+
+
 def test_minhash_near_duplicates(spark):
     texts = edited_family(random.Random(9))
     _, label = brute_components(texts, 5)

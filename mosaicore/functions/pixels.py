@@ -45,10 +45,10 @@ def dot(a: Column, b: Column) -> Column:
 
 def normalised(a: Column) -> Column:
     """Centred, then scaled by standard deviation and by length; a constant row gives zeros."""
-    centred = F.transform(a, lambda x: x - total(a) / F.size(a))
-    scaled = lambda c: F.transform(c, lambda x: x / F.sqrt(dot(c, c) / F.size(c) + 1e-12))
-    unit = lambda c: F.transform(c, lambda x: x / F.sqrt(dot(c, c) + 1e-12))
-    return _let(_let(centred, scaled), unit)
+    centred = lambda c: _let(total(c) / F.size(c), lambda m: F.transform(c, lambda x: x - m))
+    scaled = lambda c: _let(F.sqrt(dot(c, c) / F.size(c) + 1e-12), lambda s: F.transform(c, lambda x: x / s))
+    unit = lambda c: _let(F.sqrt(dot(c, c) + 1e-12), lambda s: F.transform(c, lambda x: x / s))
+    return _let(_let(_let(a, centred), scaled), unit)
 
 
 def _let(value: Column, f) -> Column:

@@ -1,7 +1,7 @@
 """Encoding and decoding as declarative plans over pixel tables (the engine "sql").
 
-Every step is a join, an aggregate or a window partitioned by image. It is the plan to read and to
-test against; `operators.batch` runs whole images through dense kernels instead.
+Every step is a join, an aggregate or a window partitioned by image; search and least squares are one step in Arrow
+(`operators.match`). It is the plan to read and to test against; `operators.batch` runs whole images through dense kernels instead.
 """
 
 from __future__ import annotations
@@ -10,11 +10,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from mosaicore.functions.pixels import clip, normalised, s_sets, unit
+from mosaicore.functions.pixels import clip, normalised, unit
 from mosaicore.operators.blocks import dims, domain_planes, downsample, pad_to_multiple, range_planes
 from mosaicore.operators.features import described, kept_domains
-from mosaicore.operators.regress import coded, solved, sse, sums_of
-from mosaicore.operators.search import EMPTY_POOL, RANGE, bases, planes, projected, signature, topk_dot, topk_lsh
+from mosaicore.operators.match import best_match
+from mosaicore.operators.search import RANGE
 from mosaicore.operators.transforms import expanded
 from mosaicore.params import EncodeParams
 from mosaicore.plans.scratch import cut
@@ -23,11 +23,14 @@ from mosaicore.plans.scratch import cut
 LEAF = "image_id, y, x, block, dom, tf, dy, dx, codes, mse"
 
 
+def kept_pool(pixels: DataFrame, p: EncodeParams, block: int, size: DataFrame | None = None) -> DataFrame:
+    """image_id, dom, bucket, y, x, a (luma) and chans of the domains of a block size, before transforms."""
+    return kept_domains(described(domain_planes(pixels, block, p.stride, size), p.bucket_count), p.entropy_thresh, p.max_domains, p.seed + block)
+
+
 def build_pool(pixels: DataFrame, p: EncodeParams, block: int, size: DataFrame | None = None) -> DataFrame:
     """image_id, entry, dom, tf, bucket, y, x, proxy and chans (transformed) of a block size."""
-    rows = described(domain_planes(pixels, block, p.stride, size), p.bucket_count)
-    rows = kept_domains(rows, p.entropy_thresh, p.max_domains, p.seed + block)
-    rows = expanded(rows, block, p.transforms, "a", nested=("chans",))
+    rows = expanded(kept_pool(pixels, p, block, size), block, p.transforms, "a", nested=("chans",))
     entry = (F.col("dom") * len(p.transforms) + F.col("tf_pos")).cast("long")
     return rows.select("image_id", entry.alias("entry"), "dom", "tf", "bucket", "y", "x", normalised(F.col("a")).alias("proxy"), "chans")
 
@@ -37,51 +40,6 @@ def range_queries(pixels: DataFrame, p: EncodeParams, block: int) -> DataFrame:
     return described(range_planes(pixels, block), p.bucket_count).select(*RANGE, "bucket", unit(F.col("a")).alias("q"), "chans")
 
 
-def candidates(queries: DataFrame, pool: DataFrame, p: EncodeParams, block: int) -> DataFrame:
-    """Ranked candidates by the parameters' backend."""
-    if p.backend == "dot":
-        return topk_dot(queries, pool, p.topk, p.use_buckets)
-    if p.backend == "lsh":
-        normals = planes(p.lsh_planes, block * block, p.seed + block)
-        signed = lambda rows, a: rows.withColumn("sig", signature(F.col(a), normals))
-    else:
-        fitted = bases(pool, p.pca_dim, p.seed + block)
-        normals = planes(p.lsh_planes, min(p.pca_dim, block * block), p.seed + block)
-        low = projected(F.col("_a"), F.col("mean"), F.col("basis"))
-        signed = lambda rows, a: rows.join(fitted, "image_id").withColumn("_a", F.col(a)).withColumn("_z", low).withColumn("sig", signature(F.col("_z"), normals)).drop("_a", "_z", "mean", "basis")
-    return topk_lsh(signed(queries, "q"), signed(pool, "proxy"), p.topk, p.lsh_planes, p.lsh_budget, p.use_buckets)
-
-
-def best_match(queries: DataFrame, found: DataFrame, p: EncodeParams, block: int) -> DataFrame:
-    """The candidate of least error of every range, the first of equals; a range without any has zero codes and an infinite error."""
-    choices = F.array(*(F.array(*map(F.lit, values)) for values in s_sets(p.bucket_count, p.s_clip)))[F.col("bucket")] if p.use_s_sets else None
-
-    def channel(d, r):
-        x = sums_of(d, r)
-        code = coded(*solved(x), p.s_clip, p.o_min, p.o_max, p.quantized, choices)
-        return F.transform(F.array(code), lambda c: F.struct(c.alias("code"), (sse(x, c["s"], c["o"]) / x.n).alias("mse")))[0]
-
-    tried = found.withColumn("c", F.zip_with("d", "r", channel))
-    mse = F.aggregate("c", F.lit(0.0), lambda s, c: s + c["mse"]) / F.size("c")
-    best = tried.select(*RANGE, F.struct(mse.alias("mse"), "rank", "dom", "tf", "dy", "dx", F.col("c.code").alias("codes")).alias("b")).groupBy(*RANGE).agg(F.min("b").alias("b"))
-    none = F.transform(F.col("chans"), lambda _: F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("o"), F.lit(0).alias("qs"), F.lit(0).alias("qo")))
-    if p.quantized:
-        none = F.transform(F.col("chans"), lambda _: F.struct(F.lit(-p.s_clip).alias("s"), F.lit(p.o_min).alias("o"), F.lit(0).alias("qs"), F.lit(0).alias("qo")))
-    rows = queries.select(*RANGE, "chans").join(best, RANGE, "left")
-    return rows.select(
-        *RANGE, F.lit(block).alias("block"), F.coalesce("b.dom", F.lit(0).cast("long")).alias("dom"), F.coalesce("b.tf", F.lit(0)).alias("tf"),
-        F.coalesce("b.dy", F.lit(0)).alias("dy"), F.coalesce("b.dx", F.lit(0)).alias("dx"),
-        F.coalesce(F.col("b.codes"), none).alias("codes"), F.coalesce("b.mse", F.lit(float("inf"))).alias("mse"),
-    )
-
-
-def guarded(queries: DataFrame, pool: DataFrame) -> DataFrame:
-    """queries; those of an image without any pool entry raise an error when they are read."""
-    some = pool.select("image_id").distinct().withColumn("_some", F.lit(1))
-    checked = F.when(F.col("_some").isNull(), F.raise_error(F.lit(EMPTY_POOL)).cast("string")).otherwise(F.lit("ok"))
-    return queries.join(some, "image_id", "left").withColumn("_ok", checked).where("_ok = 'ok'").drop("_some", "_ok")
-
-
 def encode(pixels: DataFrame, p: EncodeParams) -> DataFrame:
     """The leaves of all images: LEAF. A quadtree goes level by level, all images together."""
     p = p.checked()
@@ -91,13 +49,10 @@ def encode(pixels: DataFrame, p: EncodeParams) -> DataFrame:
         padded, size = cut(padded), cut(size)
     out, open_ = None, None
     for block in p.levels:
-        queries = range_queries(padded, p, block)
+        queries = described(range_planes(padded, block), p.bucket_count)
         if open_ is not None:
             queries = queries.join(open_, RANGE, "left_semi")
-        pool = build_pool(padded, p, block, size)
-        if p.backend != "dot":  # the exact search sees for itself
-            queries = guarded(queries, pool)
-        leaves = best_match(queries, candidates(queries, pool, p, block), p, block)
+        leaves = best_match(queries, kept_pool(padded, p, block, size), p, block)
         if block == p.levels[-1]:
             done = leaves
         else:

@@ -1,14 +1,15 @@
 """Similarity search of range blocks among pool entries.
 
 A pool entry has image_id, entry, dom, tf, bucket, proxy (a normalised block) and chans; a query
-has image_id, y, x, bucket, q (a block of unit length) and chans. Ties are ordered by entry. Results
-carry what the solver needs (dom, tf, bucket, dy and dx: the domain's corner, d and r: the blocks of both), so
-it joins nothing again.  The exact search multiplies matrices, an image's queries by its pool, in Arrow; only
-the k best pairs of a range become rows.
+has image_id, y, x, bucket, q (a block of unit length) and chans. Ties are ordered by entry. The exact search
+multiplies matrices, an image's queries by its pool, in Arrow; only the k best pairs of a range become rows.
+`operators.match` takes the pairs as arrays and makes one row of each range.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -26,17 +27,7 @@ FOUND = "image_id long, y int, x int, entry long, dom long, tf int, bucket int,
 PRODUCTS, SLACK = 1 << 21, 1e-9
 
 
-def ranked(scored: DataFrame, k: int) -> DataFrame:
-    """The k best of each range, with rank from 1 (Spark keeps k per task before the shuffle)."""
-    order = W.partitionBy(*RANGE).orderBy(F.col("score").desc(), "entry")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-
-
-def _scored(pairs: DataFrame) -> DataFrame:
-    return pairs.select(*RANGE, "entry", "dom", "tf", "bucket", "dy", "dx", "d", F.col("chans").alias("r"), dot(F.col("q"), F.col("proxy")).alias("score"))
-
-
-def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+def matrix(column: pa.ChunkedArray) -> np.ndarray:
     """A column of equally long arrays (or arrays of these), as an array of its own shape."""
     values, shape = column.combine_chunks(), [len(column)]
     while pa.types.is_list(values.type):
@@ -53,27 +44,76 @@ def _nested(a: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(0, rows + 1, dtype=np.int32) * c), inner)
 
 
-def best_pairs(q: np.ndarray, proxy: np.ndarray, k: int, q_bucket: np.ndarray | None, bucket: np.ndarray | None) -> tuple[np.ndarray, ...]:
-    """(query, entry, score, rank from 1) of the k best entries of each query; with buckets, of those of its bucket.
+#: Query, entry, score and rank (from 1) of pairs.
+PairBlock = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def summed(a: np.ndarray) -> np.ndarray:
+    """Sums over the last axis from the first place to the last, as the declarative plan adds."""
+    return np.cumsum(a, axis=-1)[..., -1] + 0.0
+
+
+def _ranked(q: np.ndarray, proxy: np.ndarray, k: int, row: np.ndarray, entry: np.ndarray) -> PairBlock:
+    """The k best of each query among pairs of a query and an entry; equal scores go by entry."""
+    score = np.concatenate([np.zeros(0), *(summed(q[row[i : i + 4096]] * proxy[entry[i : i + 4096]]) for i in range(0, len(row), 4096))])
+    order = np.lexsort((entry, -score, row))
+    row, entry, score = row[order], entry[order], score[order]
+    rank = np.arange(len(row)) - np.searchsorted(row, row) + 1
+    return tuple(x[rank <= k] for x in (row, entry, score, rank))
+
+
+def exact_blocks(q: np.ndarray, proxy: np.ndarray, k: int, q_bucket: np.ndarray | None, bucket: np.ndarray | None) -> Iterator[PairBlock]:
+    """The k best entries of each query, some queries at a time; with buckets, of those of its bucket.
 
     A product of matrices finds the candidates; their scores are then summed from the first place to the last, as the
     declarative plan does, so that equal scores are equal and go by entry.
     """
-    parts = []
     size = len(proxy)
-    for a in range(0, len(q), max(1, PRODUCTS // (size * max(1, min(q.shape[1], k))))):
-        own = q[a : a + max(1, PRODUCTS // (size * max(1, min(q.shape[1], k))))]
+    step = max(1, PRODUCTS // (size * max(1, min(q.shape[1], k))))
+    for a in range(0, len(q), step):
+        own = q[a : a + step]
         score = own @ proxy.T
         if bucket is not None:
             score = np.where(q_bucket[a : a + len(own), None] == bucket[None, :], score, -np.inf)
         least = -np.partition(-score, k - 1, axis=1)[:, k - 1 : k] - SLACK if k < size else -np.inf
-        row, entry = np.nonzero((score >= least) & (score > -np.inf))
-        exact = np.concatenate([np.cumsum(own[row[i : i + 4096]] * proxy[entry[i : i + 4096]], axis=1)[:, -1] for i in range(0, len(row), 4096)]) if len(row) else np.zeros(0)
-        order = np.lexsort((entry, -exact, row))
-        row, entry, exact = row[order], entry[order], exact[order]
-        rank = np.arange(len(row)) - np.searchsorted(row, row) + 1
-        parts.append([x[rank <= k] for x in (row + a, entry, exact, rank)])
-    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+        row, *rest = _ranked(own, proxy, k, *np.nonzero((score >= least) & (score > -np.inf)))
+        yield row + a, *rest
+
+
+def index_blocks(q: np.ndarray, proxy: np.ndarray, k: int, q_sig: np.ndarray, sig: np.ndarray, n_planes: int, budget: int, q_bucket: np.ndarray | None, bucket: np.ndarray | None) -> Iterator[PairBlock]:
+    """As exact_blocks, among the index's candidates only: entries of the query's signature, then of each with one bit flipped, in order, at most `budget`.
+
+    Of these, the ones of the query's bucket if there are any, else all; a query without
+    candidates is searched in its bucket.
+    """
+    step = max(1, PRODUCTS // len(proxy))
+    flips = np.concatenate([[0], 1 << np.arange(n_planes)])
+    order = np.argsort(sig, kind="stable")
+    ordered = sig[order]
+    for a in range(0, len(q), step):
+        own = q[a : a + step]
+        probes = q_sig[a : a + step, None] ^ flips
+        lo, hi = (np.searchsorted(ordered, probes, side=side) for side in ("left", "right"))
+        hi = np.minimum(hi, lo + np.maximum(0, budget - (np.cumsum(hi - lo, axis=1) - (hi - lo))))  # what the probes before have left
+        count = (hi - lo).ravel()
+        row = np.repeat(np.repeat(np.arange(len(own)), len(flips)), count)
+        entry = order[np.repeat(lo.ravel() - np.cumsum(count) + count, count) + np.arange(count.sum())]
+        if bucket is not None:
+            same = q_bucket[a : a + step][row] == bucket[entry]
+            any_same = np.bincount(row[same], minlength=len(own)) > 0
+            row, entry = row[same | ~any_same[row]], entry[same | ~any_same[row]]
+        alone = np.setdiff1d(np.arange(len(own)), row)
+        if len(alone):
+            more = np.ones((len(alone), len(proxy)), bool) if bucket is None else q_bucket[a : a + step][alone, None] == bucket[None, :]
+            one, other = np.nonzero(more)
+            row, entry = np.concatenate([row, alone[one]]), np.concatenate([entry, other])
+        row, *rest = _ranked(own, proxy, k, row, entry)
+        yield row + a, *rest
+
+
+def best_pairs(q: np.ndarray, proxy: np.ndarray, k: int, q_bucket: np.ndarray | None, bucket: np.ndarray | None) -> PairBlock:
+    """(query, entry, score, rank) of all of exact_blocks."""
+    return tuple(np.concatenate(x) for x in zip(*exact_blocks(q, proxy, k, q_bucket, bucket), strict=True))
 
 
 def topk_dot(queries: DataFrame, pool: DataFrame, k: int, by_bucket: bool = False) -> DataFrame:
@@ -89,10 +129,10 @@ def topk_dot(queries: DataFrame, pool: DataFrame, k: int, by_bucket: bool = Fals
             raise ValueError(EMPTY_POOL)
         entries = entries.sort_by("entry")
         buckets = [t.column("bucket").to_numpy() if by_bucket else None for t in (own, entries)]
-        row, at, score, rank = best_pairs(_matrix(own.column("q")), _matrix(entries.column("proxy")), k, *buckets)
+        row, at, score, rank = best_pairs(matrix(own.column("q")), matrix(entries.column("proxy")), k, *buckets)
         left, right = own.take(pa.array(row)), entries.take(pa.array(at))
         columns = [*(left.column(c) for c in RANGE), *(right.column(c) for c in ("entry", "dom", "tf")), left.column("bucket"), right.column("dy"), right.column("dx")]
-        columns += [_nested(_matrix(entries.column("d"))[at]), _nested(_matrix(own.column("chans"))[row]), pa.array(score), pa.array(rank.astype(np.int32))]
+        columns += [_nested(matrix(entries.column("d"))[at]), _nested(matrix(own.column("chans"))[row]), pa.array(score), pa.array(rank.astype(np.int32))]
         return pa.table([c.cast(f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
     nested = pa.list_(pa.list_(pa.float64()))
@@ -125,24 +165,6 @@ def lsh_candidates(queries: DataFrame, pool: DataFrame, n_planes: int, budget: i
     return found.withColumn("at", F.row_number().over(order)).where(F.col("at") <= budget).select(*RANGE, "entry", "probe", "at")
 
 
-def topk_lsh(queries: DataFrame, pool: DataFrame, k: int, n_planes: int, budget: int, by_bucket: bool = False) -> DataFrame:
-    """As topk_dot, among the index's candidates only.
-
-    Of these, the ones of the query's bucket if there are any, else all; a query without
-    candidates is searched in its bucket.
-    """
-    entry = pool.selectExpr("image_id", *ENTRY, "bucket AS own")
-    found = lsh_candidates(queries, pool, n_planes, budget).join(entry, ["image_id", "entry"]).join(queries.select(*RANGE, "q", "bucket", "chans"), RANGE)
-    if by_bucket:
-        same = F.max(F.col("own") == F.col("bucket")).over(W.partitionBy(*RANGE))
-        found = found.withColumn("same", same).where((F.col("own") == F.col("bucket")) | ~F.col("same"))
-    scored = _scored(found)
-    rest = queries.join(scored.select(*RANGE).distinct(), RANGE, "left_anti")
-    keys = ["image_id", "bucket"] if by_bucket else ["image_id"]
-    fallback = _scored(rest.join(pool.selectExpr(*keys, *ENTRY), keys))
-    return ranked(scored.unionByName(fallback), k)
-
-
 def fit_pca(x: np.ndarray, dim: int, seed: int, sample: int = 5000) -> tuple[np.ndarray, np.ndarray]:
     """(mean, basis) of rows: the leading directions of a bounded sample; all axes if dim is not below their number."""
     if dim >= x.shape[1]:
@@ -151,18 +173,3 @@ def fit_pca(x: np.ndarray, dim: int, seed: int, sample: int = 5000) -> tuple[np.
         x = x[np.random.default_rng(seed).choice(len(x), sample, replace=False)]
     mean = x.mean(axis=0)
     return mean, np.linalg.svd(x - mean, full_matrices=False)[2][:dim]
-
-
-def projected(a: Column, mean: Column, basis: Column) -> Column:
-    """(a - mean) on every row of the basis."""
-    return F.transform(basis, lambda row: dot(F.zip_with(a, mean, lambda x, m: x - m), row))
-
-
-def bases(pool: DataFrame, dim: int, seed: int) -> DataFrame:
-    """image_id, mean and basis of each image's pool (`fit_pca` of its proxies in the order of entries)."""
-
-    def each(entries: pa.Table) -> pa.Table:
-        mean, basis = fit_pca(_matrix(entries.sort_by("entry").column("proxy")), dim, seed)
-        return pa.table({"image_id": entries.column("image_id")[:1], "mean": _nested(mean[None, None])[:1].flatten(), "basis": _nested(basis[None])})
-
-    return pool.select("image_id", "entry", "proxy").groupBy("image_id").applyInArrow(each, "image_id long, mean array<double>, basis array<array<double>>")

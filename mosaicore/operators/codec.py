@@ -115,9 +115,10 @@ def pixel_sources(leaves: DataFrame, stride: int) -> DataFrame:
 def decode(leaves: DataFrame, images: DataFrame, stride: int, iterations: int = 8) -> DataFrame:
     """Pixels after so many steps from black, cropped to orig_height and orig_width of images.
 
-    A few steps are one plan; from three on each step is checkpointed, so plans stay small.
+    A few steps are one plan; from three on each step is checkpointed, so plans stay small. Leaves are
+    checkpointed, as every step reads them: the encoder behind them runs once.
     """
-    sources = pixel_sources(leaves, stride)
+    sources = pixel_sources(cut(leaves), stride)
     state = sources.select("image_id", "ch", "y", "x", F.lit(0.0).alias("v"))
     for k in range(iterations):
         state = decode_step(state, sources, stride)

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mosaicore.functions import pixels as px
-from mosaicore.operators import kernels, match, regress, search
+from mosaicore.operators import codec, kernels, match, regress, search
 from mosaicore.params import EncodeParams
 from mosaicore.queries import QUERIES
 from tests.conftest import SF
@@ -77,8 +77,25 @@ def cogroups(plan: str) -> list[str]:
     return [line for line in plan.splitlines() if "FlatMapCoGroupsInArrow" in line]
 
 
-@pytest.mark.parametrize("name", ["code_size", "best_match_rgb", "edge_mask"])
+@pytest.mark.parametrize("name", ["code_size", "best_match_rgb", "mse_psnr", "edge_mask"])
 def test_pairs_of_blocks_are_no_rows(spark, name):
     """What leaves the search is a leaf with its codes, not a ranked pair that carries both blocks."""
     found = cogroups(QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString())
     assert found and all("codes#" in line and "rank#" not in line and "proxy#" not in line for line in found)
+
+
+@pytest.mark.parametrize("steps", [1, 2])
+def test_decoding_encodes_once(spark, steps):
+    """Each step and the list of block sizes read the leaves, and the whole encoder ran again for each."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(y):
+        seen.add(1)
+        return y
+
+    leaves = spark.createDataFrame([(0, y, x, 4, 0, 0, 0, 0, [(0.5, 0.25, None, None)], 0.0) for y in (0, 4) for x in (0, 4)], match.LEAVES)
+    leaves = leaves.withColumn("y", F.udf(counted, "int").asNondeterministic()("y"))
+    pictures = spark.createDataFrame([(0, 8, 8, 8, 8, 1)], "image_id long, height int, width int, orig_height int, orig_width int, channels int")
+    rows = codec.decode(leaves, pictures, 4, steps).collect()
+    assert len(rows) == 64 and {r.v for r in rows} == {0.25 if steps == 1 else 0.375}
+    assert seen.value == 4
